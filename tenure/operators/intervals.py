@@ -23,13 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tenure.functions.predicates import is_assigned
-from tenure.operators.skew import (
-    HEAVY_ROWS,
-    all_present,
-    heavy_keys,
-    lookup_join,
-    split_heavy,
-)
+from tenure.operators.skew import Skew, all_present, largest, lookup_join, split_heavy
 
 START, CHANGE, END = 0, 1, 2
 
@@ -186,21 +180,20 @@ def run_by_calendar(
         counted.drop("n_rows"),
         at_instant,
         "inner",
-        rows,
-        instants.select(*at_instant, "n_rows"),
+        largest(instants, at_instant, rows),
     ).drop("second", "instant")
 
 
 def running_counts(
-    points: DataFrame, on: list[str], time: T.DataType, rows: int
+    points: DataFrame, on: list[str], time: T.DataType, skew: Skew
 ) -> list[DataFrame]:
     """``points`` with ``run``, the changes up to and including each point, and
     ``last``, the latest of them. In disjoint parts: ordinary and heavy keys."""
-    heavy = heavy_keys(points, on, rows)
+    heavy = skew.of_points(points, on)
     if heavy is None:
         return [run_by_key(points, on)]
     rest, hot = split_heavy(points, heavy, on)
-    return [run_by_key(rest, on), run_by_calendar(hot, on, time, rows)]
+    return [run_by_key(rest, on), run_by_calendar(hot, on, time, skew.rows)]
 
 
 # --- what the queries use ----------------------------------------------------
@@ -212,7 +205,7 @@ def count_in_window(
     on: list[str] | None = None,
     end_of_day: bool = False,
     payload: tuple[str, ...] = (),
-    rows: int = HEAVY_ROWS,
+    skew: Skew = Skew(),
 ) -> DataFrame:
     """Relations with at least one change in their period.
 
@@ -243,7 +236,7 @@ def count_in_window(
         )
         .where(F.col("upto") > F.col("before"))
         .withColumn("n_changes", F.col("upto") - F.col("before"))
-        for part in running_counts(points, on, time, rows)
+        for part in running_counts(points, on, time, skew)
     ]
     return reduce(DataFrame.unionByName, parts)
 
@@ -252,7 +245,7 @@ def changes_in_window(
     relation: DataFrame,
     changes: DataFrame,
     end_of_day: bool = False,
-    rows: int = HEAVY_ROWS,
+    skew: Skew = Skew(),
 ) -> DataFrame:
     """Every relation beside each change in its period.
 
@@ -265,7 +258,7 @@ def changes_in_window(
     on = ["account_id"]
     time = _time_type(changes, relation)
     spans = count_in_window(
-        relation, changes, on, end_of_day, ("assigned_at", "ended_at", "owner"), rows
+        relation, changes, on, end_of_day, ("assigned_at", "ended_at", "owner"), skew
     ).withColumn(
         "block",
         F.explode(
@@ -275,7 +268,7 @@ def changes_in_window(
         ),
     )
     points = change_points(changes, on, time, ("changed_at", "old_value", "new_value"))
-    numbered = reduce(DataFrame.unionByName, running_counts(points, on, time, rows)).withColumn(
+    numbered = reduce(DataFrame.unionByName, running_counts(points, on, time, skew)).withColumn(
         "block", F.shiftright("run", BLOCK_BITS)
     )
     inside = (F.col("run") > F.col("before")) & (F.col("run") <= F.col("upto"))

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tenure.operators.intervals import CHANGE, run_by_calendar
-from tenure.operators.skew import HEAVY_ROWS, heavy_keys, lookup_join, split_heavy
+from tenure.operators.skew import Skew, heavy_keys, lookup_join, split_heavy
 
 
-def with_next_assignment(relation: DataFrame, rows: int = HEAVY_ROWS) -> DataFrame:
+def with_next_assignment(relation: DataFrame, skew: Skew = Skew()) -> DataFrame:
     """``relation`` with ``next_at``: when the account's next relation starts.
 
     Relations of an account are ordered by ``assigned_at``, then ``id``. All rows
@@ -18,11 +18,11 @@ def with_next_assignment(relation: DataFrame, rows: int = HEAVY_ROWS) -> DataFra
     """
     on = ["account_id"]
     next_at = F.lead("assigned_at").over(Window.partitionBy(*on).orderBy("assigned_at", "id"))
-    heavy = heavy_keys(relation, on, rows)
+    heavy = skew.of_relations(relation, on)
     if heavy is None:
         return relation.withColumn("next_at", next_at)
     rest, hot = split_heavy(relation, heavy, on)
-    return rest.withColumn("next_at", next_at).unionByName(_next_by_instant(hot, rows))
+    return rest.withColumn("next_at", next_at).unionByName(_next_by_instant(hot, skew.rows))
 
 
 def _next_by_instant(relation: DataFrame, rows: int) -> DataFrame:
@@ -57,7 +57,7 @@ def _next_by_instant(relation: DataFrame, rows: int) -> DataFrame:
         F.col("following_at")
     )
     return (
-        lookup_join(relation, steps, at_instant, "inner", rows)
+        lookup_join(relation, steps, at_instant, "inner", heavy_keys(relation, at_instant, rows))
         .withColumn("next_at", next_at)
         .drop("last_id", "following_at")
     )

@@ -11,6 +11,7 @@ treatment; they take the plain path and lose nothing.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -28,7 +29,9 @@ def all_present(names: list[str]) -> Column:
     return reduce(Column.__and__, (F.col(name).isNotNull() for name in names))
 
 
-def largest(counts: DataFrame, on: list[str], rows: int) -> DataFrame | None:
+def largest(
+    counts: DataFrame, on: list[str], rows: int, also: list[str] | None = None
+) -> DataFrame | None:
     """Keys of ``counts`` with ``n_rows`` over ``rows``, or None if there are none.
 
     Runs now, and keeps at most ``MAX_HEAVY_KEYS`` rows on the driver.
@@ -37,7 +40,7 @@ def largest(counts: DataFrame, on: list[str], rows: int) -> DataFrame | None:
         counts.where(F.col("n_rows") > rows)
         .orderBy(F.desc("n_rows"), *on)
         .limit(MAX_HEAVY_KEYS)
-        .select(*on, "n_rows")
+        .select(*on, "n_rows", *(also or []))
     )
     keys = found.collect()
     return counts.sparkSession.createDataFrame(keys, found.schema) if keys else None
@@ -56,6 +59,64 @@ def heavy_keys(
     return largest(keyed.agg(F.count(F.lit(1)).alias("n_rows")), on, rows)
 
 
+@dataclass(frozen=True)
+class Skew:
+    """What counts as heavy, and the heavy accounts if they are known already.
+
+    Unless ``surveyed``, each query looks for its own heavy keys. ``accounts``
+    has ``account_id``, ``n_relations`` and ``n_log`` for the accounts with many
+    rows in the unfiltered tables, so it holds for any part of them.
+    """
+
+    rows: int = HEAVY_ROWS
+    surveyed: bool = False
+    accounts: DataFrame | None = None
+
+    def _known(self, on: list[str], n_rows: Column) -> DataFrame | None:
+        if self.accounts is None:
+            return None
+        return self.accounts.select(*on, n_rows.alias("n_rows")).where(F.col("n_rows") > self.rows)
+
+    def _heavy(self, df: DataFrame, on: str | list[str], n_rows: Column) -> DataFrame | None:
+        on = _names(on)
+        if self.surveyed and on == ["account_id"]:
+            return self._known(on, n_rows)
+        if self.surveyed and "account_id" in on and self.accounts is None:
+            return None
+        return heavy_keys(df, on, self.rows)
+
+    def of_relations(self, df: DataFrame, on: str | list[str]) -> DataFrame | None:
+        return self._heavy(df, on, F.col("n_relations"))
+
+    def of_log(self, df: DataFrame, on: str | list[str]) -> DataFrame | None:
+        return self._heavy(df, on, F.col("n_log"))
+
+    def of_points(self, df: DataFrame, on: str | list[str]) -> DataFrame | None:
+        """Keys of a time line, which has two points per relation."""
+        return self._heavy(df, on, 2 * F.col("n_relations") + F.col("n_log"))
+
+
+def survey(relation: DataFrame, history: DataFrame, rows: int = HEAVY_ROWS) -> Skew:
+    """Look for heavy accounts once, for all queries over the two tables."""
+    on = ["account_id"]
+
+    def counted(df: DataFrame, name: str) -> DataFrame:
+        keyed = df.where(all_present(on)).groupBy(*on)
+        return keyed.agg(F.count(F.lit(1)).alias(name))
+
+    counts = (
+        counted(relation, "n_relations")
+        .unionByName(counted(history, "n_log"), allowMissingColumns=True)
+        .groupBy(*on)
+        .agg(
+            F.coalesce(F.sum("n_relations"), F.lit(0)).alias("n_relations"),
+            F.coalesce(F.sum("n_log"), F.lit(0)).alias("n_log"),
+        )
+        .withColumn("n_rows", 2 * F.col("n_relations") + F.col("n_log"))
+    )
+    return Skew(rows, True, largest(counts, on, rows, ["n_relations", "n_log"]))
+
+
 def split_heavy(
     df: DataFrame, heavy: DataFrame, on: str | list[str]
 ) -> tuple[DataFrame, DataFrame]:
@@ -70,8 +131,7 @@ def lookup_join(
     right: DataFrame,
     on: str | list[str],
     how: str,
-    rows: int = HEAVY_ROWS,
-    counts: DataFrame | None = None,
+    heavy: DataFrame | None,
 ) -> DataFrame:
     """Join many ``left`` rows to the one ``right`` row of their key.
 
@@ -81,31 +141,32 @@ def lookup_join(
     broadcast, and the heavy ``left`` rows stay where they were read. Rows
     without a key match nothing and never enter the shuffle.
 
-    ``counts`` are rows per key, as ``n_rows``, where they are at hand or come
-    from a cheaper superset of ``left``.
+    ``heavy`` are the heavy keys of ``left`` or of anything it is a part of.
     """
     on = _names(on)
-    heavy = heavy_keys(left, on, rows) if counts is None else largest(counts, on, rows)
     keyed = left.where(all_present(on))
     if heavy is None:
         joined = keyed.join(right, on, how)
     else:
         rest, hot = split_heavy(keyed, heavy, on)
         few = right.join(F.broadcast(heavy.select(*on)), on, "left_semi")
-        joined = rest.join(right, on, how).unionByName(
-            hot.join(F.broadcast(few), on, how)
-        )
+        joined = rest.join(right, on, how).unionByName(hot.join(F.broadcast(few), on, how))
     if how in ("left", "left_anti"):
         unkeyed = left.where(~all_present(on))
         joined = joined.unionByName(unkeyed, allowMissingColumns=True)
     return joined
 
 
-def _parts(heavy: DataFrame | None, like: DataFrame, on: str, own: str, other: str, rows: int):
+def account_lookup(relation: DataFrame, right: DataFrame, how: str, skew: Skew) -> DataFrame:
+    """Join relations to what is known of their account, one row per account."""
+    heavy = skew.of_relations(relation, "account_id")
+    return lookup_join(relation, right, "account_id", how, heavy)
+
+
+def _parts(heavy: DataFrame, on: str, own: str, other: str, rows: int) -> DataFrame:
     """How many parts each heavy key's rows are dealt into on its own side."""
-    if heavy is None:
-        return like.sparkSession.createDataFrame([], f"{on} {like.schema[on].dataType.simpleString()}, {own} int, {other} int")
-    return heavy.select(on, F.ceil(F.col("n_rows") / rows).cast("int").alias(own), F.lit(1).alias(other))
+    n_parts = F.ceil(F.col("n_rows") / max(rows, 1)).cast("int")
+    return heavy.select(on, n_parts.alias(own), F.lit(1).alias(other))
 
 
 def expand_join(
@@ -125,11 +186,18 @@ def expand_join(
     row comes from its content and input partition, not from chance, so a
     recomputed task deals the same way; the partition splits identical copies.
     """
-    if left_heavy is None and right_heavy is None:
+    sides = [
+        _parts(heavy, on, own, other, rows)
+        for heavy, own, other in (
+            (left_heavy, "_left", "_right"),
+            (right_heavy, "_right", "_left"),
+        )
+        if heavy is not None
+    ]
+    if not sides:
         return left.join(right, on)
     parts = (
-        _parts(left_heavy, left, on, "_left", "_right", rows)
-        .unionByName(_parts(right_heavy, right, on, "_right", "_left", rows))
+        reduce(DataFrame.unionByName, sides)
         .groupBy(on)
         .agg(F.max("_left").alias("_left"), F.max("_right").alias("_right"))
     )

@@ -15,7 +15,7 @@ from tenure.functions.predicates import (
     is_owner_row,
     not_deleted,
 )
-from tenure.operators.skew import HEAVY_ROWS, expand_join, heavy_keys, lookup_join
+from tenure.operators.skew import Skew, account_lookup, expand_join, lookup_join
 from tenure.plans.counts import owner_changes, to_fix
 
 
@@ -51,7 +51,7 @@ def first_owner_rows(history: DataFrame, rules: LogRules = RULES) -> DataFrame:
 
 
 def to_fix_with_history(
-    relation: DataFrame, history: DataFrame, rules: LogRules = RULES, rows: int = HEAVY_ROWS
+    relation: DataFrame, history: DataFrame, rules: LogRules = RULES, skew: Skew = Skew()
 ) -> DataFrame:
     """Pairs of a relation to fix and a change of its account, and the relations.
 
@@ -60,9 +60,7 @@ def to_fix_with_history(
     changes = owner_changes(history, rules).groupBy("account_id").agg(
         F.count(F.lit(1)).alias("n_changes")
     )
-    found = lookup_join(
-        to_fix(relation).select("id", "account_id"), changes, "account_id", "inner", rows
-    )
+    found = account_lookup(to_fix(relation).select("id", "account_id"), changes, "inner", skew)
     return found.agg(
         F.coalesce(F.sum("n_changes"), F.lit(0)).alias("tot_nb_lines"),
         F.countDistinct("id").alias("nb_lars_to_fix"),
@@ -70,44 +68,45 @@ def to_fix_with_history(
 
 
 def without_history(
-    relation: DataFrame, history: DataFrame, rules: LogRules = RULES, rows: int = HEAVY_ROWS
+    relation: DataFrame, history: DataFrame, rules: LogRules = RULES, skew: Skew = Skew()
 ) -> DataFrame:
     """The given relations whose account shows no real change, or is not known."""
     changed = owner_changes(history, rules).select("account_id").distinct()
-    return lookup_join(relation, changed, "account_id", "left_anti", rows)
+    return account_lookup(relation, changed, "left_anti", skew)
 
 
 def to_fix_without_history(
-    relation: DataFrame, history: DataFrame, rules: LogRules = RULES, rows: int = HEAVY_ROWS
+    relation: DataFrame, history: DataFrame, rules: LogRules = RULES, skew: Skew = Skew()
 ) -> DataFrame:
     """How many relations to fix have an account without a real change."""
-    left = without_history(to_fix(relation).select("id", "account_id"), history, rules, rows)
+    left = without_history(to_fix(relation).select("id", "account_id"), history, rules, skew)
     return left.agg(F.countDistinct("id").alias("nb_lars_w_no_history"))
 
 
-def _on_unchanged_accounts(
-    relation: DataFrame, history: DataFrame, rules: LogRules, rows: int
+def on_unchanged_accounts(
+    relation: DataFrame, history: DataFrame, rules: LogRules = RULES, skew: Skew = Skew()
 ) -> DataFrame:
+    """The given relations that are on unchanged accounts with a first owner."""
     accounts = unchanged_accounts(history, rules).select("account_id")
-    return lookup_join(relation, accounts, "account_id", "left_semi", rows)
+    return account_lookup(relation, accounts, "left_semi", skew)
 
 
-def beside_first_owners(
-    relation: DataFrame, history: DataFrame, rules: LogRules = RULES, rows: int = HEAVY_ROWS
+def _beside_first_owners(
+    relation: DataFrame, chosen: DataFrame, history: DataFrame, rules: LogRules, skew: Skew
 ) -> DataFrame:
-    """The given relations on unchanged accounts, beside each first-owner row.
+    """``chosen``, a part of ``relation``, beside each first-owner row of its account.
 
-    Relations are cut down to those accounts before they meet the log rows, by a
-    join that needs one row per account only.
+    Relations are cut down to the accounts in question before they meet the log
+    rows, by a join that needs one row per account only.
     """
     first = first_owner_rows(history, rules)
     return expand_join(
-        _on_unchanged_accounts(relation, history, rules, rows),
+        chosen,
         first,
         "account_id",
-        heavy_keys(relation, "account_id", rows),
-        heavy_keys(first, "account_id", rows),
-        rows,
+        skew.of_relations(relation, "account_id"),
+        skew.of_log(first, "account_id"),
+        skew.rows,
     )
 
 
@@ -117,16 +116,18 @@ def _owned(relation: DataFrame) -> DataFrame:
 
 
 def first_owner_evidence(
-    relation: DataFrame, history: DataFrame, rules: LogRules = RULES, rows: int = HEAVY_ROWS
+    relation: DataFrame, history: DataFrame, rules: LogRules = RULES, skew: Skew = Skew()
 ) -> DataFrame:
     """Owned relations on unchanged accounts beside what the log says of them."""
-    return beside_first_owners(_owned(relation), history, rules, rows).select(
+    owned = _owned(relation)
+    chosen = on_unchanged_accounts(owned, history, rules, skew)
+    return _beside_first_owners(owned, chosen, history, rules, skew).select(
         "id", "account_id", "owner", "changed_at", "old_value", "new_value"
     )
 
 
 def first_owner_agreement(
-    relation: DataFrame, history: DataFrame, rules: LogRules = RULES, rows: int = HEAVY_ROWS
+    relation: DataFrame, history: DataFrame, rules: LogRules = RULES, skew: Skew = Skew()
 ) -> DataFrame:
     """How often the evidence agrees with the known owner, per row and relation.
 
@@ -142,12 +143,11 @@ def first_owner_agreement(
     )
     on_value = ["account_id", "owner"]
     found = lookup_join(
-        lookup_join(owned, accounts, "account_id", "inner", rows),
+        account_lookup(owned, accounts, "inner", skew),
         values,
         on_value,
         "left",
-        rows,
-        owned.groupBy(*on_value).agg(F.count(F.lit(1)).alias("n_rows")),
+        skew.of_relations(owned, on_value),
     )
     return found.agg(
         F.coalesce(F.sum("n_first"), F.lit(0)).alias("n_rows"),
@@ -158,10 +158,11 @@ def first_owner_agreement(
 
 
 def first_owner_recoverable(
-    relation: DataFrame, history: DataFrame, rules: LogRules = RULES, rows: int = HEAVY_ROWS
+    relation: DataFrame, history: DataFrame, rules: LogRules = RULES, skew: Skew = Skew()
 ) -> DataFrame:
     """How many relations to fix without history have a first owner in the log."""
-    found = _on_unchanged_accounts(to_fix(relation).select("id", "account_id"), history, rules, rows)
+    missing = to_fix(relation).select("id", "account_id")
+    found = on_unchanged_accounts(missing, history, rules, skew)
     return found.agg(F.countDistinct("id").alias("n_recoverable"))
 
 
@@ -170,16 +171,16 @@ def first_owner_candidates(
     history: DataFrame,
     users: DataFrame,
     rules: LogRules = RULES,
-    rows: int = HEAVY_ROWS,
+    skew: Skew = Skew(),
 ) -> DataFrame:
     """Every first owner the log offers for a relation to fix without history.
 
     With the id of each active user of that name, or null. One relation may get
     several rows: one per log row, and one per user of the same name.
     """
-    found = beside_first_owners(
-        to_fix(relation).select("id", "account_id").distinct(), history, rules, rows
-    ).select("id", "old_value")
+    missing = to_fix(relation).select("id", "account_id")
+    chosen = on_unchanged_accounts(missing, history, rules, skew).distinct()
+    found = _beside_first_owners(missing, chosen, history, rules, skew).select("id", "old_value")
     active = users.where("is_active").select(
         F.col("name").alias("old_value"), F.col("id").alias("owner_id")
     )

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tenure.functions.predicates import LOST, RULES, LogRules, is_assigned, is_to_fix, not_deleted
 from tenure.operators.sequence import with_next_assignment
-from tenure.operators.skew import HEAVY_ROWS, lookup_join
+from tenure.operators.skew import Skew, account_lookup, lookup_join
 from tenure.plans.counts import to_fix
 from tenure.plans.log import account_log, unchanged_accounts
 from tenure.plans.windows import attributions
@@ -26,7 +26,7 @@ def _holds(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False))
 
 
-def same_day_duplicates(relation: DataFrame, rows: int = HEAVY_ROWS) -> DataFrame:
+def same_day_duplicates(relation: DataFrame, skew: Skew = Skew()) -> DataFrame:
     """Ids of relations created on the same account on the same day."""
     on = ["account_id", "created_on"]
     crowded = (
@@ -36,10 +36,11 @@ def same_day_duplicates(relation: DataFrame, rows: int = HEAVY_ROWS) -> DataFram
         .where(F.col("n") > 1)
         .select(*on)
     )
-    return lookup_join(relation.select("id", *on), crowded, on, "left_semi", rows).select("id")
+    dated = relation.select("id", *on)
+    return lookup_join(dated, crowded, on, "left_semi", skew.of_relations(dated, on)).select("id")
 
 
-def repair_end_dates(relation: DataFrame, rows: int = HEAVY_ROWS) -> DataFrame:
+def repair_end_dates(relation: DataFrame, skew: Skew = Skew()) -> DataFrame:
     """A missing end becomes the start of the account's next live relation.
 
     Same columns as ``relation`` and ``end_repaired``, true where the end was
@@ -48,7 +49,7 @@ def repair_end_dates(relation: DataFrame, rows: int = HEAVY_ROWS) -> DataFrame:
     in_line = _holds(not_deleted() & is_assigned() & F.col("account_id").isNotNull())
     kind = relation.schema["ended_at"].dataType
     filled = F.coalesce("ended_at", F.col("next_at").cast(kind))
-    repaired = with_next_assignment(relation.where(in_line), rows).select(
+    repaired = with_next_assignment(relation.where(in_line), skew).select(
         *(c for c in relation.columns if c != "ended_at"),
         filled.alias("ended_at"),
         (F.col("ended_at").isNull() & F.col("next_at").isNotNull()).alias("end_repaired"),
@@ -84,16 +85,16 @@ def resolve_single_change(
     excluded: DataFrame | None = None,
     rules: LogRules = RULES,
     end_of_day: bool = False,
-    rows: int = HEAVY_ROWS,
+    skew: Skew = Skew(),
 ) -> DataFrame:
     """Rule 1: a relation to fix with one change gets the owner it changed to."""
-    single = _single_owners(relation, history, excluded, rules, end_of_day, rows)
+    single = _single_owners(relation, history, excluded, rules, end_of_day, skew)
     return _with_user(single, users)
 
 
-def _single_owners(relation, history, excluded, rules, end_of_day, rows) -> DataFrame:
+def _single_owners(relation, history, excluded, rules, end_of_day, skew) -> DataFrame:
     return (
-        attributions(relation, history, excluded, rules, end_of_day, rows)
+        attributions(relation, history, excluded, rules, end_of_day, skew)
         .where(F.col("n_changes") == 1)
         .select("id", "account_id", F.col("last_value").alias("new_owner"))
     )
@@ -104,15 +105,13 @@ def first_recorded_owner(
     history: DataFrame,
     users: DataFrame,
     rules: LogRules = RULES,
-    rows: int = HEAVY_ROWS,
+    skew: Skew = Skew(),
 ) -> DataFrame:
     """Rule 2: without history, the oldest owner the log names for the account."""
     owners = unchanged_accounts(history, rules).select(
         "account_id", F.col("first_owner").alias("new_owner")
     )
-    found = lookup_join(
-        to_fix(relation).select("id", "account_id"), owners, "account_id", "inner", rows
-    )
+    found = account_lookup(to_fix(relation).select("id", "account_id"), owners, "inner", skew)
     return _with_user(found, users)
 
 
@@ -123,21 +122,20 @@ def repair_status(
     rules: LogRules = RULES,
     repair_ends: bool = True,
     end_of_day: bool = False,
-    rows: int = HEAVY_ROWS,
+    skew: Skew = Skew(),
 ) -> DataFrame:
     """What becomes of each relation to fix.
 
     ``has_history`` tells whether the account has a real change at all,
     ``new_owner`` is the owner found, ``status`` the rule that found it.
     """
-    timed = repair_end_dates(relation, rows) if repair_ends else relation
-    single = _single_owners(timed, history, excluded, rules, end_of_day, rows)
-    known = lookup_join(
+    timed = repair_end_dates(relation, skew) if repair_ends else relation
+    single = _single_owners(timed, history, excluded, rules, end_of_day, skew)
+    known = account_lookup(
         to_fix(relation).select("id", "account_id"),
         account_log(history, rules).select("account_id", "n_changes", "first_owner"),
-        "account_id",
         "left",
-        rows,
+        skew,
     )
     has_history = F.coalesce(F.col("n_changes") > 0, F.lit(False))
     first_owner = F.when(~has_history, F.col("first_owner"))

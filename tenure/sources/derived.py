@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tenure.functions.predicates import OWNER_FIELD, POOL_NAME, USER_ID_PREFIX
 from tenure.operators.sequence import with_next_assignment
-from tenure.operators.skew import HEAVY_ROWS
+from tenure.operators.skew import HEAVY_ROWS, Skew, heavy_keys
 from tenure.plans.repair import same_day_duplicates
 from tenure.sources.tables import Tables, checked, write
 
@@ -30,7 +30,7 @@ def _nothing(kind: str) -> Column:
     return F.lit(None).cast(kind)
 
 
-def relation(orders: DataFrame, rows: int = HEAVY_ROWS) -> DataFrame:
+def relation(orders: DataFrame, skew: Skew = Skew()) -> DataFrame:
     key = F.col("o_orderkey")
     owner = (
         F.when(key % 63 == 0, _person(F.lit(1)))
@@ -46,7 +46,7 @@ def relation(orders: DataFrame, rows: int = HEAVY_ROWS) -> DataFrame:
         F.col("o_orderdate").cast("date").alias("created_on"),
         (key % 11 == 0).alias("stays_open"),
     )
-    dated = with_next_assignment(started.where("assigned_at is not null"), rows)
+    dated = with_next_assignment(started.where("assigned_at is not null"), skew)
     undated = started.where("assigned_at is null").withColumn("next_at", F.col("assigned_at"))
     ended_at = F.when(~F.col("stays_open"), F.col("next_at"))
     return dated.unionByName(undated).select(
@@ -125,18 +125,24 @@ def derive(spark: SparkSession, folder: str, rows: int = HEAVY_ROWS) -> Tables:
         return spark.read.parquet(f"{folder}/{name}.parquet")
 
     orders = read("orders")
-    relations = relation(orders, rows)
+    heavy = heavy_keys(orders, "o_custkey", rows)
+    skew = Skew(
+        rows,
+        True,
+        heavy and heavy.select(F.col("o_custkey").alias("account_id"), F.col("n_rows").alias("n_relations"), F.lit(0).alias("n_log")),
+    )
+    relations = relation(orders, skew)
     return checked(
         Tables(
             relations,
             owner_history(orders, read("lineitem")),
             users(read("supplier")),
-            same_day_duplicates(relation(orders, rows), rows),
+            same_day_duplicates(relations, skew),
         )
     )
 
 
-def stage(spark: SparkSession, tables: Tables, folder: str) -> Tables:
+def stage(tables: Tables, folder: str) -> Tables:
     """Write the tables to ``folder`` once and read them back.
 
     Queries then start from a Parquet scan that takes their filters and columns,
@@ -145,12 +151,11 @@ def stage(spark: SparkSession, tables: Tables, folder: str) -> Tables:
 
     def written(name: str, df: DataFrame) -> DataFrame:
         write(df, f"{folder}/{name}")
-        return spark.read.parquet(f"{folder}/{name}")
+        return df.sparkSession.read.parquet(f"{folder}/{name}")
 
-    relations = written("relation", tables.relation)
     return Tables(
-        relations,
+        written("relation", tables.relation),
         written("owner_history", tables.owner_history),
         written("users", tables.users),
-        written("excluded", same_day_duplicates(relations)),
+        written("excluded", tables.excluded),
     )

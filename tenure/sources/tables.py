@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -77,3 +79,17 @@ def stage_owner_log(history: DataFrame, path: str, rules: LogRules = RULES) -> D
 def write(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Write a result as Parquet; the inputs are never updated in place."""
     df.write.mode(mode).parquet(path)
+
+
+def shared_folder(spark: SparkSession) -> str | None:
+    """A new folder that every executor can reach, or None if there is none.
+
+    It is made in the folder the cluster names in ``spark.checkpoint.dir``. A
+    local session may do without and use the machine's own temporary folder.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return f"{named.rstrip('/')}/tenure-{uuid.uuid4().hex}"
+    if spark.sparkContext.master.startswith("local"):
+        return tempfile.mkdtemp(prefix="tenure-")
+    return None

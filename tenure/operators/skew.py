@@ -17,8 +17,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tenure.functions.predicates import is_to_fix
+
 HEAVY_ROWS = 1_000_000
 MAX_HEAVY_KEYS = 100_000
+# Accounts that may be broadcast to thin out the log, once they are counted.
+MAX_ACCOUNTS = 500_000
 
 
 def _names(on: str | list[str]) -> list[str]:
@@ -61,16 +65,19 @@ def heavy_keys(
 
 @dataclass(frozen=True)
 class Skew:
-    """What counts as heavy, and the heavy accounts if they are known already.
+    """What counts as heavy, and what is known of the accounts already.
 
     Unless ``surveyed``, each query looks for its own heavy keys. ``accounts``
     has ``account_id``, ``n_relations`` and ``n_log`` for the accounts with many
     rows in the unfiltered tables, so it holds for any part of them.
+    ``few_to_fix`` tells that at most ``MAX_ACCOUNTS`` accounts have a relation to
+    fix; None leaves that to each query to find out.
     """
 
     rows: int = HEAVY_ROWS
     surveyed: bool = False
     accounts: DataFrame | None = None
+    few_to_fix: bool | None = None
 
     def _known(self, on: list[str], n_rows: Column) -> DataFrame | None:
         if self.accounts is None:
@@ -114,7 +121,31 @@ def survey(relation: DataFrame, history: DataFrame, rows: int = HEAVY_ROWS) -> S
         )
         .withColumn("n_rows", 2 * F.col("n_relations") + F.col("n_log"))
     )
-    return Skew(rows, True, largest(counts, on, rows, ["n_relations", "n_log"]))
+    heavy = largest(counts, on, rows, ["n_relations", "n_log"])
+    return Skew(rows, True, heavy, _are_few(_accounts_to_fix(relation)))
+
+
+def _accounts_to_fix(relation: DataFrame) -> DataFrame:
+    return relation.where(is_to_fix()).select("account_id").distinct()
+
+
+def _are_few(accounts: DataFrame) -> bool:
+    return accounts.count() <= MAX_ACCOUNTS
+
+
+def only_accounts_to_fix(df: DataFrame, relation: DataFrame, skew: Skew) -> DataFrame:
+    """``df`` without the accounts that have nothing to fix, if that is cheap.
+
+    The log outgrows the relations, and the repair concerns few accounts. Where
+    their number allows a broadcast, the rest of the log ends at its scan; where
+    it does not, the log is passed on whole, as another shuffle of it would cost
+    more than it saves. Either way the queries give the same result.
+    """
+    accounts = _accounts_to_fix(relation)
+    few = _are_few(accounts) if skew.few_to_fix is None else skew.few_to_fix
+    if not few:
+        return df
+    return df.join(F.broadcast(accounts), "account_id", "left_semi")
 
 
 def split_heavy(

@@ -15,7 +15,13 @@ from tenure.functions.predicates import (
     is_owner_row,
     not_deleted,
 )
-from tenure.operators.skew import Skew, account_lookup, expand_join, lookup_join
+from tenure.operators.skew import (
+    Skew,
+    account_lookup,
+    expand_join,
+    only_accounts_to_fix,
+    lookup_join,
+)
 from tenure.plans.counts import owner_changes, to_fix
 
 
@@ -57,7 +63,8 @@ def to_fix_with_history(
 
     The changes are counted per account first, so no pair is ever formed.
     """
-    changes = owner_changes(history, rules).groupBy("account_id").agg(
+    needed = only_accounts_to_fix(history, relation, skew)
+    changes = owner_changes(needed, rules).groupBy("account_id").agg(
         F.count(F.lit(1)).alias("n_changes")
     )
     found = account_lookup(to_fix(relation).select("id", "account_id"), changes, "inner", skew)
@@ -79,7 +86,8 @@ def to_fix_without_history(
     relation: DataFrame, history: DataFrame, rules: LogRules = RULES, skew: Skew = Skew()
 ) -> DataFrame:
     """How many relations to fix have an account without a real change."""
-    left = without_history(to_fix(relation).select("id", "account_id"), history, rules, skew)
+    needed = only_accounts_to_fix(history, relation, skew)
+    left = without_history(to_fix(relation).select("id", "account_id"), needed, rules, skew)
     return left.agg(F.countDistinct("id").alias("nb_lars_w_no_history"))
 
 
@@ -162,7 +170,8 @@ def first_owner_recoverable(
 ) -> DataFrame:
     """How many relations to fix without history have a first owner in the log."""
     missing = to_fix(relation).select("id", "account_id")
-    found = on_unchanged_accounts(missing, history, rules, skew)
+    needed = only_accounts_to_fix(history, relation, skew)
+    found = on_unchanged_accounts(missing, needed, rules, skew)
     return found.agg(F.countDistinct("id").alias("n_recoverable"))
 
 
@@ -179,8 +188,9 @@ def first_owner_candidates(
     several rows: one per log row, and one per user of the same name.
     """
     missing = to_fix(relation).select("id", "account_id")
-    chosen = on_unchanged_accounts(missing, history, rules, skew).distinct()
-    found = _beside_first_owners(missing, chosen, history, rules, skew).select("id", "old_value")
+    needed = only_accounts_to_fix(history, relation, skew)
+    chosen = on_unchanged_accounts(missing, needed, rules, skew).distinct()
+    found = _beside_first_owners(missing, chosen, needed, rules, skew).select("id", "old_value")
     active = users.where("is_active").select(
         F.col("name").alias("old_value"), F.col("id").alias("owner_id")
     )

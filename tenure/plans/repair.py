@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tenure.functions.predicates import LOST, RULES, LogRules, is_assigned, is_to_fix, not_deleted
 from tenure.operators.sequence import with_next_assignment
-from tenure.operators.skew import Skew, account_lookup, lookup_join
+from tenure.operators.skew import Skew, account_lookup, only_accounts_to_fix, lookup_join
 from tenure.plans.counts import to_fix
 from tenure.plans.log import account_log, unchanged_accounts
 from tenure.plans.windows import attributions
@@ -108,7 +108,8 @@ def first_recorded_owner(
     skew: Skew = Skew(),
 ) -> DataFrame:
     """Rule 2: without history, the oldest owner the log names for the account."""
-    owners = unchanged_accounts(history, rules).select(
+    needed = only_accounts_to_fix(history, relation, skew)
+    owners = unchanged_accounts(needed, rules).select(
         "account_id", F.col("first_owner").alias("new_owner")
     )
     found = account_lookup(to_fix(relation).select("id", "account_id"), owners, "inner", skew)
@@ -129,11 +130,15 @@ def repair_status(
     ``has_history`` tells whether the account has a real change at all,
     ``new_owner`` is the owner found, ``status`` the rule that found it.
     """
-    timed = repair_end_dates(relation, skew) if repair_ends else relation
+    timed = relation
+    if repair_ends:
+        timed = repair_end_dates(only_accounts_to_fix(relation, relation, skew), skew)
     single = _single_owners(timed, history, excluded, rules, end_of_day, skew)
     known = account_lookup(
         to_fix(relation).select("id", "account_id"),
-        account_log(history, rules).select("account_id", "n_changes", "first_owner"),
+        account_log(only_accounts_to_fix(history, relation, skew), rules).select(
+            "account_id", "n_changes", "first_owner"
+        ),
         "left",
         skew,
     )

@@ -16,7 +16,7 @@ from tenure.functions.predicates import (
     relation_in,
 )
 from tenure.operators.intervals import changes_in_window, count_in_window
-from tenure.operators.skew import Skew, account_lookup
+from tenure.operators.skew import Skew, account_lookup, only_accounts_to_fix
 from tenure.plans.counts import owner_changes, to_fix
 
 
@@ -79,9 +79,10 @@ def attributions(
 
     Excluded relations are taken out of the counted ones, which are fewer.
     """
-    counted = count_in_window(
-        to_fix(relation), owner_changes(history, rules), None, end_of_day, skew=skew
-    ).select("id", "account_id", "n_changes", "last_value")
+    changes = owner_changes(only_accounts_to_fix(history, relation, skew), rules)
+    counted = count_in_window(to_fix(relation), changes, None, end_of_day, skew=skew).select(
+        "id", "account_id", "n_changes", "last_value"
+    )
     if excluded is None:
         return counted
     return counted.join(excluded.select("id"), "id", "left_anti")

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tenure.functions.predicates import is_assigned
-from tenure.operators.skew import Skew, all_present, largest, lookup_join, split_heavy
+from tenure.operators.skew import Skew, all_present, heavy_keys, lookup_join, split_heavy
 
 START, CHANGE, END = 0, 1, 2
 
@@ -132,9 +132,9 @@ def run_by_key(points: DataFrame, on: list[str]) -> DataFrame:
 
 
 def run_by_calendar(
-    points: DataFrame, on: list[str], time: T.DataType, rows: int
+    points: DataFrame, on: list[str], time: T.DataType, rows: int, wanted: Column
 ) -> DataFrame:
-    """Running count where a key is too big for one task.
+    """Running count where a key is too big for one task, for the wanted points.
 
     The points are first reduced to one row per instant, then counted in three
     levels: hours of the key, seconds of the hour, instants of the second. The
@@ -148,9 +148,7 @@ def run_by_calendar(
     hour = (F.col("second") - F.pmod("second", F.lit(3_600))).alias("hour")
     totals = [F.sum("n").alias("n"), F.max("seen").alias("seen")]
 
-    instants = points.groupBy(*on, hour, "second", "instant", "at", "kind").agg(
-        *totals, F.count(F.lit(1)).alias("n_rows")
-    )
+    instants = points.groupBy(*on, hour, "second", "instant", "at", "kind").agg(*totals)
     seconds = instants.groupBy(*on, "hour", "second").agg(*totals)
     hours = seconds.groupBy(*on, "hour").agg(*totals)
 
@@ -169,31 +167,30 @@ def run_by_calendar(
             "kind",
             (F.col("run") + F.col("n_before_second") + F.col("n_before_hour")).alias("run"),
             F.coalesce("last", "seen_before_second", "seen_before_hour").alias("last"),
-            "n_rows",
         )
     )
     # The count of an instant goes back to all its points. Those may be many
     # again, such as periods that start on the same day, hence a lookup join.
     at_instant = [*on, "second", "instant", "kind"]
+    asking = points.where(wanted).drop("n", "seen")
     return lookup_join(
-        points.drop("n", "seen"),
-        counted.drop("n_rows"),
-        at_instant,
-        "inner",
-        largest(instants, at_instant, rows),
+        asking, counted, at_instant, "inner", heavy_keys(asking, at_instant, rows)
     ).drop("second", "instant")
 
 
 def running_counts(
-    points: DataFrame, on: list[str], time: T.DataType, skew: Skew
+    points: DataFrame, on: list[str], time: T.DataType, skew: Skew, wanted: Column
 ) -> list[DataFrame]:
-    """``points`` with ``run``, the changes up to and including each point, and
-    ``last``, the latest of them. In disjoint parts: ordinary and heavy keys."""
+    """The ``wanted`` points with ``run``, the changes up to and including each,
+    and ``last``, the latest of those. In disjoint parts: ordinary and heavy keys."""
     heavy = skew.of_points(points, on)
     if heavy is None:
-        return [run_by_key(points, on)]
+        return [run_by_key(points, on).where(wanted)]
     rest, hot = split_heavy(points, heavy, on)
-    return [run_by_key(rest, on), run_by_calendar(hot, on, time, skew.rows)]
+    return [
+        run_by_key(rest, on).where(wanted),
+        run_by_calendar(hot, on, time, skew.rows, wanted),
+    ]
 
 
 # --- what the queries use ----------------------------------------------------
@@ -226,8 +223,7 @@ def count_in_window(
     # Start and end meet again inside the task that counted them: grouping by
     # the key and the id asks for no new shuffle.
     parts = [
-        part.where(F.col("kind") != CHANGE)
-        .groupBy(*on, "id")
+        part.groupBy(*on, "id")
         .agg(
             at(START, "run").alias("before"),
             at(END, "run").alias("upto"),
@@ -236,7 +232,7 @@ def count_in_window(
         )
         .where(F.col("upto") > F.col("before"))
         .withColumn("n_changes", F.col("upto") - F.col("before"))
-        for part in running_counts(points, on, time, skew)
+        for part in running_counts(points, on, time, skew, F.col("kind") != CHANGE)
     ]
     return reduce(DataFrame.unionByName, parts)
 
@@ -268,9 +264,9 @@ def changes_in_window(
         ),
     )
     points = change_points(changes, on, time, ("changed_at", "old_value", "new_value"))
-    numbered = reduce(DataFrame.unionByName, running_counts(points, on, time, skew)).withColumn(
-        "block", F.shiftright("run", BLOCK_BITS)
-    )
+    numbered = reduce(
+        DataFrame.unionByName, running_counts(points, on, time, skew, F.col("kind") == CHANGE)
+    ).withColumn("block", F.shiftright("run", BLOCK_BITS))
     inside = (F.col("run") > F.col("before")) & (F.col("run") <= F.col("upto"))
     return (
         spans.join(numbered, [*on, "block"])

@@ -48,7 +48,9 @@ def _next_by_instant(relation: DataFrame, rows: int) -> DataFrame:
             }
         )
     )
-    numbered = run_by_calendar(instants, ["account_id"], time, rows).drop("at", "kind", "last")
+    numbered = run_by_calendar(
+        instants, ["account_id"], time, rows, F.col("kind") == CHANGE
+    ).drop("at", "kind", "last")
     following = numbered.select(
         "account_id", (F.col("run") - 1).alias("run"), F.col("assigned_at").alias("following_at")
     )

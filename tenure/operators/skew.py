@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from tenure.functions.predicates import is_to_fix
 
-HEAVY_ROWS = 1_000_000
+# Rows of one key that a task can still sort in seconds.
+HEAVY_ROWS = 5_000_000
 MAX_HEAVY_KEYS = 100_000
 # Accounts that may be broadcast to thin out the log, once they are counted.
 MAX_ACCOUNTS = 500_000

@@ -1,4 +1,4 @@
-"""Hand-made rows with literal answers: bounds, nulls, pools, ties, names."""
+"""Hand-made rows with literal answers: nulls, pools, ties, names, repairs."""
 
 import datetime as dt
 
@@ -10,117 +10,10 @@ from tenure.plans import counts, log, repair, windows
 JAN, FEB = day("01-01"), day("02-01")
 
 
-def counted(rows, make, relation, history, skew, **options):
-    return rows(windows.changes_per_relation(relation, history, skew=skew, **options))
-
-
 def one(**fields):
     return {"id": "r", "start": JAN, "end": FEB, **fields}
 
 
-# --- the period --------------------------------------------------------------
-
-
-def test_both_bounds_belong_to_the_period(make, rows, skew):
-    relation = make.relations(one())
-    history = make.history((1, JAN, "A", "B"), (1, FEB, "B", "C"))
-    assert counted(rows, make, relation, history, skew) == [("r", 2)]
-    assert len(rows(windows.relation_changes(relation, history, skew=skew))) == 2
-
-
-def test_a_microsecond_outside_is_outside(make, rows, skew):
-    relation = make.relations(one())
-    history = make.history(
-        (1, day("01-01", -1), "A", "B"), (1, day("02-01", 1), "B", "C")
-    )
-    assert counted(rows, make, relation, history, skew) == []
-    assert rows(windows.relation_changes(relation, history, skew=skew)) == []
-
-
-def test_an_open_period_takes_every_later_change(make, rows, skew):
-    relation = make.relations(one(end=None))
-    history = make.history(
-        (1, day("03-01"), "A", "B"), (1, day("12-31 23:59"), "B", "C"), (1, day("01-01", -1), "C", "D")
-    )
-    assert counted(rows, make, relation, history, skew) == [("r", 2)]
-
-
-def test_without_a_start_nothing_is_inside(make, rows, skew):
-    relation = make.relations(one(start=None, end=None))
-    history = make.history((1, day("03-01"), "A", "B"))
-    assert counted(rows, make, relation, history, skew) == []
-    assert rows(counts.to_fix_counts(relation)) == [(0, 0)]
-
-
-def test_a_period_that_ends_before_it_starts_is_empty(make, rows, skew):
-    relation = make.relations(one(start=FEB, end=JAN))
-    history = make.history((1, day("01-15"), "A", "B"), (1, JAN, "A", "B"), (1, FEB, "A", "B"))
-    assert counted(rows, make, relation, history, skew) == []
-    assert rows(windows.relation_changes(relation, history, skew=skew)) == []
-
-
-def test_a_shared_bound_counts_for_both_neighbours(make, rows, skew):
-    relation = make.relations(
-        one(id="a"), one(id="b", start=FEB, end=day("03-01"))
-    )
-    history = make.history((1, FEB, "A", "B"))
-    assert counted(rows, make, relation, history, skew) == [("a", 1), ("b", 1)]
-
-
-def test_the_same_owner_twice_is_two_changes(make, rows, skew):
-    relation = make.relations(one())
-    history = make.history((1, day("01-02"), "A", "B"), (1, day("01-03"), "C", "B"))
-    assert counted(rows, make, relation, history, skew) == [("r", 2)]
-    assert rows(windows.single_change_relations(relation, history, skew=skew)) == []
-    assert rows(windows.ambiguous_relations(relation, history, skew=skew)) == [("r",)]
-
-
-def test_changes_at_one_instant_all_count(make, rows, skew):
-    relation = make.relations(one(start=FEB, end=FEB))
-    history = make.history((1, FEB, "A", "B"), (1, FEB, "B", "C"), (1, FEB, "A", "B"))
-    assert counted(rows, make, relation, history, skew) == [("r", 3)]
-    assert len(rows(windows.relation_changes(relation, history, skew=skew))) == 3
-
-
-def test_end_of_day_reaches_the_last_microsecond(make, rows, skew):
-    relation = make.relations(one())
-    history = make.history(
-        (1, day("02-01 08:00"), "A", "B"),
-        (1, day("02-02", -1), "B", "C"),
-        (1, day("02-02"), "C", "D"),
-    )
-    assert counted(rows, make, relation, history, skew) == []
-    assert counted(rows, make, relation, history, skew, end_of_day=True) == [("r", 2)]
-
-
-def test_dates_count_as_their_midnight(make, rows, skew):
-    relation = make.relations(one()).selectExpr(
-        "id", "account_id", "is_deleted", "date(assigned_at) assigned_at",
-        "date(ended_at) ended_at", "owner",
-    )
-    history = make.history((1, JAN, "A", "B"), (1, FEB, "B", "C"), (1, day("02-01 08:00"), "C", "D"))
-    assert counted(rows, make, relation, history, skew) == [("r", 2)]
-    assert counted(rows, make, relation, history, skew, end_of_day=True) == [("r", 3)]
-
-
-def test_hours_that_a_clock_change_repeats_or_skips(make, rows, skew, spark):
-    """Zoned times follow the clock's instants, unzoned ones their own calendar."""
-    times = [day("03-14 01:59"), day("03-14 02:30"), day("03-14 03:10"), day("03-14 03:40")]
-    relation = make.relations(one(start=times[1], end=times[2]))
-    history = make.history(*((1, at, "A", "B") for at in times))
-    assert counted(rows, make, relation, history, skew) == [("r", 2)]
-
-    seconds = [1636261200 + 60 * m for m in (30, 45, 70, 100, 130)]  # 01:30 EDT .. 02:10 EST
-    zoned = spark.createDataFrame([(s,) for s in seconds], "s long").selectExpr(
-        "1L account_id", "timestamp_seconds(s) changed_at", "'Owner' field", "'A' old_value", "'B' new_value"
-    )
-    periods = spark.sql(
-        f"select 'r' id, 1L account_id, false is_deleted, timestamp_seconds({seconds[1]}) assigned_at,"
-        f" timestamp_seconds({seconds[3]}) ended_at, cast(null as string) owner"
-    )
-    assert counted(rows, make, periods, zoned, skew) == [("r", 3)]
-
-
 # --- the log -----------------------------------------------------------------
 
 
@@ -169,7 +62,7 @@ def test_an_unknown_deletion_drops_the_relation(make, rows, skew):
     assert rows(counts.backlog_counts(relation)) == [(2, 1, 1)]
     assert rows(counts.backlog(relation), "id") == [("e",)]
     assert rows(counts.unresolved_relations(relation)) == [("c",)]
-    assert counted(rows, make, relation, history, skew) == [("c", 2)]
+    assert rows(windows.changes_per_relation(relation, history, skew=skew)) == [("c", 2)]
     assert rows(windows.accounts_of_relations(relation, ["a", "b"])) == [(1,)]
     assert rows(windows.account_timeline(relation, 1), "id") == [(x,) for x in "abcdef"]
     audit = windows.ambiguous_account_audit(relation, history, skew=skew)

@@ -44,7 +44,7 @@ def test_filters_and_columns_reach_the_scan(tables):
     ):
         assert pushed in text
     scan = plan(counts.unresolved_relations(tables[0]))
-    for pushed in ("EqualTo(is_deleted,false)", "IsNotNull(assigned_at)", "IsNull(owner)"):
+    for pushed in ("Not(EqualTo(is_deleted,true))", "IsNotNull(assigned_at)", "IsNull(owner)"):
         assert pushed in scan
     assert "ended_at" not in scan and "created_on" not in scan
 

@@ -218,20 +218,20 @@ def count_in_window(
     )
 
     def at(kind: int, column: str) -> Column:
-        return F.max(F.when(F.col("kind") == kind, F.col(column)))
+        return F.when(F.col("kind") == kind, F.col(column))
 
     # Start and end meet again inside the task that counted them: grouping by
     # the key and the id asks for no new shuffle.
     parts = [
         part.groupBy(*on, "id")
         .agg(
-            at(START, "run").alias("before"),
-            at(END, "run").alias("upto"),
-            at(END, "last.value").alias("last_value"),
+            (F.sum(at(END, "run")) - F.sum(at(START, "run"))).alias("n_changes"),
+            F.max(at(START, "run")).alias("before"),
+            F.max(at(END, "run")).alias("upto"),
+            F.max(at(END, "last.value")).alias("last_value"),
             *(F.max(name).alias(name) for name in payload),
         )
-        .where(F.col("upto") > F.col("before"))
-        .withColumn("n_changes", F.col("upto") - F.col("before"))
+        .where(F.col("n_changes") > 0)
         for part in running_counts(points, on, time, skew, F.col("kind") != CHANGE)
     ]
     return reduce(DataFrame.unionByName, parts)
@@ -249,7 +249,9 @@ def changes_in_window(
     change's ``changed_at``, ``old_value`` and ``new_value``. The join key is the
     account and a block of change numbers, so a block holds a bounded number of
     changes (but for changes at one instant, which belong together anyway), and
-    a relation is compared with what it contains and little else.
+    a relation is compared with what it contains and little else. Both sides
+    arrive by a shuffle of their own and the result asks for no partitioning, so
+    adaptive execution can split a block that very many relations span.
     """
     on = ["account_id"]
     time = _time_type(changes, relation)

@@ -13,6 +13,7 @@ import pytest
 import __spark_entry__ as entry
 from tenure.operators.skew import survey
 from tenure.plans import counts, log, repair, windows
+from tenure.sources import derived
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -167,3 +168,15 @@ def test_repair_leaves_nothing_to_fix(given):
     repaired = repair.mark_lost(t.relation, status)
     assert counts.unresolved_relations(repaired).count() == 0
     assert repaired.count() == t.relation.count()
+
+
+def test_without_a_shared_folder_the_tables_are_derived_in_the_query(spark, given, rows):
+    lazy = derived.derive(spark, FOLDER)
+    got = windows.change_count_buckets(
+        lazy.relation, lazy.owner_history, lazy.excluded, skew=given.skew
+    )
+    assert rows(got) == [(75, 52, 18, 1, 4)]
+
+
+def test_heavy_accounts_derive_the_same_relations(spark, given, rows):
+    assert rows(derived.derive(spark, FOLDER, rows=3).relation) == rows(given.tables.relation)

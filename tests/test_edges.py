@@ -253,3 +253,9 @@ def test_repair_end_to_end(make, rows, skew):
     open_ended = repair.repair_status(relation, history, repair_ends=False, skew=skew)
     assert ("one", 1, True, "lost", None) in rows(open_ended)
     assert rows(counts.unresolved_relations(repair.mark_lost(relation, status))) == []
+
+
+def test_a_repeated_relation_counts_as_often_as_it_occurs(make, rows, skew):
+    relation = make.relations(one(), one(), one(id="s"))
+    history = make.history((1, day("01-05"), "A", "B"))
+    assert rows(windows.changes_per_relation(relation, history, skew=skew)) == [("r", 2), ("s", 1)]

@@ -23,7 +23,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tenure.functions.predicates import is_assigned
-from tenure.operators.skew import Skew, all_present, heavy_keys, lookup_join, split_heavy
+from tenure.operators.skew import (
+    Skew,
+    all_present,
+    expand_join,
+    heavy_keys,
+    lookup_join,
+    split_heavy,
+)
 
 START, CHANGE, END = 0, 1, 2
 
@@ -249,29 +256,36 @@ def changes_in_window(
     change's ``changed_at``, ``old_value`` and ``new_value``. The join key is the
     account and a block of change numbers, so a block holds a bounded number of
     changes (but for changes at one instant, which belong together anyway), and
-    a relation is compared with what it contains and little else. Both sides
-    arrive by a shuffle of their own and the result asks for no partitioning, so
-    adaptive execution can split a block that very many relations span.
+    a relation is compared with what it contains and little else. A block that
+    very many relations span is dealt into parts; only a heavy account can have
+    one, so that is looked for only where there are heavy accounts.
     """
     on = ["account_id"]
     time = _time_type(changes, relation)
-    spans = count_in_window(
-        relation, changes, on, end_of_day, ("assigned_at", "ended_at", "owner"), skew
-    ).withColumn(
-        "block",
-        F.explode(
-            F.sequence(
-                F.shiftright(F.col("before") + 1, BLOCK_BITS), F.shiftright("upto", BLOCK_BITS)
-            )
-        ),
+    blocks = F.sequence(
+        F.shiftright(F.col("before") + 1, BLOCK_BITS), F.shiftright("upto", BLOCK_BITS)
+    )
+    payload = ("assigned_at", "ended_at", "owner")
+    spans = (
+        count_in_window(relation, changes, on, end_of_day, payload, skew)
+        .drop("n_changes", "last_value")
+        .withColumn("block", F.explode(blocks))
     )
     points = change_points(changes, on, time, ("changed_at", "old_value", "new_value"))
-    numbered = reduce(
-        DataFrame.unionByName, running_counts(points, on, time, skew, F.col("kind") == CHANGE)
-    ).withColumn("block", F.shiftright("run", BLOCK_BITS))
+    parts = running_counts(points, on, time, skew, F.col("kind") == CHANGE)
+    numbered = (
+        reduce(DataFrame.unionByName, parts)
+        .select(*on, "changed_at", "old_value", "new_value", "run")
+        .withColumn("block", F.shiftright("run", BLOCK_BITS))
+    )
+    key = [*on, "block"]
+    left = right = None
+    if len(parts) > 1 or skew.of_relations(relation, on) is not None:
+        left = heavy_keys(spans, key, skew.rows)
+        right = heavy_keys(numbered, key, skew.rows)
     inside = (F.col("run") > F.col("before")) & (F.col("run") <= F.col("upto"))
     return (
-        spans.join(numbered, [*on, "block"])
+        expand_join(spans, numbered, key, left, right, skew.rows)
         .where(inside)
         .select(
             "id",

@@ -195,29 +195,30 @@ def account_lookup(relation: DataFrame, right: DataFrame, how: str, skew: Skew)
     return lookup_join(relation, right, "account_id", how, heavy)
 
 
-def _parts(heavy: DataFrame, on: str, own: str, other: str, rows: int) -> DataFrame:
+def _parts(heavy: DataFrame, on: list[str], own: str, other: str, rows: int) -> DataFrame:
     """How many parts each heavy key's rows are dealt into on its own side."""
     n_parts = F.ceil(F.col("n_rows") / max(rows, 1)).cast("int")
-    return heavy.select(on, n_parts.alias(own), F.lit(1).alias(other))
+    return heavy.select(*on, n_parts.alias(own), F.lit(1).alias(other))
 
 
 def expand_join(
     left: DataFrame,
     right: DataFrame,
-    on: str,
+    on: str | list[str],
     left_heavy: DataFrame | None,
     right_heavy: DataFrame | None,
     rows: int = HEAVY_ROWS,
 ) -> DataFrame:
     """Inner join where both sides may have many rows per key.
 
-    Every pair is part of the result, so the work is the output; what matters is
-    that no task makes all of a heavy key's pairs. Its left rows are dealt into
+    The work is the output, as nearly every pair is part of the result; what matters
+    is that no task makes all of a heavy key's pairs. Its left rows are dealt into
     ``n_rows / rows`` parts and its right rows likewise, each side is copied to
     the other's parts, and every pair meets in exactly one of them. The part of a
     row comes from its content and input partition, not from chance, so a
     recomputed task deals the same way; the partition splits identical copies.
     """
+    on = _names(on)
     sides = [
         _parts(heavy, on, own, other, rows)
         for heavy, own, other in (
@@ -230,7 +231,7 @@ def expand_join(
         return left.join(right, on)
     parts = (
         reduce(DataFrame.unionByName, sides)
-        .groupBy(on)
+        .groupBy(*on)
         .agg(F.max("_left").alias("_left"), F.max("_right").alias("_right"))
     )
 
@@ -247,6 +248,6 @@ def expand_join(
 
     return (
         deal(left, "_left", "_right")
-        .join(deal(right, "_right", "_left"), [on, "_left_part", "_right_part"])
+        .join(deal(right, "_right", "_left"), [*on, "_left_part", "_right_part"])
         .drop("_left_part", "_right_part")
     )

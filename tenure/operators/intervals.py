@@ -257,8 +257,8 @@ def changes_in_window(
     account and a block of change numbers, so a block holds a bounded number of
     changes (but for changes at one instant, which belong together anyway), and
     a relation is compared with what it contains and little else. A block that
-    very many relations span is dealt into parts; only a heavy account can have
-    one, so that is looked for only where there are heavy accounts.
+    very many relations span, or that holds very many changes, is dealt into
+    parts; that is looked for only where an account has so many of them.
     """
     on = ["account_id"]
     time = _time_type(changes, relation)
@@ -280,9 +280,13 @@ def changes_in_window(
     )
     key = [*on, "block"]
     left = right = None
-    if len(parts) > 1 or skew.of_relations(relation, on) is not None:
+    if skew.of_relations(relation, on) is not None:
         left = heavy_keys(spans, key, skew.rows)
-        right = heavy_keys(numbered, key, skew.rows)
+    if len(parts) > 1:
+        # A block outgrows its size only by changes at one instant.
+        spare = skew.rows - (1 << BLOCK_BITS)
+        if heavy_keys(changes, [*on, "changed_at"], spare) is not None:
+            right = heavy_keys(numbered, key, skew.rows)
     inside = (F.col("run") > F.col("before")) & (F.col("run") <= F.col("upto"))
     return (
         expand_join(spans, numbered, key, left, right, skew.rows)

@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -33,14 +32,12 @@ CHUNK, OVERLAP = 1 << 15, 1 << 11
 MARGIN = 8
 
 
-@lru_cache(maxsize=4)
 def ranks_of(path: str) -> dict[bytes, int]:
     with open(path, "rb") as file:
         pairs = (line.split() for line in file if line.strip())
         return {base64.b64decode(token): int(rank) for token, rank in pairs}
 
 
-@lru_cache(maxsize=4)
 def encoding_of(path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding(
         "from_file", pat_str=pattern, mergeable_ranks=ranks_of(path), special_tokens={}

@@ -6,23 +6,65 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tenure.llm import bpe
-from tenure.llm.common import read
+from tenure.llm import bpe, hilbert, mixing, onebit, oracles, pivots
+from tenure.llm.common import n_bytes, read
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_pivot_near_dup(spark: SparkSession, folder: str) -> DataFrame:
+    return pivots.near_duplicates(read(spark, folder, "embeddings"))
+
+
+def op2_one_bit_search(spark: SparkSession, folder: str) -> DataFrame:
+    return onebit.search(read(spark, folder, "embeddings"), F.col("id") % 20 == 0)
+
+
+def op3_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
+    rows = read(spark, folder, "documents").select(
+        "doc_id",
+        (n_bytes(F.col("text")) + 1).alias("size"),
+        F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32"),
+        "lang",
+        "source",
+    )
+    dims = {
+        "lang": hilbert.prefix_number(F.col("lang")),
+        "source": hilbert.prefix_number(F.col("source")),
+        "size": F.col("size"),
+        "doc_id": F.col("doc_id"),
+    }
+    return hilbert.shards(rows, dims, tie=["text_crc32", "doc_id"]).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     ids = bpe.encode(read(spark, folder, "documents"), VOCABULARY, public_tokenizers.PATTERN)
     return bpe.digests(bpe.decode(ids, VOCABULARY))
 
 
+def op8_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(read(spark, folder, "documents")).drop("spans")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pivot_near_dup": op1_pivot_near_dup,
+        "op2_one_bit_search": op2_one_bit_search,
+        "op3_hilbert_shards": op3_hilbert_shards,
         "op7_byte_bpe": op7_byte_bpe,
+        "op8_source_mix": op8_source_mix,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()

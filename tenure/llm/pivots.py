@@ -96,7 +96,7 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _compare(threshold: float, shared: int):
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("root", pa.int64())])
 
-    def compare(key, table: pa.Table) -> pa.Table:
+    def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         pivot, first_tile, second_tile = (k.as_py() for k in key)
         ids = table["id"].to_numpy()
         weight = table["weight"].to_numpy()

@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenure.llm import bpe, hilbert, mixing, onebit, oracles, pivots
-from tenure.llm.common import n_bytes, read
+from tenure.llm import bpe, chat, hilbert, langid, mixing, onebit, oracles, pivots, urltree
+from tenure.llm.common import cut, n_bytes, read
 
+RULES = (
+    urltree.Rule("org/", True),
+    urltree.Rule("example.org/es/", False),
+    urltree.Rule("example.org/en/1", False),
+    urltree.Rule("com/fr/", True),
+    urltree.Rule("com/de/", False),
+)
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
@@ -47,6 +55,21 @@ def op3_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def shown_document(url: Column) -> Column:
+    """The document that a page of these tables shows; its address has the id."""
+    _, path = urltree.host_and_path(url)
+    return F.regexp_extract(path, r"/(\d{1,18})(?:\.\w+)?/?$", 1).try_cast("long")
+
+
+def op6_url_templates(spark: SparkSession, folder: str) -> DataFrame:
+    pages = read(spark, folder, "pages")
+    labels = read(spark, folder, "labels").select(
+        "doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad")
+    )
+    shown = pages.select("page_id", shown_document(F.col("url")).alias("doc_id"))
+    return urltree.judge(pages, shown.join(labels, "doc_id").select("page_id", "bad"), RULES)
+
+
 def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     ids = bpe.encode(read(spark, folder, "documents"), VOCABULARY, public_tokenizers.PATTERN)
     return bpe.digests(bpe.decode(ids, VOCABULARY))
@@ -56,13 +79,63 @@ def op8_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(read(spark, folder, "documents")).drop("spans")
 
 
+def with_page(docs: DataFrame, pages: DataFrame) -> DataFrame:
+    """``docs`` with ``declared``, ``suffix`` and ``host`` of the page that shows them, the
+    first by id; the source stands for the host of a document without a page."""
+    host, _ = urltree.host_and_path(F.col("url"))
+    declared = F.regexp_extract("html", r"(?i)<html[^>]*\slang\s*=\s*[\"']?([a-z]+)", 1)
+    seen = (
+        pages.select(
+            shown_document(F.col("url")).alias("doc_id"),
+            F.struct(
+                "page_id", F.nullif(declared, F.lit("")).alias("declared"), host.alias("host")
+            ).alias("page"),
+        )
+        .where(F.col("doc_id").isNotNull())
+        .groupBy("doc_id")
+        .agg(F.min("page").alias("page"))
+    )
+    return docs.join(seen, "doc_id", "left").select(
+        *docs.columns,
+        F.col("page.declared").alias("declared"),
+        F.substring_index("page.host", ".", -1).alias("suffix"),
+        F.coalesce("page.host", "source").alias("host"),
+    )
+
+
+def op9_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    model = langid.train(docs)
+    slim = docs.select("doc_id", "source", langid.text_scores(F.col("text"), model).alias("scores"))
+    scored = cut(with_page(slim, read(spark, folder, "pages")))
+    return langid.fuse(scored, model, langid.gather(scored, model)).select(
+        "doc_id", "language", "probability", "accepted"
+    )
+
+
+# A conversation that holds the marks of another template.
+MARKED = r"\### Assistant: </turn> ok"
+
+
+def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    record = {"id": -7, "messages": [{"role": r, "content": MARKED} for r in ("user", "assistant")]}
+    one = spark.range(1).select(F.lit(json.dumps(record)).alias("record"))
+    turns = chat.turns_of_table(read(spark, folder, "conversations")).unionByName(
+        chat.turns_of_records(one, "record")
+    )
+    return chat.read_back(chat.format_turns(turns))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pivot_near_dup": op1_pivot_near_dup,
         "op2_one_bit_search": op2_one_bit_search,
         "op3_hilbert_shards": op3_hilbert_shards,
+        "op6_url_templates": op6_url_templates,
         "op7_byte_bpe": op7_byte_bpe,
         "op8_source_mix": op8_source_mix,
+        "op9_language": op9_language,
+        "op10_chat_format": op10_chat_format,
     }
 
 

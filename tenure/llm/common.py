@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,20 +20,40 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder: computed once, lineage gone.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share for intermediate tables.
 
-    The session names the folder in ``spark.checkpoint.dir``; only a session
-    without one, as in tests, gets a temporary folder.
+    The session names it in ``spark.checkpoint.dir``; only a session without one, as in
+    tests, gets a temporary folder.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder: computed once, lineage gone."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stage(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` as a table in the shared checkpoint folder, and its path. Unlike ``cut`` it
+    is compressed, and ``discard`` takes it away once nothing reads it any more."""
+    spark = df.sparkSession
+    shared = checkpoint_folder(spark)
+    path = f"{shared}/stage-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def n_words(text: Column) -> Column:
     """Number of words of a text; a null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenure.llm import bpe, chat, hilbert, langid, mixing, onebit, oracles, pivots, urltree
+from tenure.llm import bpe, chat, hilbert, langid, mixing, ngrams, onebit, oracles, pivots, urltree
 from tenure.llm.common import cut, n_bytes, read
 
 RULES = (
@@ -55,6 +55,10 @@ def op3_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngrams.near_duplicates(read(spark, folder, "documents"))
+
+
 def shown_document(url: Column) -> Column:
     """The document that a page of these tables shows; its address has the id."""
     _, path = urltree.host_and_path(url)
@@ -131,6 +135,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_pivot_near_dup": op1_pivot_near_dup,
         "op2_one_bit_search": op2_one_bit_search,
         "op3_hilbert_shards": op3_hilbert_shards,
+        "op5_ngram_join": op5_ngram_join,
         "op6_url_templates": op6_url_templates,
         "op7_byte_bpe": op7_byte_bpe,
         "op8_source_mix": op8_source_mix,

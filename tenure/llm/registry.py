@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenure.llm import bpe, chat, hilbert, langid, mixing, ngrams, onebit, oracles, pivots, urltree
+from tenure.llm import bpe, chat, hilbert, langid, lines, mixing, ngrams, onebit, oracles, pivots, urltree
 from tenure.llm.common import cut, n_bytes, read
 
 RULES = (
@@ -55,6 +55,21 @@ def op3_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    kept = lines.kept_lines(docs)
+    own = docs.select("doc_id", F.xxhash64("text").alias("hash"))
+    joined = own.join(
+        kept, own["doc_id"].eqNullSafe(kept["id"]) & (own["hash"] == kept["content"]), "left"
+    )
+    return joined.select(
+        "doc_id",
+        F.coalesce("n_lines", F.lit(0)).alias("n_lines"),
+        F.coalesce("kept", F.array().cast("array<int>")).alias("kept_lines"),
+        (F.coalesce("n_lines", F.lit(0)) - F.coalesce(F.size("kept"), F.lit(0))).alias("n_removed"),
+    )
+
+
 def op5_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngrams.near_duplicates(read(spark, folder, "documents"))
 
@@ -135,6 +150,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_pivot_near_dup": op1_pivot_near_dup,
         "op2_one_bit_search": op2_one_bit_search,
         "op3_hilbert_shards": op3_hilbert_shards,
+        "op4_line_dedup": op4_line_dedup,
         "op5_ngram_join": op5_ngram_join,
         "op6_url_templates": op6_url_templates,
         "op7_byte_bpe": op7_byte_bpe,

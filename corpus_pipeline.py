@@ -1,17 +1,121 @@
-"""A training corpus from ``documents``, stage by stage."""
+"""A training corpus from ``documents``, stage by stage.
+
+Every stage takes what the one before it kept. Documents whose language cannot be told
+go; lines that repeat an earlier one go, and with them documents that are left empty; one
+document of each group of near-duplicates stays, the one with the smallest id; sources
+are mixed to their target weights, so a document may come twice, or in part; the last
+stage encodes what is left. Each function takes (spark, docs, sf_dir).
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tenure.llm import bpe, langid, lines, mixing, ngrams, registry
+from tenure.llm.common import WORD, cut, read, stage
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the fused evidence tells with enough probability."""
+    pages = read(spark, sf_dir, "pages")
+    model = langid.train(docs)
+    scored = docs.withColumn("scores", langid.text_scores(F.col("text"), model))
+    slim = cut(registry.with_page(scored.select("doc_id", "source", "scores"), pages))
+    judged = langid.fuse(
+        registry.with_page(scored, pages), model, langid.gather(slim, model)
+    )
+    return judged.where("accepted").select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that repeat an earlier one."""
+    return _counted(lines.without_repeats(docs))
+
+
+def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near-duplicates.
+
+    Of rows that agree in id and text one stays. Rows without words stay, and so do rows
+    without an id, as nothing tells them apart.
+    """
+    has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    groups, _ = stage(ngrams.near_duplicates(docs))
+    # Every row knows the smallest id of its group: those that have it themselves stay.
+    heads = groups.where("n_shingles > 0 and doc_id <=> component_id").select("doc_id").distinct()
+    with_words = docs.where(has_words & F.col("doc_id").isNotNull())
+    return (
+        with_words.join(heads, "doc_id", "left_semi")
+        .dropDuplicates(["doc_id", "text"])
+        .unionByName(docs.where(~has_words | F.col("doc_id").isNull()))
+        .select(*docs.columns)
+    )
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: a row for each run of words that it takes of a document in one round.
+
+    A document taken whole keeps its text as it is; of one taken in part, the words are
+    joined by single spaces.
+    """
+    carried = tuple(c for c in docs.columns if c not in ("doc_id", "source"))
+    mixed = mixing.mix(
+        docs.withColumn("origin", F.col("source")), carry=(*carried, "origin")
+    )
+    rounds = F.array(*(_round(turn) for turn in range(2)))
+    taken = mixed.withColumn("run", F.explode(rounds)).where("run.to > run.from")
+    words = F.slice(
+        F.regexp_extract_all("text", F.lit(WORD), F.lit(0)),
+        F.col("run.from").cast("int") + 1,
+        (F.col("run.to") - F.col("run.from")).cast("int"),
+    )
+    whole = (F.col("run.from") == 0) & (F.col("run.to") == F.col("size"))
+    text = F.when(whole, F.col("text")).otherwise(F.array_join(words, " "))
+    return _counted(
+        taken.select("doc_id", *carried, F.col("origin").alias("source"), text.alias("run_text"))
+        .withColumn("text", F.col("run_text"))
+        .select(*docs.columns)
+    )
+
+
+def _round(turn: int):
+    """The shards' spans of one round follow each other, so they are one run."""
+    own = F.filter("spans", lambda s: s["pass"] == turn)
+    return F.struct(
+        F.coalesce(F.array_min(F.transform(own, lambda s: s["from"])), F.lit(0)).alias("from"),
+        F.coalesce(F.array_max(F.transform(own, lambda s: s["to"])), F.lit(0)).alias("to"),
+    )
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id`` with the ids of each row, checked by decoding them again."""
+    pattern = registry.public_tokenizers.PATTERN
+    ids = bpe.encode(docs, registry.VOCABULARY, pattern)
+    return bpe.digests(bpe.decode(ids, registry.VOCABULARY))
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """``n_chars`` of the text as it is now."""
+    return docs.withColumn("n_chars", F.length("text").cast("long"))
+
 
-from tenure.llm.common import read
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("ngram_join", ngram_join),
+    ("source_mix", source_mix),
+    ("byte_bpe", byte_bpe),
+]
 
-STAGES: list = []
+# SQL cannot state the language model, the similarity joins or the tokenizer.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; what each returns is written and read again as the next one's input."""
     docs = read(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, function in STAGES[:-1]:
+        docs, _ = stage(function(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

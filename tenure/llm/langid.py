@@ -136,8 +136,8 @@ def gather(scored: DataFrame, model: Model) -> Evidence:
         _best(F.col("scores"), n).alias("best"), "declared", "suffix", "host",
         parent_of(F.col("host")).alias("parent"),
     )
-    totals = rows.agg(*(F.count_if(F.col("best") == i + 1).alias(str(i)) for i in range(n))).first()
-    seen = np.array([totals[str(i)] for i in range(n)], float)
+    counted = [F.count_if(F.col("best") == i + 1) for i in range(n)]
+    seen = np.array(rows.agg(F.count(F.lit(1)), *counted).first()[1:], float)
     overall = (seen + 1) / (seen.sum() + max(n, 1))
 
     def likelihood(key: str) -> DataFrame:

@@ -1,0 +1,151 @@
+"""N-gram join and line deduplication against all pairs."""
+
+import random
+import re
+
+import pytest
+
+from tenure.llm import hashing, lines, ngrams
+
+SMALL = "/root/testdata/sf0.001"
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+
+
+def words(text):
+    return WORD.findall((text or "").encode().translate(LOWER))
+
+
+def similar(a, b):
+    common = len(a & b)
+    return 100 * common >= 80 * (len(a) + len(b) - common)
+
+
+def made_up():
+    """Texts with near copies of all degrees, in several lines, and odd ones."""
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(300)] + ["the", "of", "Été", "été"]
+    texts = []
+    for _ in range(40):
+        base = [rng.choice(vocabulary) for _ in range(rng.randint(1, 60))]
+        for _ in range(rng.randint(1, 6)):
+            copy = [w if rng.random() > rng.choice([0, 0.01, 0.05, 0.2]) else rng.choice(vocabulary) for w in base]
+            for at in range(7, len(copy), 9):
+                copy[at] = "\n" + copy[at]
+            texts.append(" ".join(copy))
+    shared = " ".join(f"p{i}" for i in range(60))
+    texts += [shared, f"{shared} tail", f"other {shared}", shared.upper().replace(" ", "\t")]
+    texts += ["", None, " \n\t ", "one", "One", "a b c d", "a b c d e", "A B C D", "x\r\ny", "\n\nend\n"]
+    # A hot group: many copies with one word changed.
+    hot = [f"h{i}" for i in range(40)]
+    texts += [" ".join([*hot[:k], "new", *hot[k + 1 :]]) for k in range(40)] * 2
+    rng.shuffle(texts)
+    return texts
+
+
+def expected_groups(rows):
+    sets = {}
+    for i, text in rows:
+        own = words(text)
+        sets[i] = {tuple(own[k : k + 5]) for k in range(max(1, len(own) - 4))} if own else set()
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(sets)
+    for x, a in enumerate(ids):
+        for b in ids[:x]:
+            if sets[a] and sets[b] and similar(sets[a], sets[b]):
+                low, high = sorted((find(a), find(b)))
+                root[high] = low
+    return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+@pytest.mark.parametrize("tile", [3, 256])
+def test_ngram_groups(spark, tile):
+    given = [(i, t, -1, "x") for i, t in enumerate(made_up())]
+    docs = spark.createDataFrame(given, "doc_id long, text string, component_id long, fp string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngrams.near_duplicates(docs, tile=tile).collect()}
+    assert got == expected_groups([(i, t) for i, t, *_ in given])
+
+
+def test_ngram_groups_of_documents(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngrams.near_duplicates(docs).collect()}
+    assert got == expected_groups([tuple(r) for r in docs.select("doc_id", "text").collect()])
+
+
+def test_ngram_odd_rows(spark):
+    schema = "doc_id long, text string"
+    assert ngrams.near_duplicates(spark.createDataFrame([], schema)).collect() == []
+    text = "a b c d e f"
+    given = [(None, text), (5, text), (5, text), (None, "z"), (7, None), (8, "")]
+    got = ngrams.near_duplicates(spark.createDataFrame(given, schema)).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(
+        [(None, 2, 5), (5, 2, 5), (5, 2, 5), (None, 1, None), (7, 0, 7), (8, 0, 8)], key=repr
+    )
+
+
+def expected_lines(rows):
+    seen, kept = [], {}
+    for i, text in rows:
+        kept[i] = []
+        for k, line in enumerate((text or "").split("\n")):
+            own = frozenset(words(line))
+            if not own:
+                continue
+            if not any(similar(own, other) for other in seen):
+                kept[i].append(k)
+            seen.append(own)
+    return kept
+
+
+@pytest.mark.parametrize("tile", [3, 256])
+def test_kept_lines(spark, tile):
+    given = [(i, t, "x", 1) for i, t in enumerate(made_up())]
+    docs = spark.createDataFrame(given, "doc_id long, text string, line string, kept int")
+    found = {r.id: r.kept for r in lines.kept_lines(docs, tile=tile).collect()}
+    expected = expected_lines([(i, t) for i, t, *_ in given])
+    assert {i: found.get(i, []) for i in expected} == expected
+
+
+def test_texts_without_repeats(spark):
+    schema = "doc_id long, text string, extra int"
+    given = [
+        (2, "first line here\n\nsecond line here", 1),
+        (3, "Second  line here\nthird", 2),
+        (4, "first line here", 3),
+        (5, None, 4),
+        (6, " \n", 5),
+        (None, "third\nfourth", 6),
+        (7, "ends\n", 7),
+        (7, "ends\n", 7),
+    ]
+    got = lines.without_repeats(spark.createDataFrame(given, schema)).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(
+        [
+            (2, "first line here\n\nsecond line here", 1),
+            (3, "third", 2),
+            (5, None, 4),
+            (6, " \n", 5),
+            (None, "fourth", 6),
+            (7, "ends\n", 7),
+            (7, "ends\n", 7),
+        ],
+        key=repr,
+    )
+    assert lines.without_repeats(spark.createDataFrame([], schema)).collect() == []
+
+
+def test_words_over_block_borders(monkeypatch):
+    import pyarrow as pa
+
+    texts = ["a" * 50 + " b", "", "É é\tx", None, "end", "c " * 40]
+    whole = [h.tolist() for h in hashing.shingle_sets(pa.array(texts), 1)]
+    monkeypatch.setattr(hashing, "BLOCK", 8)
+    assert [h.tolist() for h in hashing.shingle_sets(pa.array(texts), 1)] == whole
+    assert [len(h) for h in whole] == [2, 0, 3, 0, 1, 1]
+    assert [h.tolist() for h in hashing.shingle_sets(pa.array(["pad", *texts]).slice(1), 1)] == whole

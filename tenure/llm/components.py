@@ -10,19 +10,19 @@ from tenure.llm.common import cut
 
 def _stars(edges: DataFrame) -> DataFrame:
     """One round: every node's larger neighbours move to its smallest one (large star),
-    then its smaller neighbours do (small star). Edges are (u, v) with u > v."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    large = (
-        both.join(least, "u")
-        .where((F.col("v") > F.col("u")) & (F.col("v") != F.col("m")))
-        .select(F.col("v").alias("u"), F.col("m").alias("v"))
-        .distinct()
+    then its smaller neighbours do (small star). Edges are (u, v) with u > v.
+
+    The smallest neighbour of a node is found among its smaller ones, so a root with very
+    many leaves is a hot key of a join only, never of a group. Every edge gives one edge.
+    """
+    least = edges.groupBy(F.col("u").alias("of")).agg(F.min("v").alias("m"))
+    large = edges.join(least, F.col("v") == F.col("of"), "left").select(
+        "u", F.coalesce("m", "v").alias("v")
     )
-    root = large.groupBy("u").agg(F.min("v").alias("m"))
-    small = large.join(root, "u")
-    hung = small.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return hung.unionByName(root.select("u", F.col("m").alias("v"))).distinct()
+    root = large.groupBy(F.col("u").alias("of")).agg(F.min("v").alias("m"))
+    small = large.join(root, F.col("u") == F.col("of"))
+    is_least = F.col("v") == F.col("m")
+    return small.select(F.when(is_least, F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -47,5 +47,5 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = (sums["n"], sums["s"])
         current = cut(_stars(current))
-    roots = current.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-    return current.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
+    ends = F.array("u", "v")
+    return current.select(F.explode(ends).alias("id"), F.col("v").alias("component")).distinct()

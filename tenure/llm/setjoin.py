@@ -101,20 +101,29 @@ def _in_two_sets(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _neighbours(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows ordered by key, size and set, each set with the next one of its key, if their
-    sizes allow a match. Sizes in between allow it, too, so no connection is lost."""
+    """Of rows ordered by key, size and set, each set with the first one of its run: rows of
+    one key whose sizes, each and the next, allow a match. Sizes in between allow it, too,
+    so all possible partners are in one run."""
     held: list[np.ndarray] | None = None
+    head = 0
     for batch in given:
         rows = _columns(batch)
+        fresh = held is None
         if held is not None:
             rows = [np.concatenate(pair) for pair in zip(held, rows, strict=True)]
         if not len(rows[0]):
             continue
         key, fp, n = rows
         near = (key[1:] == key[:-1]) & (100 * n[:-1].astype(np.int64) >= PERCENT * n[1:].astype(np.int64))
-        pairs = np.unique(np.stack([fp[:-1][near], fp[1:][near]]), axis=1)
+        starts = np.concatenate([[True], ~near])
+        first = fp[np.flatnonzero(starts)]
+        if not fresh:
+            first[0] = head
+        heads = first[np.cumsum(starts) - 1]
+        apart = heads != fp
+        pairs = np.unique(np.stack([fp[apart], heads[apart]]), axis=1)
         yield pa.RecordBatch.from_arrays([pa.array(p) for p in pairs], names=["a", "b"])
-        held = [r[-1:] for r in rows]
+        held, head = [r[-1:] for r in rows], int(heads[-1])
 
 
 def meetings(members: DataFrame, tile: int = TILE) -> DataFrame:

@@ -3,10 +3,10 @@
 A line is the set of its words; two are similar if 80 of 100 words in either are in
 both. Words are ordered by rarity, counted over all lines in a table of fixed size (words
 that share a counter count together, which changes the order and never the result).
-Prefixes of the lines in that order are joined, with sizes and the number of common
-prefix words as filters (``setjoin``); within a tile the positions in the prefix bound
-the overlap before the sets are intersected. A line that has a match before it needs no
-other, so a task stops there.
+Prefixes of the lines in that order are brought together by word. In the list of a word
+the sizes, the positions in the prefixes and 128 bits of parities of the words leave few
+pairs; they tie lines to groups, and within a group the lines are compared as sets
+(``setjoin``). A line that has a match before it needs no other, so a task stops there.
 
 Lines are ordered by document id (null last), then the hash of the text, then their
 number in it.
@@ -22,34 +22,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenure.llm.common import discard, stage
-from tenure.llm.hashing import BLOCK, NEWLINE, bytes_of, distinct, fingerprint, words
+from tenure.llm.hashing import BLOCK, NEWLINE, bytes_of, fingerprint, words
+from tenure.llm.rarity import cell, count
 from tenure.llm.setjoin import (
     KEY_BITS,
     PERCENT,
     TILE,
-    candidates,
+    clusters,
     least_overlap,
     meetings,
     prefix_length,
 )
 
-# Counters of the rarity table: 2 ** 20 of them, 8 MB, in 64 slices.
-COUNTER_BITS, SLICES = 20, 64
+# Cells of the rarity table: 2 ** 23 of one byte, 8 MB.
+CELL_BITS = 23
+# Lists of a word up to this length are compared pair by pair.
+SHORT = 32
 
 
-def _extra(n):
-    """Shared words that a prefix of a line of ``n`` must hold."""
-    return np.maximum(1, n // 16)
-
-
-def _needed(n: Column) -> Column:
-    """The same for the smallest match that a line of ``n`` may have."""
-    return F.greatest(F.lit(1), F.floor(F.ceil(n * 0.8) / 16))
-
-
-def _blocks(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """In blocks of whole strings: word hashes, the row and line (in its row) of each word,
-    and the number of lines of each row from the first one of the block on."""
+def _blocks(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """In blocks of whole strings: word hashes, and the row and line in it of each word."""
     data, at = bytes_of(column)
     i = 0
     while i < len(column):
@@ -59,54 +51,20 @@ def _blocks(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
         breaks = np.flatnonzero(own == NEWLINE)
         row = np.searchsorted(starts, first, "right") - 1
         line = np.searchsorted(breaks, first) - np.searchsorted(breaks, starts[row])
-        yield hashes, row + i, line, np.array([i, j])
+        yield hashes, row + i, line
         i = j
 
 
-def _counter(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
-
-
-def rarity(texts: DataFrame) -> np.ndarray:
-    """How often the words of each counter occur in all texts."""
-    size = (1 << COUNTER_BITS) // SLICES
-
-    def count(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << COUNTER_BITS, np.int64)
-        for batch in given:
-            for hashes, *_ in _blocks(batch["text"]):
-                total += np.bincount(_counter(hashes), minlength=len(total))
-        slices = [s.tobytes() for s in total.reshape(SLICES, size)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(range(SLICES), pa.int32()), pa.array(slices, pa.binary())],
-            names=["slice", "counts"],
-        )
-
-    def add(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
-        number = 0
-        for batch in tables:
-            for number, counts in zip(batch["slice"].to_pylist(), batch["counts"], strict=True):
-                total += np.frombuffer(counts.as_buffer(), np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([number], pa.int32()), pa.array([total.tobytes()], pa.binary())],
-            names=["slice", "counts"],
-        )
-
-    schema = "slice int, counts binary"
-    parts = texts.mapInArrow(count, schema).groupBy("slice").applyInArrow(add, schema).collect()
-    whole = np.zeros((SLICES, size), np.int64)
-    for part in parts:
-        whole[part["slice"]] = np.frombuffer(part["counts"], np.int64)
-    return whole.reshape(-1)
+def _words_of(column: pa.Array) -> Iterator[np.ndarray]:
+    return (hashes for hashes, *_ in _blocks(column))
 
 
 def _sets(column: pa.Array, counts: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
     """(row, line, its distinct words from rare to frequent) of every line with words."""
-    for hashes, row, line, _ in _blocks(column):
+    for hashes, row, line in _blocks(column):
         if not len(hashes):
             continue
-        frequency = counts[_counter(hashes)]
+        frequency = counts[cell(hashes, CELL_BITS)]
         number = np.cumsum(np.concatenate([[0], (np.diff(row) != 0) | (np.diff(line) != 0)]))
         order = np.lexsort((hashes, frequency, number))
         hashes, number = hashes[order], number[order]
@@ -119,58 +77,143 @@ def _sets(column: pa.Array, counts: np.ndarray) -> Iterator[tuple[int, int, np.n
 
 
 def describe(docs: DataFrame, shared_counts) -> DataFrame:
-    """Every line with words: ``id``, ``content``, ``line``, ``fp``, ``n`` and its ``prefix``,
-    which is left out where a batch has had the line before."""
-    schema = pa.schema(
-        [
-            ("id", pa.int64()),
-            ("content", pa.int64()),
-            ("line", pa.int32()),
-            ("fp", pa.int64()),
-            ("n", pa.int32()),
-            ("prefix", pa.list_(pa.int64())),
-        ]
-    )
+    """Every line with words: ``id``, ``content``, ``line``, ``fp`` and ``n``."""
+
+    def run(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared_counts.value
+        for batch in given:
+            rows = [(r, k, fingerprint(m), len(m)) for r, k, m in _sets(batch["text"], counts)]
+            if not rows:
+                continue
+            at, lines, prints, sizes = zip(*rows, strict=True)
+            taken = pa.array(at, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch["id"].take(taken),
+                    batch["content"].take(taken),
+                    pa.array(lines, pa.int32()),
+                    pa.array(prints, pa.int64()),
+                    pa.array(sizes, pa.int32()),
+                ],
+                names=["id", "content", "line", "fp", "n"],
+            )
+
+    return docs.mapInArrow(run, "id long, content long, line int, fp long, n int")
+
+
+def prefixes(docs: DataFrame, shared_counts) -> DataFrame:
+    """The postings of all lines: ``key`` (a word of the prefix), ``fp``, ``n``, its ``place`` in the
+    order, and ``low`` and ``high``, the parities of all words in 128 bits. A batch gives
+    those of a repeated line once."""
+
+    def packed(held: list[tuple]) -> pa.RecordBatch:
+        firsts, prints, sizes, bits = zip(*held, strict=True)
+        lengths = [len(f) for f in firsts]
+        keys = np.concatenate(firsts) >> np.uint64(64 - KEY_BITS)
+        parity = np.stack(bits)
+        columns = {
+            "key": keys.astype(np.int64),
+            "fp": np.repeat(np.array(prints, np.int64), lengths),
+            "n": np.repeat(np.array(sizes, np.int32), lengths),
+            "place": np.concatenate([np.arange(k, dtype=np.int32) for k in lengths]),
+            "low": np.repeat(parity[:, 0], lengths),
+            "high": np.repeat(parity[:, 1], lengths),
+        }
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
 
     def run(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared_counts.value
         for batch in given:
             seen: set[int] = set()
-            rows: list[tuple] = []
-            parts: list[np.ndarray] = []
-
-            def packed():
-                at, lines, prints, sizes = zip(*rows, strict=True)
-                flat = np.concatenate(parts) >> np.uint64(64 - KEY_BITS)
-                ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-                taken = pa.array(at, pa.int32())
-                return pa.RecordBatch.from_arrays(
-                    [
-                        batch["id"].take(taken),
-                        batch["content"].take(taken),
-                        pa.array(lines, pa.int32()),
-                        pa.array(prints, pa.int64()),
-                        pa.array(sizes, pa.int32()),
-                        pa.ListArray.from_arrays(ends, pa.array(flat.astype(np.int64))),
-                    ],
-                    schema=schema,
-                )
-
-            for row, line, members in _sets(batch["text"], counts):
+            held: list[tuple] = []
+            for _, _, members in _sets(batch["text"], counts):
                 own, n = fingerprint(members), len(members)
-                first = members[: 0 if own in seen else int(prefix_length(n, _extra(n)))]
+                if own in seen:
+                    continue
                 seen.add(own)
-                rows.append((row, line, own, n))
-                parts.append(first)
-                if len(rows) == 20_000:
-                    yield packed()
-                    rows.clear()
-                    parts.clear()
-            if rows:
-                yield packed()
-
-    ddl = "id long, content long, line int, fp long, n int, prefix array<long>"
-    return docs.mapInArrow(run, ddl)
+                held.append((members[: int(prefix_length(n, 1))], own, n, _parities(members)))
+                if len(held) == 10_000:
+                    yield packed(held)
+                    held = []
+            if held:
+                yield packed(held)
+
+    ddl = "key long, fp long, n int, place int, low long, high long"
+    return docs.select("text").mapInArrow(run, ddl)
+
+
+def _parities(members: np.ndarray) -> np.ndarray:
+    odd = np.bincount((members >> np.uint64(9)).astype(np.int64) & 127, minlength=128) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _alike(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of postings ordered by key, size and line, a forest of the pairs in each list that
+    sizes, places and parities allow to be similar."""
+    names = ["key", "fp", "n", "place", "low", "high"]
+    held: list[np.ndarray] | None = None
+    for batch in given:
+        rows = [batch[name].to_numpy(zero_copy_only=False) for name in names]
+        if held is not None:
+            rows = [np.concatenate(pair) for pair in zip(held, rows, strict=True)]
+        if not len(rows[0]):
+            continue
+        # The last list may go on in the next batch.
+        begin = int(np.searchsorted(rows[0], rows[0][-1]))
+        held = [r[begin:] for r in rows]
+        if begin:
+            yield _forest([r[:begin] for r in rows])
+    if held is not None:
+        yield _forest(held)
+
+
+def _may_match(rows: list[np.ndarray], i: np.ndarray | int, j: np.ndarray) -> np.ndarray:
+    """Whether sizes, places and parities allow rows ``i`` and ``j`` of one list to be similar."""
+    _, fp, n, place, low, high = rows
+    least = least_overlap(n[j], n[i])
+    rest = np.minimum(n[j] - place[j], n[i] - place[i])
+    differ = np.bitwise_count(low[j] ^ low[i]).astype(np.int64) + np.bitwise_count(high[j] ^ high[i])
+    sizes = 100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j])
+    return sizes & (fp[i] != fp[j]) & (rest >= least) & (n[j] + n[i] - differ >= 2 * least)
+
+
+def _forest(rows: list[np.ndarray]) -> pa.RecordBatch:
+    key, fp = rows[:2]
+    rows[2], rows[3] = rows[2].astype(np.int64), rows[3].astype(np.int64)
+    cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+    lengths = np.diff(cuts)
+    a, b = [], []
+    # All pairs of the short lists at once, by their distance in the list.
+    short = np.repeat(lengths <= SHORT, lengths)
+    for step in range(1, SHORT):
+        i = np.flatnonzero(short[step:] & (key[step:] == key[:-step])) + step
+        if not len(i):
+            break
+        i = i[_may_match(rows, i, i - step)]
+        a.append(fp[i - step])
+        b.append(fp[i])
+    for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+        if end - begin > SHORT and fp[begin] != fp[end - 1]:
+            for one, other in _long_list(rows, begin, end):
+                a.append(one)
+                b.append(other)
+    flat = [np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b)]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in flat], names=["a", "b"])
+
+
+def _long_list(rows: list[np.ndarray], begin: int, end: int):
+    """Links of one list; lines that are tied already are not looked at again."""
+    _, fp, n, *_ = rows
+    root = np.arange(begin, end)
+    for i in range(begin + 1, end):
+        start = begin + int(np.searchsorted(n[begin:i], -(-PERCENT * n[i] // 100)))
+        js = np.arange(start, i)
+        js = js[root[js - begin] != root[i - begin]]
+        js = js[_may_match(rows, i, js)]
+        if len(js):
+            tied = np.unique(root[js - begin])
+            yield fp[tied], np.full(len(tied), fp[i])
+            root[np.isin(root, tied)] = root[i - begin]
 
 
 def _matched(given_key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -184,7 +227,7 @@ def _matched(given_key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     by_age = np.lexsort((table["line"].to_numpy(), table["content"].to_numpy(), ids, missing))
     age[by_age] = np.arange(len(prints))
     sizes = np.array([len(s) for s in sets], np.int64)
-    lengths = prefix_length(sizes, _extra(sizes))
+    lengths = prefix_length(sizes, 1)
     prefix = [set(s[:k].tolist()) for s, k in zip(sets, lengths, strict=True)]
     # Which lines have a word in their prefix: only those are candidates of a line.
     holders: dict[int, list[int]] = {}
@@ -225,8 +268,8 @@ def _matched(given_key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
 def kept_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE
 ) -> DataFrame:
-    """``id``, ``content`` (hash of the text) and ``kept``, the numbers of the lines that stay,
-    for every distinct (id, text) that has lines with words; ``n_lines`` are those lines.
+    """``id``, ``content`` (hash of the text), ``n_lines`` with words and ``kept``, the numbers of
+    those that stay, for every distinct (id, text) that has any.
 
     Rows that agree in id and text are one document.
     """
@@ -235,11 +278,15 @@ def kept_lines(
         F.col(text_col).alias("text"),
         F.xxhash64(text_col).alias("content"),
     )
-    counts = own.sparkSession.sparkContext.broadcast(rarity(own.select("text")))
+    counts = own.sparkSession.sparkContext.broadcast(count(own.select("text"), _words_of, CELL_BITS))
     lines, folder = stage(describe(own.select("id", "content", "text"), counts))
-    members = candidates(
-        lines.select(F.explode("prefix").alias("key"), "fp", "n"), _needed
+    links = (
+        prefixes(own, counts)
+        .repartition("key")
+        .sortWithinPartitions("key", "n", "fp")
+        .mapInArrow(_alike, "a long, b long")
     )
+    members = clusters(links, lines.groupBy("fp").agg(F.first("n").alias("n")))
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "content", "line")
     first = lines.groupBy("fp").agg(F.min(place).alias("at"))
     wanted = (

@@ -1,9 +1,9 @@
 """Documents with nearly the same word n-grams, exactly.
 
 A document is the set of its n-word shingles; two link when 80 of 100 shingles in either
-are in both. Candidates come from prefixes of the sets in the order of their hashes
-(``setjoin``), are banded by size and cut into tiles, and tiles are compared by hashed
-bitmaps, whose differing bits bound the overlap from above, before sorted arrays are
+are in both. Candidates come from prefixes of the sets, rare shingles first (``setjoin``
+and ``rarity``), so that a passage which many documents quote does not tie them
+together. They are banded by size and cut into tiles, and tiles are compared by hashed bitmaps, whose differing bits bound the overlap from above, before sorted arrays are
 intersected. A task holds two tiles; it skips pairs that it has connected already and
 hands on a forest of links.
 """
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from tenure.llm.common import cut
 from tenure.llm.components import components
 from tenure.llm.hashing import fingerprint, shingle_sets
+from tenure.llm.rarity import cell, count
 from tenure.llm.setjoin import (
     KEY_BITS,
     TILE,
@@ -30,6 +31,8 @@ from tenure.llm.setjoin import (
 )
 
 WORDS = 5
+# Cells of the rarity table: 2 ** 22 of one byte, 4 MB.
+CELL_BITS = 22
 
 
 def _extra(n):
@@ -59,8 +62,20 @@ def describe(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, content long, n long, fp long")
 
 
+def rare_first(members: np.ndarray, counts: np.ndarray, k: int) -> np.ndarray:
+    """The ``k`` first of a set in the order of their counts, ties by hash."""
+    if k >= len(members):
+        return members
+    frequency = counts[cell(members, CELL_BITS)].astype(np.uint64)
+    order = (frequency << np.uint64(56)) | (members >> np.uint64(8))
+    return members[np.argpartition(order, k - 1)[:k]]
+
+
 def prefixes(docs: DataFrame, words: int) -> DataFrame:
     """The postings (``key``, ``fp``, ``n``) of all rows."""
+    shared = docs.sparkSession.sparkContext.broadcast(
+        count(docs.select("text"), lambda texts: shingle_sets(texts, words), CELL_BITS)
+    )
 
     def run(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def packed(held):
@@ -76,14 +91,15 @@ def prefixes(docs: DataFrame, words: int) -> DataFrame:
                 names=["key", "fp", "n"],
             )
 
+        counts = shared.value
         for batch in given:
             held, total = [], 0
             for members in shingle_sets(batch["text"], words):
                 if not len(members):
                     continue
                 n = len(members)
-                first = members[: int(prefix_length(n, _extra(n)))]
-                held.append((first.copy(), fingerprint(members), n))
+                first = rare_first(members, counts, int(prefix_length(n, _extra(n))))
+                held.append((first, fingerprint(members), n))
                 total += len(first)
                 if total > 1 << 18:
                     yield packed(held)

@@ -64,15 +64,18 @@ def candidates(postings: DataFrame, needed: Callable[[Column], Column]) -> DataF
         .sortWithinPartitions("key", "n", "fp")
         .mapInArrow(_neighbours, "a long, b long")
     )
-    found = components(links)
-    sizes = shared.groupBy("fp").agg(F.first("n").alias("n"))
-    members, _ = stage(
-        found.select(F.col("id").alias("fp"), F.col("component").alias("cluster")).join(sizes, "fp")
-    )
+    members = clusters(links, alive)
     discard(members.sparkSession, folder)
     return members
 
 
+def clusters(links: DataFrame, sets: DataFrame) -> DataFrame:
+    """``fp``, ``n`` and ``cluster`` of the linked sets, written; ``sets`` has the sizes."""
+    found = components(links).select(F.col("id").alias("fp"), F.col("component").alias("cluster"))
+    members, _ = stage(found.join(sets.select("fp", "n"), "fp"))
+    return members
+
+
 def _columns(batch: pa.RecordBatch) -> list[np.ndarray]:
     return [batch[name].to_numpy(zero_copy_only=False) for name in ("key", "fp", "n")]
 

@@ -28,7 +28,7 @@ _VIEWS = {
         SELECT o_custkey AS account_id, o_custkey % 10 AS cls, l_shipdate AS changed_at,
                min(l_suppkey) AS k
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-        WHERE l_linenumber = 1 AND o_custkey % 10 < 8
+        WHERE o_custkey % 10 < 8
         GROUP BY 1, 2, 3""",
     "ship_value": """
         SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY changed_at) AS rn,

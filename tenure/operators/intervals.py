@@ -9,6 +9,9 @@ so one running count per account answers it in linear time, where a join on the
 account would test every change against every relation of that account. At equal
 times the order is start, change, end, which makes both ends closed.
 
+The line of an account is cut into periods of days: a task counts one period, and the
+totals of those before it are added. An account may hold any share of the rows.
+
 The running count also numbers the changes of an account. A relation covers a
 range of these numbers, so the pairs themselves (``changes_in_window``) come from
 an equi-join on blocks of numbers: a relation only meets blocks it has changes in.
@@ -16,21 +19,12 @@ an equi-join on blocks of numbers: a relation only meets blocks it has changes i
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tenure.functions.predicates import is_assigned
-from tenure.operators.skew import (
-    Skew,
-    all_present,
-    expand_join,
-    heavy_keys,
-    lookup_join,
-    split_heavy,
-)
+from tenure.operators.skew import all_present
 
 START, CHANGE, END = 0, 1, 2
 
@@ -38,8 +32,12 @@ START, CHANGE, END = 0, 1, 2
 # of changes beyond its own and is copied once per block it spans.
 BLOCK_BITS = 9
 
-# Second number of an open end: behind every date.
-_NEVER = 1 << 60
+# Blocks are listed in two steps, so that no array is longer than about this many.
+STEP_BITS = 10
+# Days of a period, the part of an account's line that one task counts, and the number
+# of the period of an open end: behind every date.
+PERIOD_DAYS = 30
+_NEVER = 1 << 40
 
 
 # --- points on the time line -------------------------------------------------
@@ -106,98 +104,48 @@ def relation_points(
 # --- running counts ----------------------------------------------------------
 
 
-def _up_to_here(on: list[str]) -> dict[str, Column]:
-    """Count and latest change so far, with everything at the same point."""
-    line = Window.partitionBy(*on).orderBy(F.asc_nulls_last("at"), "kind")
-    return {"run": F.sum("n").over(line), "last": F.max("seen").over(line)}
-
-
-def _before_here(on: list[str], order: str) -> dict[str, Column]:
-    """Count and latest change of the earlier rows of a level."""
-    line = Window.partitionBy(*on).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return {
-        f"n_before_{order}": F.coalesce(F.sum("n").over(line), F.lit(0)),
-        f"seen_before_{order}": F.max("seen").over(line),
-    }
+def period_of(column: str, kind: T.DataType) -> Column:
+    """Number of the period of a time, on a line that never runs backwards.
 
-
-def _epoch_second(column: str, time: T.DataType) -> Column:
-    """Seconds on a line that never runs backwards; null for an open end.
-
-    A timestamp without zone is counted on its own calendar: going through the
-    session time zone would fold the hours of a clock change.
+    A timestamp without zone is counted on its own calendar; one with a zone by its
+    instant, as the session's calendar may turn back an hour.
     """
-    if isinstance(time, T.TimestampType):
-        return F.unix_seconds(column)
-    day = F.unix_date(F.to_date(column)).cast("long")
-    return day * 86_400 + F.hour(column) * 3_600 + F.minute(column) * 60 + F.second(column)
-
-
-def run_by_key(points: DataFrame, on: list[str]) -> DataFrame:
-    """Running count where a key fits one task."""
-    return points.withColumns(_up_to_here(on)).drop("n", "seen")
-
-
-def run_by_calendar(
-    points: DataFrame, on: list[str], time: T.DataType, rows: int, wanted: Column
-) -> DataFrame:
-    """Running count where a key is too big for one task, for the wanted points.
-
-    The points are first reduced to one row per instant, then counted in three
-    levels: hours of the key, seconds of the hour, instants of the second. The
-    calendar bounds every group whatever the data: below 900 000 hours in a
-    century, 3 600 seconds, a million microseconds. Each level adds the total of
-    what came before it in the level above.
-    """
-    points = points.withColumn(
-        "second", F.coalesce(_epoch_second("at", time), F.lit(_NEVER))
-    ).withColumn("instant", F.coalesce("at", F.lit("1970-01-01").cast(time)))
-    hour = (F.col("second") - F.pmod("second", F.lit(3_600))).alias("hour")
-    totals = [F.sum("n").alias("n"), F.max("seen").alias("seen")]
-
-    instants = points.groupBy(*on, hour, "second", "instant", "at", "kind").agg(*totals)
-    seconds = instants.groupBy(*on, "hour", "second").agg(*totals)
-    hours = seconds.groupBy(*on, "hour").agg(*totals)
-
-    offsets = (
-        seconds.withColumns(_before_here([*on, "hour"], "second"))
-        .drop("n", "seen")
-        .join(hours.withColumns(_before_here(on, "hour")).drop("n", "seen"), [*on, "hour"])
+    if isinstance(kind, T.TimestampType):
+        day = F.floor(F.unix_seconds(column) / 86_400)
+    else:
+        day = F.unix_date(F.to_date(column))
+    return F.coalesce(F.floor(day / PERIOD_DAYS), F.lit(_NEVER))
+
+
+def running_counts(points: DataFrame, on: list[str], wanted: Column) -> DataFrame:
+    """The ``wanted`` points with ``run``, the changes up to and including each, and
+    ``last``, the latest of those. Changes at one instant are numbered one by one."""
+    in_period = [*on, "period"]
+    dated = points.withColumn("period", period_of("at", points.schema["at"].dataType))
+    totals = dated.groupBy(*in_period).agg(F.sum("n").alias("n"), F.max("seen").alias("seen"))
+    earlier = Window.partitionBy(*on).orderBy("period").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(
+        *in_period,
+        F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n_before"),
+        F.max("seen").over(earlier).alias("seen_before"),
     )
-    counted = (
-        instants.withColumns(_up_to_here([*on, "hour", "second"]))
-        .join(offsets, [*on, "hour", "second"])
-        .select(
-            *on,
-            "second",
-            "instant",
-            "kind",
-            (F.col("run") + F.col("n_before_second") + F.col("n_before_hour")).alias("run"),
-            F.coalesce("last", "seen_before_second", "seen_before_hour").alias("last"),
+    # At one instant all changes lie between starts and ends, in whatever order.
+    up_to_here = (
+        Window.partitionBy(*in_period)
+        .orderBy(F.asc_nulls_last("at"), "kind")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    return (
+        dated.withColumns(
+            {"run": F.sum("n").over(up_to_here), "last": F.max("seen").over(up_to_here)}
         )
+        .where(wanted)
+        .join(before, in_period)
+        .withColumns(
+            {"run": F.col("run") + F.col("n_before"), "last": F.coalesce("last", "seen_before")}
+        )
+        .drop("n", "seen", "period", "n_before", "seen_before")
     )
-    # The count of an instant goes back to all its points. Those may be many
-    # again, such as periods that start on the same day, hence a lookup join.
-    at_instant = [*on, "second", "instant", "kind"]
-    asking = points.where(wanted).drop("n", "seen")
-    return lookup_join(
-        asking, counted, at_instant, "inner", heavy_keys(asking, at_instant, rows)
-    ).drop("second", "instant")
-
-
-def running_counts(
-    points: DataFrame, on: list[str], time: T.DataType, skew: Skew, wanted: Column
-) -> list[DataFrame]:
-    """The ``wanted`` points with ``run``, the changes up to and including each,
-    and ``last``, the latest of those. In disjoint parts: ordinary and heavy keys."""
-    heavy = skew.of_points(points, on)
-    if heavy is None:
-        return [run_by_key(points, on).where(wanted)]
-    rest, hot = split_heavy(points, heavy, on)
-    return [
-        run_by_key(rest, on).where(wanted),
-        run_by_calendar(hot, on, time, skew.rows, wanted),
-    ]
 
 
 # --- what the queries use ----------------------------------------------------
@@ -209,14 +157,14 @@ def count_in_window(
     on: list[str] | None = None,
     end_of_day: bool = False,
     payload: tuple[str, ...] = (),
-    skew: Skew = Skew(),
 ) -> DataFrame:
     """Relations with at least one change in their period.
 
-    Columns: ``on``, ``id``, ``payload``; ``n_changes``; ``before`` and ``upto``,
-    so that the relation holds the changes numbered before+1 .. upto of its key;
-    ``last_value``, the new owner of the last of them. Needs unique relation ids.
-    ``on`` must exist on both sides and defaults to the account.
+    Columns: ``on``, ``id``, ``payload``; ``n_changes``; ``before`` and ``upto``, so that the
+    relation holds the changes numbered before+1 .. upto of its key; ``copies``, how many
+    relations agree in all of that; ``last_value``, the new owner of the last change.
+    Relations of one key that share an id and the payload are counted together, as
+    grouping their pairs by it would. ``on`` defaults to the account.
     """
     on = on or ["account_id"]
     time = _time_type(changes, relation)
@@ -227,70 +175,68 @@ def count_in_window(
     def at(kind: int, column: str) -> Column:
         return F.when(F.col("kind") == kind, F.col(column))
 
-    # Start and end meet again inside the task that counted them: grouping by
-    # the key and the id asks for no new shuffle.
-    parts = [
-        part.groupBy(*on, "id")
+    return (
+        running_counts(points, on, F.col("kind") != CHANGE)
+        .groupBy(*on, "id", *payload)
         .agg(
             (F.sum(at(END, "run")) - F.sum(at(START, "run"))).alias("n_changes"),
             F.max(at(START, "run")).alias("before"),
             F.max(at(END, "run")).alias("upto"),
+            F.count(at(START, "run")).alias("copies"),
             F.max(at(END, "last.value")).alias("last_value"),
-            *(F.max(name).alias(name) for name in payload),
         )
         .where(F.col("n_changes") > 0)
-        for part in running_counts(points, on, time, skew, F.col("kind") != CHANGE)
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    )
 
 
 def changes_in_window(
-    relation: DataFrame,
-    changes: DataFrame,
-    end_of_day: bool = False,
-    skew: Skew = Skew(),
+    relation: DataFrame, changes: DataFrame, end_of_day: bool = False
 ) -> DataFrame:
     """Every relation beside each change in its period.
 
-    A relation's ``owner``, ``assigned_at`` and ``ended_at`` come with the
-    change's ``changed_at``, ``old_value`` and ``new_value``. The join key is the
-    account and a block of change numbers, so a block holds a bounded number of
-    changes (but for changes at one instant, which belong together anyway), and
-    a relation is compared with what it contains and little else. A block that
-    very many relations span, or that holds very many changes, is dealt into
-    parts; that is looked for only where an account has so many of them.
+    A relation's ``owner``, ``assigned_at`` and ``ended_at`` come with the change's
+    ``changed_at``, ``old_value`` and ``new_value``. The join key is the account and a block of
+    change numbers. A block has a bounded number of changes, and a relation is compared
+    with what it contains and little else; a block that very many relations span is
+    split by Spark like any skewed join.
     """
     on = ["account_id"]
     time = _time_type(changes, relation)
-    blocks = F.sequence(
-        F.shiftright(F.col("before") + 1, BLOCK_BITS), F.shiftright("upto", BLOCK_BITS)
+    first, last = (
+        F.shiftright(number, BLOCK_BITS) for number in (F.col("before") + 1, F.col("upto"))
     )
-    payload = ("assigned_at", "ended_at", "owner")
+    step = F.shiftleft("step", STEP_BITS)
     spans = (
-        count_in_window(relation, changes, on, end_of_day, payload, skew)
+        count_in_window(relation, changes, on, end_of_day, ("assigned_at", "ended_at", "owner"))
         .drop("n_changes", "last_value")
-        .withColumn("block", F.explode(blocks))
+        .withColumns({"first": first, "final": last})
+        .withColumn(
+            "step",
+            F.explode(
+                F.sequence(F.shiftright("first", STEP_BITS), F.shiftright("final", STEP_BITS))
+            ),
+        )
+        .withColumn(
+            "block",
+            F.explode(
+                F.sequence(
+                    F.greatest("first", step), F.least("final", step + (1 << STEP_BITS) - 1)
+                )
+            ),
+        )
+        .drop("first", "final", "step")
     )
     points = change_points(changes, on, time, ("changed_at", "old_value", "new_value"))
-    parts = running_counts(points, on, time, skew, F.col("kind") == CHANGE)
     numbered = (
-        reduce(DataFrame.unionByName, parts)
+        running_counts(points, on, F.col("kind") == CHANGE)
         .select(*on, "changed_at", "old_value", "new_value", "run")
         .withColumn("block", F.shiftright("run", BLOCK_BITS))
     )
-    key = [*on, "block"]
-    left = right = None
-    if skew.of_relations(relation, on) is not None:
-        left = heavy_keys(spans, key, skew.rows)
-    if len(parts) > 1:
-        # A block outgrows its size only by changes at one instant.
-        spare = skew.rows - (1 << BLOCK_BITS)
-        if heavy_keys(changes, [*on, "changed_at"], spare) is not None:
-            right = heavy_keys(numbered, key, skew.rows)
     inside = (F.col("run") > F.col("before")) & (F.col("run") <= F.col("upto"))
     return (
-        expand_join(spans, numbered, key, left, right, skew.rows)
+        spans.join(numbered, [*on, "block"])
         .where(inside)
+        .withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
         .select(
             "id",
             "account_id",

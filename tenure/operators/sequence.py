@@ -4,62 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tenure.operators.intervals import CHANGE, run_by_calendar
-from tenure.operators.skew import Skew, heavy_keys, lookup_join, split_heavy
+from tenure.operators.intervals import period_of
 
 
-def with_next_assignment(relation: DataFrame, skew: Skew = Skew()) -> DataFrame:
+def with_next_assignment(relation: DataFrame) -> DataFrame:
     """``relation`` with ``next_at``: when the account's next relation starts.
 
-    Relations of an account are ordered by ``assigned_at``, then ``id``. All rows
-    must have an account and an assignment date, and ids must be unique.
+    Relations of an account are ordered by ``assigned_at``, then ``id``. All rows must have
+    an account and an assignment date. The order is made within a period of the account;
+    the last one of a period is followed by the first of the account's next period, so no
+    task holds a whole account.
     """
-    on = ["account_id"]
-    next_at = F.lead("assigned_at").over(Window.partitionBy(*on).orderBy("assigned_at", "id"))
-    heavy = skew.of_relations(relation, on)
-    if heavy is None:
-        return relation.withColumn("next_at", next_at)
-    rest, hot = split_heavy(relation, heavy, on)
-    return rest.withColumn("next_at", next_at).unionByName(_next_by_instant(hot, skew.rows))
-
-
-def _next_by_instant(relation: DataFrame, rows: int) -> DataFrame:
-    """The same for accounts too big for one task.
-
-    Within one instant the next relation starts at that instant too, but for the
-    last id. So one row per instant is enough; instants are numbered per account,
-    and the next one is the one numbered one higher.
-    """
-    at_instant = ["account_id", "assigned_at"]
-    kind = relation.schema["assigned_at"].dataType
-    time = T.TimestampNTZType() if isinstance(kind, T.DateType) else kind
-    at = F.col("assigned_at").cast(time)
-    instants = (
-        relation.groupBy(*at_instant)
-        .agg(F.max("id").alias("last_id"))
-        .withColumns(
-            {
-                "at": at,
-                "kind": F.lit(CHANGE),
-                "n": F.lit(1).cast("long"),
-                "seen": F.struct(at.alias("at")),
-            }
-        )
-    )
-    numbered = run_by_calendar(
-        instants, ["account_id"], time, rows, F.col("kind") == CHANGE
-    ).drop("at", "kind", "last")
-    following = numbered.select(
-        "account_id", (F.col("run") - 1).alias("run"), F.col("assigned_at").alias("following_at")
-    )
-    steps = numbered.join(following, ["account_id", "run"], "left").drop("run")
-    next_at = F.when(F.col("id") < F.col("last_id"), F.col("assigned_at")).otherwise(
-        F.col("following_at")
+    at_period = ["account_id", "_period"]
+    dated = relation.withColumn(
+        "_period", period_of("assigned_at", relation.schema["assigned_at"].dataType)
     )
+    periods = dated.groupBy(*at_period).agg(F.min("assigned_at").alias("_first"))
+    in_turn = Window.partitionBy("account_id").orderBy("_period")
+    following = periods.select(*at_period, F.lead("_first").over(in_turn).alias("_following"))
+    in_period = Window.partitionBy(*at_period).orderBy("assigned_at", "id")
     return (
-        lookup_join(relation, steps, at_instant, "inner", heavy_keys(relation, at_instant, rows))
-        .withColumn("next_at", next_at)
-        .drop("last_id", "following_at")
+        dated.withColumn("next_at", F.lead("assigned_at").over(in_period))
+        .join(following, at_period)
+        .withColumn("next_at", F.coalesce("next_at", "_following"))
+        .drop("_following", "_period")
     )

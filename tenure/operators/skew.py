@@ -1,17 +1,14 @@
-"""Joins that survive one key holding a large share of all rows.
-
-``heavy_keys`` looks for keys with more rows than one task should hold, by a
-small job of its own: a plan can then be the plain one where there are none,
-which is the usual case, and treat the heavy keys apart where there are some. The
-result is small by construction (a key must have over ``rows`` rows to be in it,
-and at most ``MAX_HEAVY_KEYS`` are kept, the largest first), so it is what the
-library broadcasts by hint. Keys left out by that bound only miss the special
-treatment; they take the plain path and lose nothing.
+"""Joins on keys that may hold a large share of all rows.
+
+One plan for every size: nothing is counted on the driver, nothing is broadcast by
+hint, and no bound decides between two ways. Where one side has a row per key, the join
+is left to Spark, which broadcasts a side by its size and splits skewed partitions at
+run time (adaptive execution). Where both sides have many rows, the number of pairs of
+a key is counted in the plan, and its rows are dealt out accordingly.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -19,11 +16,8 @@ from pyspark.sql import functions as F
 
 from tenure.functions.predicates import is_to_fix
 
-# Rows of one key that a task can still sort in seconds.
-HEAVY_ROWS = 5_000_000
-MAX_HEAVY_KEYS = 100_000
-# Accounts that may be broadcast to thin out the log, once they are counted.
-MAX_ACCOUNTS = 500_000
+# Pairs of one key that a task makes before the key is dealt into parts.
+PAIRS_PER_TASK = 20_000_000
 
 
 def _names(on: str | list[str]) -> list[str]:
@@ -34,205 +28,62 @@ def all_present(names: list[str]) -> Column:
     return reduce(Column.__and__, (F.col(name).isNotNull() for name in names))
 
 
-def largest(
-    counts: DataFrame, on: list[str], rows: int, also: list[str] | None = None
-) -> DataFrame | None:
-    """Keys of ``counts`` with ``n_rows`` over ``rows``, or None if there are none.
-
-    Runs now, and keeps at most ``MAX_HEAVY_KEYS`` rows on the driver.
-    """
-    found = (
-        counts.where(F.col("n_rows") > rows)
-        .orderBy(F.desc("n_rows"), *on)
-        .limit(MAX_HEAVY_KEYS)
-        .select(*on, "n_rows", *(also or []))
-    )
-    keys = found.collect()
-    return counts.sparkSession.createDataFrame(keys, found.schema) if keys else None
-
-
-def heavy_keys(
-    df: DataFrame, on: str | list[str], rows: int = HEAVY_ROWS
-) -> DataFrame | None:
-    """The keys of ``df`` with over ``rows`` rows, and that number as ``n_rows``.
-
-    Counting reads the key columns only and combines on the map side, so a huge
-    key shuffles as one row per input task.
-    """
-    on = _names(on)
-    keyed = df.where(all_present(on)).groupBy(*on)
-    return largest(keyed.agg(F.count(F.lit(1)).alias("n_rows")), on, rows)
-
-
-@dataclass(frozen=True)
-class Skew:
-    """What counts as heavy, and what is known of the accounts already.
-
-    Unless ``surveyed``, each query looks for its own heavy keys. ``accounts``
-    has ``account_id``, ``n_relations`` and ``n_log`` for the accounts with many
-    rows in the unfiltered tables, so it holds for any part of them.
-    ``few_to_fix`` tells that at most ``MAX_ACCOUNTS`` accounts have a relation to
-    fix; None leaves that to each query to find out.
-    """
-
-    rows: int = HEAVY_ROWS
-    surveyed: bool = False
-    accounts: DataFrame | None = None
-    few_to_fix: bool | None = None
-
-    def _known(self, on: list[str], n_rows: Column) -> DataFrame | None:
-        if self.accounts is None:
-            return None
-        return self.accounts.select(*on, n_rows.alias("n_rows")).where(F.col("n_rows") > self.rows)
-
-    def _heavy(self, df: DataFrame, on: str | list[str], n_rows: Column) -> DataFrame | None:
-        on = _names(on)
-        if self.surveyed and on == ["account_id"]:
-            return self._known(on, n_rows)
-        if self.surveyed and "account_id" in on and self.accounts is None:
-            return None
-        return heavy_keys(df, on, self.rows)
-
-    def of_relations(self, df: DataFrame, on: str | list[str]) -> DataFrame | None:
-        return self._heavy(df, on, F.col("n_relations"))
-
-    def of_log(self, df: DataFrame, on: str | list[str]) -> DataFrame | None:
-        return self._heavy(df, on, F.col("n_log"))
-
-    def of_points(self, df: DataFrame, on: str | list[str]) -> DataFrame | None:
-        """Keys of a time line, which has two points per relation."""
-        return self._heavy(df, on, 2 * F.col("n_relations") + F.col("n_log"))
-
-
-def survey(relation: DataFrame, history: DataFrame, rows: int = HEAVY_ROWS) -> Skew:
-    """Look for heavy accounts once, for all queries over the two tables."""
-    on = ["account_id"]
+def only_accounts_to_fix(df: DataFrame, relation: DataFrame) -> DataFrame:
+    """``df`` without the accounts that have nothing to fix.
 
-    def counted(df: DataFrame, name: str) -> DataFrame:
-        keyed = df.where(all_present(on)).groupBy(*on)
-        return keyed.agg(F.count(F.lit(1)).alias(name))
-
-    counts = (
-        counted(relation, "n_relations")
-        .unionByName(counted(history, "n_log"), allowMissingColumns=True)
-        .groupBy(*on)
-        .agg(
-            F.coalesce(F.sum("n_relations"), F.lit(0)).alias("n_relations"),
-            F.coalesce(F.sum("n_log"), F.lit(0)).alias("n_log"),
-        )
-        .withColumn("n_rows", 2 * F.col("n_relations") + F.col("n_log"))
-    )
-    heavy = largest(counts, on, rows, ["n_relations", "n_log"])
-    return Skew(rows, True, heavy, _are_few(_accounts_to_fix(relation)))
-
-
-def _accounts_to_fix(relation: DataFrame) -> DataFrame:
-    return relation.where(is_to_fix()).select("account_id").distinct()
-
-
-def _are_few(accounts: DataFrame) -> bool:
-    return accounts.count() <= MAX_ACCOUNTS
-
-
-def only_accounts_to_fix(df: DataFrame, relation: DataFrame, skew: Skew) -> DataFrame:
-    """``df`` without the accounts that have nothing to fix, if that is cheap.
-
-    The log outgrows the relations, and the repair concerns few accounts. Where
-    their number allows a broadcast, the rest of the log ends at its scan; where
-    it does not, the log is passed on whole, as another shuffle of it would cost
-    more than it saves. Either way the queries give the same result.
+    The log outgrows the relations, and the repair concerns part of the accounts. Where
+    those are few Spark broadcasts them and the rest of the log ends at its scan;
+    where they are many it joins by account, which later steps group by as well.
     """
-    accounts = _accounts_to_fix(relation)
-    few = _are_few(accounts) if skew.few_to_fix is None else skew.few_to_fix
-    if not few:
-        return df
-    return df.join(F.broadcast(accounts), "account_id", "left_semi")
+    accounts = relation.where(is_to_fix()).select("account_id").distinct()
+    return df.join(accounts, "account_id", "left_semi")
 
 
-def split_heavy(
-    df: DataFrame, heavy: DataFrame, on: str | list[str]
-) -> tuple[DataFrame, DataFrame]:
-    """``df`` without its heavy keys, and the heavy keys alone."""
-    on = _names(on)
-    keys = F.broadcast(heavy.select(*on))
-    return df.join(keys, on, "left_anti"), df.join(keys, on, "left_semi")
-
-
-def lookup_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: str | list[str],
-    how: str,
-    heavy: DataFrame | None,
-) -> DataFrame:
+def lookup_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str) -> DataFrame:
     """Join many ``left`` rows to the one ``right`` row of their key.
 
-    Ordinary rows take one join, whose shuffle reuses the partitioning of the
-    aggregate that made ``right``. ``right`` has at most one row per key, so the
-    part of it that heavy keys need is at most ``MAX_HEAVY_KEYS`` rows: it is
-    broadcast, and the heavy ``left`` rows stay where they were read. Rows
-    without a key match nothing and never enter the shuffle.
-
-    ``heavy`` are the heavy keys of ``left`` or of anything it is a part of.
+    Rows without a key match nothing and never enter the shuffle.
     """
     on = _names(on)
-    keyed = left.where(all_present(on))
-    if heavy is None:
-        joined = keyed.join(right, on, how)
-    else:
-        rest, hot = split_heavy(keyed, heavy, on)
-        few = right.join(F.broadcast(heavy.select(*on)), on, "left_semi")
-        joined = rest.join(right, on, how).unionByName(hot.join(F.broadcast(few), on, how))
+    joined = left.where(all_present(on)).join(right, on, how)
     if how in ("left", "left_anti"):
-        unkeyed = left.where(~all_present(on))
-        joined = joined.unionByName(unkeyed, allowMissingColumns=True)
+        joined = joined.unionByName(left.where(~all_present(on)), allowMissingColumns=True)
     return joined
 
 
-def account_lookup(relation: DataFrame, right: DataFrame, how: str, skew: Skew) -> DataFrame:
+def account_lookup(relation: DataFrame, right: DataFrame, how: str) -> DataFrame:
     """Join relations to what is known of their account, one row per account."""
-    heavy = skew.of_relations(relation, "account_id")
-    return lookup_join(relation, right, "account_id", how, heavy)
-
-
-def _parts(heavy: DataFrame, on: list[str], own: str, other: str, rows: int) -> DataFrame:
-    """How many parts each heavy key's rows are dealt into on its own side."""
-    n_parts = F.ceil(F.col("n_rows") / max(rows, 1)).cast("int")
-    return heavy.select(*on, n_parts.alias(own), F.lit(1).alias(other))
+    return lookup_join(relation, right, "account_id", how)
 
 
 def expand_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: str | list[str],
-    left_heavy: DataFrame | None,
-    right_heavy: DataFrame | None,
-    rows: int = HEAVY_ROWS,
+    left: DataFrame, right: DataFrame, on: str | list[str], pairs: int = PAIRS_PER_TASK
 ) -> DataFrame:
     """Inner join where both sides may have many rows per key.
 
     The work is the output, as nearly every pair is part of the result; what matters
-    is that no task makes all of a heavy key's pairs. Its left rows are dealt into
-    ``n_rows / rows`` parts and its right rows likewise, each side is copied to
-    the other's parts, and every pair meets in exactly one of them. The part of a
-    row comes from its content and input partition, not from chance, so a
-    recomputed task deals the same way; the partition splits identical copies.
+    is that no task makes all pairs of a large key. A key with more than ``pairs`` of them is
+    cut into a grid: its left rows are dealt into a number of parts and its right rows
+    likewise, each side is copied to the other's parts, and every pair meets in one
+    cell. The part of a row comes from its content, so a recomputed task deals the same
+    way; copies of a row are told apart by their input partition.
     """
     on = _names(on)
-    sides = [
-        _parts(heavy, on, own, other, rows)
-        for heavy, own, other in (
-            (left_heavy, "_left", "_right"),
-            (right_heavy, "_right", "_left"),
+
+    def counted(df: DataFrame, name: str) -> DataFrame:
+        keyed = df.where(all_present(on)).groupBy(*on)
+        return keyed.agg(F.count(F.lit(1)).cast("double").alias(name))
+
+    side = F.ceil(F.sqrt(F.col("_n_left") * F.col("_n_right") / pairs))
+    grid = (
+        counted(left, "_n_left")
+        .join(counted(right, "_n_right"), on)
+        .where(F.col("_n_left") * F.col("_n_right") > pairs)
+        .select(
+            *on,
+            F.least(side, F.col("_n_left")).cast("int").alias("_left"),
+            F.least(side, F.col("_n_right")).cast("int").alias("_right"),
         )
-        if heavy is not None
-    ]
-    if not sides:
-        return left.join(right, on)
-    parts = (
-        reduce(DataFrame.unionByName, sides)
-        .groupBy(*on)
-        .agg(F.max("_left").alias("_left"), F.max("_right").alias("_right"))
     )
 
     def deal(df: DataFrame, own: str, other: str) -> DataFrame:
@@ -240,7 +91,8 @@ def expand_join(
         part = F.pmod(content, F.coalesce(own, F.lit(1))).cast("int")
         copies = F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1)
         return (
-            df.join(F.broadcast(parts), on, "left")
+            df.where(all_present(on))
+            .join(grid, on, "left")
             .select(*df.columns, part.alias(f"{own}_part"), copies.alias("_copies"))
             .withColumn(f"{other}_part", F.explode("_copies"))
             .drop("_copies")

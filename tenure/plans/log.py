@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tenure.functions.predicates import (
     RULES,
     LogRules,
-    count_where,
     has_owner,
     is_first_owner_row,
     is_owner_change,
@@ -16,7 +15,6 @@ from tenure.functions.predicates import (
     not_deleted,
 )
 from tenure.operators.skew import (
-    Skew,
     account_lookup,
     expand_join,
     only_accounts_to_fix,
@@ -57,17 +55,17 @@ def first_owner_rows(history: DataFrame, rules: LogRules = RULES) -> DataFrame:
 
 
 def to_fix_with_history(
-    relation: DataFrame, history: DataFrame, rules: LogRules = RULES, skew: Skew = Skew()
+    relation: DataFrame, history: DataFrame, rules: LogRules = RULES
 ) -> DataFrame:
     """Pairs of a relation to fix and a change of its account, and the relations.
 
     The changes are counted per account first, so no pair is ever formed.
     """
-    needed = only_accounts_to_fix(history, relation, skew)
+    needed = only_accounts_to_fix(history, relation)
     changes = owner_changes(needed, rules).groupBy("account_id").agg(
         F.count(F.lit(1)).alias("n_changes")
     )
-    found = account_lookup(to_fix(relation).select("id", "account_id"), changes, "inner", skew)
+    found = account_lookup(to_fix(relation).select("id", "account_id"), changes, "inner")
     return found.agg(
         F.coalesce(F.sum("n_changes"), F.lit(0)).alias("tot_nb_lines"),
         F.countDistinct("id").alias("nb_lars_to_fix"),
@@ -75,47 +73,39 @@ def to_fix_with_history(
 
 
 def without_history(
-    relation: DataFrame, history: DataFrame, rules: LogRules = RULES, skew: Skew = Skew()
+    relation: DataFrame, history: DataFrame, rules: LogRules = RULES
 ) -> DataFrame:
     """The given relations whose account shows no real change, or is not known."""
     changed = owner_changes(history, rules).select("account_id").distinct()
-    return account_lookup(relation, changed, "left_anti", skew)
+    return account_lookup(relation, changed, "left_anti")
 
 
 def to_fix_without_history(
-    relation: DataFrame, history: DataFrame, rules: LogRules = RULES, skew: Skew = Skew()
+    relation: DataFrame, history: DataFrame, rules: LogRules = RULES
 ) -> DataFrame:
     """How many relations to fix have an account without a real change."""
-    needed = only_accounts_to_fix(history, relation, skew)
-    left = without_history(to_fix(relation).select("id", "account_id"), needed, rules, skew)
+    needed = only_accounts_to_fix(history, relation)
+    left = without_history(to_fix(relation).select("id", "account_id"), needed, rules)
     return left.agg(F.countDistinct("id").alias("nb_lars_w_no_history"))
 
 
 def on_unchanged_accounts(
-    relation: DataFrame, history: DataFrame, rules: LogRules = RULES, skew: Skew = Skew()
+    relation: DataFrame, history: DataFrame, rules: LogRules = RULES
 ) -> DataFrame:
     """The given relations that are on unchanged accounts with a first owner."""
     accounts = unchanged_accounts(history, rules).select("account_id")
-    return account_lookup(relation, accounts, "left_semi", skew)
+    return account_lookup(relation, accounts, "left_semi")
 
 
 def _beside_first_owners(
-    relation: DataFrame, chosen: DataFrame, history: DataFrame, rules: LogRules, skew: Skew
+    relation: DataFrame, chosen: DataFrame, history: DataFrame, rules: LogRules
 ) -> DataFrame:
     """``chosen``, a part of ``relation``, beside each first-owner row of its account.
 
     Relations are cut down to the accounts in question before they meet the log
     rows, by a join that needs one row per account only.
     """
-    first = first_owner_rows(history, rules)
-    return expand_join(
-        chosen,
-        first,
-        "account_id",
-        skew.of_relations(relation, "account_id"),
-        skew.of_log(first, "account_id"),
-        skew.rows,
-    )
+    return expand_join(chosen, first_owner_rows(history, rules), "account_id")
 
 
 def _owned(relation: DataFrame) -> DataFrame:
@@ -124,18 +114,18 @@ def _owned(relation: DataFrame) -> DataFrame:
 
 
 def first_owner_evidence(
-    relation: DataFrame, history: DataFrame, rules: LogRules = RULES, skew: Skew = Skew()
+    relation: DataFrame, history: DataFrame, rules: LogRules = RULES
 ) -> DataFrame:
     """Owned relations on unchanged accounts beside what the log says of them."""
     owned = _owned(relation)
-    chosen = on_unchanged_accounts(owned, history, rules, skew)
-    return _beside_first_owners(owned, chosen, history, rules, skew).select(
+    chosen = on_unchanged_accounts(owned, history, rules)
+    return _beside_first_owners(owned, chosen, history, rules).select(
         "id", "account_id", "owner", "changed_at", "old_value", "new_value"
     )
 
 
 def first_owner_agreement(
-    relation: DataFrame, history: DataFrame, rules: LogRules = RULES, skew: Skew = Skew()
+    relation: DataFrame, history: DataFrame, rules: LogRules = RULES
 ) -> DataFrame:
     """How often the evidence agrees with the known owner, per row and relation.
 
@@ -151,27 +141,28 @@ def first_owner_agreement(
     )
     on_value = ["account_id", "owner"]
     found = lookup_join(
-        account_lookup(owned, accounts, "inner", skew),
+        account_lookup(owned, accounts, "inner"),
         values,
         on_value,
         "left",
-        skew.of_relations(owned, on_value),
     )
     return found.agg(
         F.coalesce(F.sum("n_first"), F.lit(0)).alias("n_rows"),
         F.sum(F.coalesce("n_matching", F.lit(0))).alias("n_rows_matching"),
-        F.count("id").alias("n_relations"),
-        count_where(F.col("n_matching").isNotNull()).alias("n_relations_matching"),
+        F.countDistinct("id").alias("n_relations"),
+        F.countDistinct(F.when(F.col("n_matching").isNotNull(), F.col("id"))).alias(
+            "n_relations_matching"
+        ),
     )
 
 
 def first_owner_recoverable(
-    relation: DataFrame, history: DataFrame, rules: LogRules = RULES, skew: Skew = Skew()
+    relation: DataFrame, history: DataFrame, rules: LogRules = RULES
 ) -> DataFrame:
     """How many relations to fix without history have a first owner in the log."""
     missing = to_fix(relation).select("id", "account_id")
-    needed = only_accounts_to_fix(history, relation, skew)
-    found = on_unchanged_accounts(missing, needed, rules, skew)
+    needed = only_accounts_to_fix(history, relation)
+    found = on_unchanged_accounts(missing, needed, rules)
     return found.agg(F.countDistinct("id").alias("n_recoverable"))
 
 
@@ -180,7 +171,6 @@ def first_owner_candidates(
     history: DataFrame,
     users: DataFrame,
     rules: LogRules = RULES,
-    skew: Skew = Skew(),
 ) -> DataFrame:
     """Every first owner the log offers for a relation to fix without history.
 
@@ -188,9 +178,9 @@ def first_owner_candidates(
     several rows: one per log row, and one per user of the same name.
     """
     missing = to_fix(relation).select("id", "account_id")
-    needed = only_accounts_to_fix(history, relation, skew)
-    chosen = on_unchanged_accounts(missing, needed, rules, skew).distinct()
-    found = _beside_first_owners(missing, chosen, needed, rules, skew).select("id", "old_value")
+    needed = only_accounts_to_fix(history, relation)
+    chosen = on_unchanged_accounts(missing, needed, rules).distinct()
+    found = _beside_first_owners(missing, chosen, needed, rules).select("id", "old_value")
     active = users.where("is_active").select(
         F.col("name").alias("old_value"), F.col("id").alias("owner_id")
     )

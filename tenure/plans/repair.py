@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tenure.functions.predicates import LOST, RULES, LogRules, is_assigned, is_to_fix, not_deleted
 from tenure.operators.sequence import with_next_assignment
-from tenure.operators.skew import Skew, account_lookup, only_accounts_to_fix, lookup_join
+from tenure.operators.skew import account_lookup, only_accounts_to_fix, lookup_join
 from tenure.plans.counts import to_fix
 from tenure.plans.log import account_log, unchanged_accounts
 from tenure.plans.windows import attributions
@@ -26,7 +26,7 @@ def _holds(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False))
 
 
-def same_day_duplicates(relation: DataFrame, skew: Skew = Skew()) -> DataFrame:
+def same_day_duplicates(relation: DataFrame) -> DataFrame:
     """Ids of relations created on the same account on the same day."""
     on = ["account_id", "created_on"]
     crowded = (
@@ -37,10 +37,10 @@ def same_day_duplicates(relation: DataFrame, skew: Skew = Skew()) -> DataFrame:
         .select(*on)
     )
     dated = relation.select("id", *on)
-    return lookup_join(dated, crowded, on, "left_semi", skew.of_relations(dated, on)).select("id")
+    return lookup_join(dated, crowded, on, "left_semi").select("id")
 
 
-def repair_end_dates(relation: DataFrame, skew: Skew = Skew()) -> DataFrame:
+def repair_end_dates(relation: DataFrame) -> DataFrame:
     """A missing end becomes the start of the account's next live relation.
 
     Same columns as ``relation`` and ``end_repaired``, true where the end was
@@ -49,7 +49,7 @@ def repair_end_dates(relation: DataFrame, skew: Skew = Skew()) -> DataFrame:
     in_line = _holds(not_deleted() & is_assigned() & F.col("account_id").isNotNull())
     kind = relation.schema["ended_at"].dataType
     filled = F.coalesce("ended_at", F.col("next_at").cast(kind))
-    repaired = with_next_assignment(relation.where(in_line), skew).select(
+    repaired = with_next_assignment(relation.where(in_line)).select(
         *(c for c in relation.columns if c != "ended_at"),
         filled.alias("ended_at"),
         (F.col("ended_at").isNull() & F.col("next_at").isNotNull()).alias("end_repaired"),
@@ -61,20 +61,17 @@ def repair_end_dates(relation: DataFrame, skew: Skew = Skew()) -> DataFrame:
 
 def _with_user(owners: DataFrame, users: DataFrame) -> DataFrame:
     """Add the active user of that name; none is picked when there are several."""
-    active = users.where("is_active").select(
-        F.col("name").alias("new_owner"), F.col("id").alias("user_id")
+    named = (
+        users.where(F.col("is_active") & F.col("name").isNotNull())
+        .groupBy(F.col("name").alias("new_owner"))
+        .agg(F.count("id").alias("n_active_users"), F.min("id").alias("user_id"))
     )
-    return (
-        owners.join(active, "new_owner", "left")
-        .groupBy("id", "account_id", "new_owner")
-        .agg(F.count("user_id").alias("n_active_users"), F.min("user_id").alias("user_id"))
-        .select(
-            "id",
-            "account_id",
-            "new_owner",
-            F.when(F.col("n_active_users") == 1, F.col("user_id")).alias("owner_id"),
-            "n_active_users",
-        )
+    return lookup_join(owners, named, "new_owner", "left").select(
+        "id",
+        "account_id",
+        "new_owner",
+        F.when(F.col("n_active_users") == 1, F.col("user_id")).alias("owner_id"),
+        F.coalesce("n_active_users", F.lit(0)).alias("n_active_users"),
     )
 
 
@@ -85,16 +82,15 @@ def resolve_single_change(
     excluded: DataFrame | None = None,
     rules: LogRules = RULES,
     end_of_day: bool = False,
-    skew: Skew = Skew(),
 ) -> DataFrame:
     """Rule 1: a relation to fix with one change gets the owner it changed to."""
-    single = _single_owners(relation, history, excluded, rules, end_of_day, skew)
+    single = _single_owners(relation, history, excluded, rules, end_of_day)
     return _with_user(single, users)
 
 
-def _single_owners(relation, history, excluded, rules, end_of_day, skew) -> DataFrame:
+def _single_owners(relation, history, excluded, rules, end_of_day) -> DataFrame:
     return (
-        attributions(relation, history, excluded, rules, end_of_day, skew)
+        attributions(relation, history, excluded, rules, end_of_day)
         .where(F.col("n_changes") == 1)
         .select("id", "account_id", F.col("last_value").alias("new_owner"))
     )
@@ -105,14 +101,13 @@ def first_recorded_owner(
     history: DataFrame,
     users: DataFrame,
     rules: LogRules = RULES,
-    skew: Skew = Skew(),
 ) -> DataFrame:
     """Rule 2: without history, the oldest owner the log names for the account."""
-    needed = only_accounts_to_fix(history, relation, skew)
+    needed = only_accounts_to_fix(history, relation)
     owners = unchanged_accounts(needed, rules).select(
         "account_id", F.col("first_owner").alias("new_owner")
     )
-    found = account_lookup(to_fix(relation).select("id", "account_id"), owners, "inner", skew)
+    found = account_lookup(to_fix(relation).select("id", "account_id"), owners, "inner")
     return _with_user(found, users)
 
 
@@ -123,24 +118,20 @@ def repair_status(
     rules: LogRules = RULES,
     repair_ends: bool = True,
     end_of_day: bool = False,
-    skew: Skew = Skew(),
 ) -> DataFrame:
     """What becomes of each relation to fix.
 
     ``has_history`` tells whether the account has a real change at all,
     ``new_owner`` is the owner found, ``status`` the rule that found it.
     """
-    timed = relation
-    if repair_ends:
-        timed = repair_end_dates(only_accounts_to_fix(relation, relation, skew), skew)
-    single = _single_owners(timed, history, excluded, rules, end_of_day, skew)
+    timed = repair_end_dates(relation) if repair_ends else relation
+    single = _single_owners(timed, history, excluded, rules, end_of_day)
     known = account_lookup(
         to_fix(relation).select("id", "account_id"),
-        account_log(only_accounts_to_fix(history, relation, skew), rules).select(
+        account_log(history, rules).select(
             "account_id", "n_changes", "first_owner"
         ),
         "left",
-        skew,
     )
     has_history = F.coalesce(F.col("n_changes") > 0, F.lit(False))
     first_owner = F.when(~has_history, F.col("first_owner"))

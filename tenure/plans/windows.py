@@ -16,7 +16,7 @@ from tenure.functions.predicates import (
     relation_in,
 )
 from tenure.operators.intervals import changes_in_window, count_in_window
-from tenure.operators.skew import Skew, account_lookup, only_accounts_to_fix
+from tenure.operators.skew import account_lookup, only_accounts_to_fix
 from tenure.plans.counts import owner_changes, to_fix
 
 
@@ -25,11 +25,10 @@ def relation_changes(
     history: DataFrame,
     rules: LogRules = RULES,
     end_of_day: bool = False,
-    skew: Skew = Skew(),
 ) -> DataFrame:
     """Every live, assigned relation beside each change in its period."""
     live = relation.where(not_deleted() & is_assigned())
-    return changes_in_window(live, owner_changes(history, rules), end_of_day, skew)
+    return changes_in_window(live, owner_changes(history, rules), end_of_day)
 
 
 def owner_agreement(
@@ -37,7 +36,6 @@ def owner_agreement(
     history: DataFrame,
     rules: LogRules = RULES,
     end_of_day: bool = False,
-    skew: Skew = Skew(),
 ) -> DataFrame:
     """Owned relations with a change in their period, and changes to their owner.
 
@@ -48,13 +46,12 @@ def owner_agreement(
     """
     owned = relation.where(not_deleted() & is_assigned() & has_owner())
     changes = owner_changes(history, rules)
-    in_period = count_in_window(owned, changes, None, end_of_day, skew=skew)
+    in_period = count_in_window(owned, changes, None, end_of_day)
     to_owner = count_in_window(
         owned,
         changes.withColumn("owner", F.col("new_value")),
         ["account_id", "owner"],
         end_of_day,
-        skew=skew,
     )
     none = F.lit(0).cast("long")
     found = in_period.select(F.lit(1).alias("any"), none.alias("n_matching")).unionByName(
@@ -73,19 +70,19 @@ def attributions(
     excluded: DataFrame | None = None,
     rules: LogRules = RULES,
     end_of_day: bool = False,
-    skew: Skew = Skew(),
 ) -> DataFrame:
     """Relations to fix with a change in their period: how many, and the last one.
 
     Excluded relations are taken out of the counted ones, which are fewer.
     """
-    changes = owner_changes(only_accounts_to_fix(history, relation, skew), rules)
-    counted = count_in_window(to_fix(relation), changes, None, end_of_day, skew=skew).select(
+    changes = owner_changes(only_accounts_to_fix(history, relation), rules)
+    counted = count_in_window(to_fix(relation), changes, None, end_of_day).select(
         "id", "account_id", "n_changes", "last_value"
     )
     if excluded is None:
         return counted
-    return counted.join(excluded.select("id"), "id", "left_anti")
+    # A missing id is not known to be outside the list, so it goes, too.
+    return counted.where(F.col("id").isNotNull()).join(excluded.select("id"), "id", "left_anti")
 
 
 def changes_per_relation(relation, history, excluded=None, **options) -> DataFrame:
@@ -141,13 +138,12 @@ def ambiguous_account_audit(
     relation: DataFrame,
     history: DataFrame,
     excluded: DataFrame | None = None,
-    skew: Skew = Skew(),
     **options,
 ) -> DataFrame:
     """All relations of the ambiguous accounts, deleted ones too, in time order."""
-    accounts = ambiguous_accounts(relation, history, excluded, skew=skew, **options)
+    accounts = ambiguous_accounts(relation, history, excluded, **options)
     periods = relation.select("account_id", "id", "assigned_at", "ended_at", "owner")
-    return account_lookup(periods, accounts, "left_semi", skew).orderBy(
+    return account_lookup(periods, accounts, "left_semi").orderBy(
         "account_id", F.asc_nulls_last("assigned_at"), "id"
     )
 

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from tenure.functions.predicates import OWNER_FIELD, POOL_NAME, USER_ID_PREFIX
 from tenure.operators.sequence import with_next_assignment
-from tenure.operators.skew import HEAVY_ROWS, Skew, heavy_keys
 from tenure.plans.repair import same_day_duplicates
 from tenure.sources.tables import Tables, checked, write
 
@@ -30,7 +29,7 @@ def _nothing(kind: str) -> Column:
     return F.lit(None).cast(kind)
 
 
-def relation(orders: DataFrame, skew: Skew = Skew()) -> DataFrame:
+def relation(orders: DataFrame) -> DataFrame:
     key = F.col("o_orderkey")
     owner = (
         F.when(key % 63 == 0, _person(F.lit(1)))
@@ -46,7 +45,7 @@ def relation(orders: DataFrame, skew: Skew = Skew()) -> DataFrame:
         F.col("o_orderdate").cast("date").alias("created_on"),
         (key % 11 == 0).alias("stays_open"),
     )
-    dated = with_next_assignment(started.where("assigned_at is not null"), skew)
+    dated = with_next_assignment(started.where("assigned_at is not null"))
     undated = started.where("assigned_at is null").withColumn("next_at", F.col("assigned_at"))
     ended_at = F.when(~F.col("stays_open"), F.col("next_at"))
     return dated.unionByName(undated).select(
@@ -63,8 +62,7 @@ def relation(orders: DataFrame, skew: Skew = Skew()) -> DataFrame:
 def owner_history(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     account, k = F.col("account_id"), F.col("k")
     days = (
-        lineitem.where("l_linenumber = 1")
-        .select("l_orderkey", "l_suppkey", F.col("l_shipdate").alias("changed_at"))
+        lineitem.select("l_orderkey", "l_suppkey", F.col("l_shipdate").alias("changed_at"))
         .join(
             orders.where("o_custkey % 10 < 8").select(
                 F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("account_id")
@@ -118,26 +116,20 @@ def users(supplier: DataFrame) -> DataFrame:
     )
 
 
-def derive(spark: SparkSession, folder: str, rows: int = HEAVY_ROWS) -> Tables:
+def derive(spark: SparkSession, folder: str) -> Tables:
     """The tables as DataFrames over ``folder``; excluded are same-day duplicates."""
 
     def read(name: str) -> DataFrame:
         return spark.read.parquet(f"{folder}/{name}.parquet")
 
     orders = read("orders")
-    heavy = heavy_keys(orders, "o_custkey", rows)
-    skew = Skew(
-        rows,
-        True,
-        heavy and heavy.select(F.col("o_custkey").alias("account_id"), F.col("n_rows").alias("n_relations"), F.lit(0).alias("n_log")),
-    )
-    relations = relation(orders, skew)
+    relations = relation(orders)
     return checked(
         Tables(
             relations,
             owner_history(orders, read("lineitem")),
             users(read("supplier")),
-            same_day_duplicates(relations, skew),
+            same_day_duplicates(relations),
         )
     )
 

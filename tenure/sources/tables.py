@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from dataclasses import dataclass
 
@@ -82,14 +81,13 @@ def write(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 
 def shared_folder(spark: SparkSession) -> str | None:
-    """A new folder that every executor can reach, or None if there is none.
-
-    It is made in the folder the cluster names in ``spark.checkpoint.dir``. A
-    local session may do without and use the machine's own temporary folder.
-    """
+    """A new folder inside the one that the session names in ``spark.checkpoint.dir``, which
+    every executor can reach; None if it names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return f"{named.rstrip('/')}/tenure-{uuid.uuid4().hex}"
-    if spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix="tenure-")
-    return None
+    return f"{named.rstrip('/')}/tenure-{uuid.uuid4().hex}" if named else None
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Take away a folder that this application has written."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

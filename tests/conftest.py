@@ -7,8 +7,6 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-from tenure.operators.skew import Skew  # noqa: E402
-
 RELATION = (
     "id string, account_id long, is_deleted boolean, assigned_at timestamp_ntz, "
     "ended_at timestamp_ntz, owner string, created_on date"
@@ -39,12 +37,6 @@ def spark(tmp_path_factory):
     session.stop()
 
 
-@pytest.fixture
-def skew():
-    """Small tables: surveyed, and no account is heavy."""
-    return Skew(surveyed=True, few_to_fix=True)
-
-
 def day(text, micros=0):
     """``MM-DD`` or ``MM-DD HH:MM`` in 2021, plus microseconds."""
     form = "%Y-%m-%d %H:%M" if ":" in text else "%Y-%m-%d"

@@ -1,21 +1,23 @@
 """Which changes fall inside a period: every edge on an account of its own.
 
-All cases share one run, with and without heavy accounts; literal answers.
+All cases share one run; literal answers.
 """
 
 import pytest
 from conftest import day
 
-from tenure.operators.skew import Skew
+from tenure.operators import intervals
 from tenure.plans import windows
 
-SKEWS = {
-    "plain": Skew(surveyed=True, few_to_fix=True),
-    "all-heavy": Skew(rows=0, few_to_fix=False),
-    "looks-for-itself": Skew(rows=2),
-}
 JAN, FEB, MAR = day("01-01"), day("02-01"), day("03-01")
 
+
+@pytest.fixture(autouse=True, params=[30, 1], ids=["months", "days"])
+def period(request, monkeypatch):
+    """How long a part of an account's line is must not matter."""
+    monkeypatch.setattr(intervals, "PERIOD_DAYS", request.param)
+
+
 # name: (start, end, times of changes, inside, inside with end_of_day)
 CASES = {
     "both bounds belong": (JAN, FEB, [JAN, FEB], 2, 2),
@@ -64,14 +66,12 @@ def expected(column):
     return sorted([*found, ("left", 1), ("right", 1)], key=repr)
 
 
-@pytest.mark.parametrize("skew", SKEWS.values(), ids=SKEWS)
-def test_counts(tables, rows, skew):
-    assert rows(windows.changes_per_relation(*tables, skew=skew)) == expected(3)
+def test_counts(tables, rows):
+    assert rows(windows.changes_per_relation(*tables)) == expected(3)
 
 
-@pytest.mark.parametrize("skew", SKEWS.values(), ids=SKEWS)
-def test_pairs(tables, rows, skew):
-    pairs = rows(windows.relation_changes(*tables, skew=skew), "id", "changed_at")
+def test_pairs(tables, rows):
+    pairs = rows(windows.relation_changes(*tables), "id", "changed_at")
     wanted = [
         (name, at)
         for name, (start, end, times, inside, _) in CASES.items()
@@ -81,20 +81,18 @@ def test_pairs(tables, rows, skew):
     assert pairs == sorted([*wanted, ("left", FEB), ("right", FEB)], key=repr)
 
 
-@pytest.mark.parametrize("skew", [SKEWS["plain"], SKEWS["all-heavy"]], ids=["plain", "all-heavy"])
-def test_whole_last_day(tables, rows, skew):
+def test_whole_last_day(tables, rows):
     right = ("right", 1)
-    got = rows(windows.changes_per_relation(*tables, skew=skew, end_of_day=True))
+    got = rows(windows.changes_per_relation(*tables, end_of_day=True))
     assert right in got
     assert got == expected(4)
 
 
 def test_the_single_change_is_the_one_inside(tables, rows):
-    for skew in (SKEWS["plain"], SKEWS["all-heavy"]):
-        found = windows.attributions(*tables, skew=skew).where("n_changes = 1")
-        assert rows(found, "id", "last_value") == [
-            ("before 1970", "P0"), ("left", "B"), ("right", "B"),
-        ]
+    found = windows.attributions(*tables).where("n_changes = 1")
+    assert rows(found, "id", "last_value") == [
+        ("before 1970", "P0"), ("left", "B"), ("right", "B"),
+    ]
 
 
 def test_dates_count_as_their_midnight(tables, rows):
@@ -103,12 +101,11 @@ def test_dates_count_as_their_midnight(tables, rows):
         "id", "account_id", "is_deleted", "date(assigned_at) assigned_at",
         "date(ended_at) ended_at", "owner",
     )
-    skew = SKEWS["plain"]
-    assert rows(windows.changes_per_relation(relation, history, skew=skew)) == [
+    assert rows(windows.changes_per_relation(relation, history)) == [
         ("both bounds belong", 2)
     ]
     assert rows(
-        windows.changes_per_relation(relation, history, skew=skew, end_of_day=True)
+        windows.changes_per_relation(relation, history, end_of_day=True)
     ) == [("both bounds belong", 2), ("later on the last day", 2)]
 
 
@@ -123,5 +120,4 @@ def test_zoned_times_follow_instants_through_a_clock_change(spark, rows):
         f" timestamp_seconds({seconds[1]}) assigned_at,"
         f" timestamp_seconds({seconds[3]}) ended_at, cast(null as string) owner"
     )
-    for skew in (SKEWS["plain"], SKEWS["all-heavy"]):
-        assert rows(windows.changes_per_relation(relation, history, skew=skew)) == [("r", 3)]
+    assert rows(windows.changes_per_relation(relation, history)) == [("r", 3)]

@@ -6,11 +6,17 @@ from collections import Counter
 
 import pytest
 
-from tenure.operators.skew import Skew
+from tenure.operators import intervals
 from tenure.plans import log, repair, windows
 
 BASE = dt.datetime(2021, 1, 1)
-SKEWS = {"plain": Skew(surveyed=True, few_to_fix=True), "heavy": Skew(rows=50, few_to_fix=False)}
+
+
+@pytest.fixture(autouse=True, params=[30, 1], ids=["months", "days"])
+def period(request, monkeypatch):
+    """How long a part of an account's line is must not matter."""
+    monkeypatch.setattr(intervals, "PERIOD_DAYS", request.param)
+
 
 
 def moment(rnd, hours):
@@ -57,56 +63,51 @@ def tables(make, lines):
     return make.relations(*relations), make.history(*((a, at, "-", new) for a, at, new in changes))
 
 
-@pytest.mark.parametrize("skew", SKEWS.values(), ids=SKEWS)
-def test_pairs(tables, pairs, rows, skew):
+def test_pairs(tables, pairs, rows):
     assert len(pairs) > 10_000
-    got = rows(windows.relation_changes(*tables, skew=skew), "id", "changed_at", "new_value")
+    got = rows(windows.relation_changes(*tables), "id", "changed_at", "new_value")
     assert got == sorted(((r["id"], c[1], c[2]) for r, c in pairs), key=repr)
 
 
-@pytest.mark.parametrize("skew", SKEWS.values(), ids=SKEWS)
-def test_counts(tables, pairs, rows, skew):
+def test_counts(tables, pairs, rows):
     wanted = Counter(r["id"] for r, _ in pairs if r["owner"] is None)
-    got = rows(windows.changes_per_relation(*tables, skew=skew))
+    got = rows(windows.changes_per_relation(*tables))
     assert got == sorted(wanted.items(), key=repr)
 
     owned = [(r, c) for r, c in pairs if r["owner"] is not None]
     agreeing = [r["id"] for r, c in owned if r["owner"] == c[2]]
-    assert rows(windows.owner_agreement(*tables, skew=skew)) == [
+    assert rows(windows.owner_agreement(*tables)) == [
         (len({r["id"] for r, _ in owned}), len(agreeing), len(set(agreeing)))
     ]
 
 
-@pytest.mark.parametrize("skew", SKEWS.values(), ids=SKEWS)
-def test_single_changes_name_the_right_owner(tables, pairs, rows, skew):
+def test_single_changes_name_the_right_owner(tables, pairs, rows):
     n = Counter(r["id"] for r, _ in pairs)
     wanted = [
         (r["id"], c[2]) for r, c in pairs if r["owner"] is None and n[r["id"]] == 1
     ]
-    found = windows.attributions(*tables, skew=skew).where("n_changes = 1")
+    found = windows.attributions(*tables).where("n_changes = 1")
     assert rows(found, "id", "last_value") == sorted(wanted, key=repr)
 
 
-@pytest.mark.parametrize("skew", SKEWS.values(), ids=SKEWS)
-def test_next_starts(tables, lines, rows, skew):
+def test_next_starts(tables, lines, rows):
     relations, _ = lines
     line = sorted(relations, key=lambda r: (r["account"], r["start"], r["id"]))
     wanted = []
     for r, following in zip(line, [*line[1:], None]):
         same = following is not None and following["account"] == r["account"]
         wanted.append((r["id"], r["end"] or (following["start"] if same else None)))
-    assert rows(repair.repair_end_dates(tables[0], skew), "id", "ended_at") == sorted(
+    assert rows(repair.repair_end_dates(tables[0]), "id", "ended_at") == sorted(
         wanted, key=repr
     )
 
 
-@pytest.mark.parametrize("skew", SKEWS.values(), ids=SKEWS)
-def test_history_counts(tables, lines, rows, skew):
+def test_history_counts(tables, lines, rows):
     relations, changes = lines
     per_account = Counter(c[0] for c in changes)
     missing = [r["account"] for r in relations if r["owner"] is None]
     known = [a for a in missing if per_account[a]]
-    assert rows(log.to_fix_with_history(*tables, skew=skew)) == [
+    assert rows(log.to_fix_with_history(*tables)) == [
         (sum(per_account[a] for a in known), len(known))
     ]
-    assert rows(log.to_fix_without_history(*tables, skew=skew)) == [(len(missing) - len(known),)]
+    assert rows(log.to_fix_without_history(*tables)) == [(len(missing) - len(known),)]

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from tenure.llm.common import discard, stage
 from tenure.llm.hashing import BLOCK, NEWLINE, bytes_of, fingerprint, words
+from tenure.llm.pivots import forest
 from tenure.llm.rarity import cell, count
 from tenure.llm.setjoin import (
     KEY_BITS,
@@ -36,8 +37,8 @@ from tenure.llm.setjoin import (
 
 # Cells of the rarity table: 2 ** 23 of one byte, 8 MB.
 CELL_BITS = 23
-# Lists of a word up to this length are compared pair by pair.
-SHORT = 32
+# Lists of a word up to this length are compared pair by pair, all at once.
+SHORT = 1024
 
 
 def _blocks(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -59,6 +60,19 @@ def _words_of(column: pa.Array) -> Iterator[np.ndarray]:
     return (hashes for hashes, *_ in _blocks(column))
 
 
+def _in_order(hashes: np.ndarray, frequency: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """Words by line number, frequency and hash."""
+    if number[-1] < 1 << 16:
+        # One sort of numbers that hold all three, if what is cut off ties no two words.
+        key = (number.astype(np.uint64) << np.uint64(48)) | (frequency.astype(np.uint64) << np.uint64(40))
+        key |= hashes >> np.uint64(24)
+        order = np.argsort(key)
+        tied = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+        if (hashes[order[tied]] == hashes[order[tied + 1]]).all():
+            return order
+    return np.lexsort((hashes, frequency, number))
+
+
 def _sets(column: pa.Array, counts: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
     """(row, line, its distinct words from rare to frequent) of every line with words."""
     for hashes, row, line in _blocks(column):
@@ -66,7 +80,7 @@ def _sets(column: pa.Array, counts: np.ndarray) -> Iterator[tuple[int, int, np.n
             continue
         frequency = counts[cell(hashes, CELL_BITS)]
         number = np.cumsum(np.concatenate([[0], (np.diff(row) != 0) | (np.diff(line) != 0)]))
-        order = np.lexsort((hashes, frequency, number))
+        order = _in_order(hashes, frequency, number)
         hashes, number = hashes[order], number[order]
         fresh = np.concatenate([[True], (np.diff(number) != 0) | (hashes[1:] != hashes[:-1])])
         kept, number = hashes[fresh], number[fresh]
@@ -183,22 +197,30 @@ def _forest(rows: list[np.ndarray]) -> pa.RecordBatch:
     cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
     lengths = np.diff(cuts)
     a, b = [], []
-    # All pairs of the short lists at once, by their distance in the list.
-    short = np.repeat(lengths <= SHORT, lengths)
-    for step in range(1, SHORT):
-        i = np.flatnonzero(short[step:] & (key[step:] == key[:-step])) + step
-        if not len(i):
-            break
-        i = i[_may_match(rows, i, i - step)]
-        a.append(fp[i - step])
-        b.append(fp[i])
+    # All pairs of the short lists at once, by their distance in the list. Lists are in the
+    # order of sizes, so a line that is too long for one before it is so for all further on.
+    i = np.flatnonzero(np.repeat(lengths <= SHORT, lengths))
+    step = 0
+    while len(i):
+        step += 1
+        i = i[i >= step]
+        j = i - step
+        near = (key[i] == key[j]) & (100 * rows[2][j] >= PERCENT * rows[2][i])
+        i, j = i[near], j[near]
+        found = _may_match(rows, i, j)
+        a.append(i[found])
+        b.append(j[found])
+    ends = [np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b)]
+    root = forest(len(fp), *ends)
+    moved = np.flatnonzero(root != np.arange(len(fp)))
+    a, b = [fp[moved]], [fp[root[moved]]]
     for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
         if end - begin > SHORT and fp[begin] != fp[end - 1]:
             for one, other in _long_list(rows, begin, end):
                 a.append(one)
                 b.append(other)
-    flat = [np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b)]
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in flat], names=["a", "b"])
+    pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(p) for p in pairs], names=["a", "b"])
 
 
 def _long_list(rows: list[np.ndarray], begin: int, end: int):
@@ -315,7 +337,7 @@ def kept_lines(
         .select("id", "content", F.inline(F.arrays_zip("wanted", "sets")))
         .select("id", "content", "wanted.line", "wanted.fp", F.col("sets").alias("members"), F.inline("wanted.meets"))
     )
-    matched = met.groupBy("cluster", "first", "second").applyInArrow(_matched, "fp long").distinct()
+    matched = met.groupBy("pack", "first", "second").applyInArrow(_matched, "fp long").distinct()
     stays = first.join(matched, "fp", "left_anti").select("at.*")
     result, _ = stage(
         lines.groupBy("id", "content")

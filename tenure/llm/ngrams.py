@@ -114,11 +114,11 @@ def _linked(given_key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     _, first, second = (k.as_py() for k in given_key)
     prints = table["fp"].to_numpy()
     sets = [np.asarray(s.values) for s in table["members"].combine_chunks()]
-    tile = table["tile"].to_numpy()
+    tile, cluster = table["tile"].to_numpy(), table["cluster"].to_numpy()
     root = np.arange(len(prints))
 
     def apart(i: int, js: np.ndarray) -> np.ndarray:
-        js = js[root[js] != root[i]]
+        js = js[(cluster[js] == cluster[i]) & (root[js] != root[i])]
         return js[js > i] if first == second else js
 
     a, b = [], []
@@ -174,7 +174,7 @@ def near_duplicates(
     met = joined.select("fp", "meets", shingle_set(F.col("d.text")).alias("members")).select(
         "fp", "members", F.inline("meets")
     )
-    links = met.groupBy("cluster", "first", "second").applyInArrow(_linked, "a long, b long")
+    links = met.groupBy("pack", "first", "second").applyInArrow(_linked, "a long, b long")
     labels = cut(components(links).withColumnRenamed("id", "fp"))
     rooted = described.join(labels, "fp", "left").withColumn(
         "root", F.coalesce("component", "fp")

@@ -77,7 +77,7 @@ def _first_shared(left: np.ndarray, right: np.ndarray, k: int) -> tuple[np.ndarr
     return count, first
 
 
-def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For each of ``n`` points the smallest position it is linked to through (a, b)."""
     root = np.arange(n)
     while True:
@@ -122,7 +122,7 @@ def _compare(threshold: float, shared: int):
         order = np.argsort(ids, kind="stable")
         place = np.empty_like(order)
         place[order] = np.arange(len(ids))
-        root = ids[order[_forest(len(ids), place[left], place[right])[place]]]
+        root = ids[order[forest(len(ids), place[left], place[right])[place]]]
         return pa.table(
             [ids[found], n[found].astype(np.int64), root[found]], schema=schema
         )

@@ -130,10 +130,24 @@ def _neighbours(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def meetings(members: DataFrame, tile: int = TILE) -> DataFrame:
-    """``fp``, ``n`` and ``meets``: the pairs of tiles (``cluster``, ``first``, ``second``) that a
-    set takes part in, with its own ``tile``."""
+    """``fp``, ``n`` and ``meets``: the groups (``pack``, ``first``, ``second``) in which a set is
+    compared, with its ``cluster`` and ``tile``.
+
+    A group is a pair of tiles of a cluster. Clusters of a single tile are packed together,
+    about four tiles to a group.
+    """
+    packs = members.count() // (4 * tile) + 1
     line = Window.partitionBy("cluster").orderBy("n", "fp")
-    placed = members.withColumn("tile", F.floor((F.row_number().over(line) - 1) / tile).cast("int"))
+    whole = Window.partitionBy("cluster")
+    small = F.count(F.lit(1)).over(whole) <= tile
+    placed = members.withColumns(
+        {
+            "tile": F.floor((F.row_number().over(line) - 1) / tile).cast("int"),
+            "pack": F.when(small, F.pmod(F.xxhash64("cluster"), F.lit(packs))).otherwise(
+                F.col("cluster")
+            ),
+        }
+    )
     tiles = placed.groupBy("cluster", F.col("tile").alias("other")).agg(
         F.min("n").alias("low"), F.max("n").alias("high")
     )
@@ -141,9 +155,10 @@ def meetings(members: DataFrame, tile: int = TILE) -> DataFrame:
         PERCENT * F.col("low") <= 100 * F.col("n")
     )
     meet = F.struct(
-        "cluster",
+        "pack",
         F.least("tile", "other").alias("first"),
         F.greatest("tile", "other").alias("second"),
+        "cluster",
         "tile",
     )
     return (

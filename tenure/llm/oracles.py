@@ -40,6 +40,24 @@ SELECT doc_id, size, source_size, target,
 FROM placed
 """
 
+CHAT = r"""
+WITH told AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL
+  SELECT -7, t, r, '\### Assistant: </turn> ok'
+  FROM (VALUES (0, 'user'), (1, 'assistant')) AS own(t, r)
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), ''
+                         ORDER BY turn NULLS LAST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, role, text)
+                       FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(15 + length(role || text)
+           + length(regexp_replace(role || text, '[^\\<>]', '', 'g')))::BIGINT AS formatted_chars
+FROM told GROUP BY conv_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_source_mix": MIX}
+    return {"op8_source_mix": MIX, "op10_chat_format": CHAT}

@@ -3,9 +3,10 @@
 import hashlib
 import json
 
+import duckdb
 import pytest
 
-from tenure.llm import chat, registry
+from tenure.llm import chat, oracles, registry
 
 
 def digest(text):
@@ -72,6 +73,9 @@ def test_given_conversations(spark):
     for r in table.collect():
         told.setdefault(r.conv_id, []).append((r.role, r.text or ""))
     assert set(got) == set(told)
+    base = duckdb.connect()
+    base.execute(f"CREATE VIEW conversations AS SELECT * FROM '{folder}/conversations.parquet'")
+    assert sorted(base.execute(oracles.CHAT).fetchall()) == sorted(map(tuple, got.values()))
     for conv_id, turns in told.items():
         row = got[conv_id]
         loss = "".join(t for r, t in turns if r == "assistant")

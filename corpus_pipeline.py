@@ -4,7 +4,8 @@ Every stage takes what the one before it kept. Documents whose language cannot b
 go; lines that repeat an earlier one go, and with them documents that are left empty; one
 document of each group of near-duplicates stays, the one with the smallest id; sources
 are mixed to their target weights, so a document may come twice, or in part; the last
-stage encodes what is left. Each function takes (spark, docs, sf_dir).
+stage encodes what is left. Each function takes (spark, docs, sf_dir) and looks at the
+columns of ``documents`` only; others are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the fused evidence tells with enough probability."""
+    docs = docs.select(*COLUMNS)
     pages = read(spark, sf_dir, "pages")
     model = langid.train(docs)
     scored = docs.withColumn("scores", langid.text_scores(F.col("text"), model))
@@ -32,7 +34,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that repeat an earlier one."""
-    return _counted(lines.without_repeats(docs))
+    return _counted(lines.without_repeats(docs.select(*COLUMNS)))
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,6 +43,7 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Of rows that agree in id and text one stays. Rows without words stay, and so do rows
     without an id, as nothing tells them apart.
     """
+    docs = docs.select(*COLUMNS)
     has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     groups, _ = stage(ngrams.near_duplicates(docs))
     # Every row knows the smallest id of its group: those that have it themselves stay.
@@ -60,6 +63,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A document taken whole keeps its text as it is; of one taken in part, the words are
     joined by single spaces.
     """
+    docs = docs.select(*COLUMNS)
     carried = tuple(c for c in docs.columns if c not in ("doc_id", "source"))
     mixed = mixing.mix(
         docs.withColumn("origin", F.col("source")), carry=(*carried, "origin")

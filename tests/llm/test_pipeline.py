@@ -75,3 +75,12 @@ def test_tokens(stages):
         digest = hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         expected.append((i, len(ids), digest, hashlib.sha256(text.encode()).hexdigest()))
     assert sorted(map(tuple, stages["byte_bpe"].collect())) == sorted(expected)
+
+
+def test_other_columns_are_left_out(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(20)
+    more = docs.selectExpr("*", "1 host", "2 scores", "3 spans", "4 kept", "5 component_id", "6 size")
+    for name, function in pipeline.STAGES[:-1]:
+        got = function(spark, more, FOLDER)
+        assert got.columns == docs.columns, name
+        assert got.count() > 0

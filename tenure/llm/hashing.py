@@ -128,3 +128,9 @@ def fingerprint(members: np.ndarray) -> int:
     total = int(mixed(members + np.uint64(FACTOR)).sum(dtype=np.uint64)) if len(members) else 0
     value = (total + len(members) * FACTOR) & MASK
     return value - (1 << 64) if value >> 63 else value
+
+
+def fingerprints(members: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """``fingerprint`` of sets that lie end to end in ``members``, none of them empty."""
+    total = np.add.reduceat(mixed(members + np.uint64(FACTOR)), begin)
+    return (total + size.astype(np.uint64) * np.uint64(FACTOR)).view(np.int64)

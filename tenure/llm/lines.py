@@ -15,6 +15,7 @@ number in it.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenure.llm.common import discard, stage
-from tenure.llm.hashing import BLOCK, NEWLINE, bytes_of, fingerprint, words
+from tenure.llm.hashing import BLOCK, NEWLINE, bytes_of, fingerprints, words
 from tenure.llm.pivots import forest
 from tenure.llm.rarity import cell, count
 from tenure.llm.setjoin import (
@@ -73,21 +74,33 @@ def _in_order(hashes: np.ndarray, frequency: np.ndarray, number: np.ndarray) ->
     return np.lexsort((hashes, frequency, number))
 
 
-def _sets(column: pa.Array, counts: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(row, line, its distinct words from rare to frequent) of every line with words."""
+@dataclass(frozen=True)
+class Block:
+    """Lines with words: their row, number, fingerprint, and where their words begin in
+    ``members``; each line's words are distinct, from rare to frequent."""
+
+    row: np.ndarray
+    line: np.ndarray
+    fp: np.ndarray
+    begin: np.ndarray
+    size: np.ndarray
+    members: np.ndarray
+
+
+def _sets(column: pa.Array, counts: np.ndarray) -> Iterator[Block]:
     for hashes, row, line in _blocks(column):
         if not len(hashes):
             continue
-        frequency = counts[cell(hashes, CELL_BITS)]
-        number = np.cumsum(np.concatenate([[0], (np.diff(row) != 0) | (np.diff(line) != 0)]))
-        order = _in_order(hashes, frequency, number)
+        new = np.concatenate([[True], (np.diff(row) != 0) | (np.diff(line) != 0)])
+        number = np.cumsum(new) - 1
+        order = _in_order(hashes, counts[cell(hashes, CELL_BITS)], number)
         hashes, number = hashes[order], number[order]
         fresh = np.concatenate([[True], (np.diff(number) != 0) | (hashes[1:] != hashes[:-1])])
-        kept, number = hashes[fresh], number[fresh]
-        bounds = np.flatnonzero(np.concatenate([[True], np.diff(number) != 0]))
-        places = np.flatnonzero(np.concatenate([[True], (np.diff(row) != 0) | (np.diff(line) != 0)]))
-        for members, at in zip(np.split(kept, bounds[1:]), places, strict=True):
-            yield int(row[at]), int(line[at]), members
+        members, number = hashes[fresh], number[fresh]
+        begin = np.flatnonzero(np.concatenate([[True], np.diff(number) != 0]))
+        size = np.diff(np.append(begin, len(members)))
+        at = np.flatnonzero(new)
+        yield Block(row[at], line[at], fingerprints(members, begin, size), begin, size, members)
 
 
 def describe(docs: DataFrame, shared_counts) -> DataFrame:
@@ -96,21 +109,18 @@ def describe(docs: DataFrame, shared_counts) -> DataFrame:
     def run(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared_counts.value
         for batch in given:
-            rows = [(r, k, fingerprint(m), len(m)) for r, k, m in _sets(batch["text"], counts)]
-            if not rows:
-                continue
-            at, lines, prints, sizes = zip(*rows, strict=True)
-            taken = pa.array(at, pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch["id"].take(taken),
-                    batch["content"].take(taken),
-                    pa.array(lines, pa.int32()),
-                    pa.array(prints, pa.int64()),
-                    pa.array(sizes, pa.int32()),
-                ],
-                names=["id", "content", "line", "fp", "n"],
-            )
+            for block in _sets(batch["text"], counts):
+                taken = pa.array(block.row)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch["id"].take(taken),
+                        batch["content"].take(taken),
+                        pa.array(block.line.astype(np.int32)),
+                        pa.array(block.fp),
+                        pa.array(block.size.astype(np.int32)),
+                    ],
+                    names=["id", "content", "line", "fp", "n"],
+                )
 
     return docs.mapInArrow(run, "id long, content long, line int, fp long, n int")
 
@@ -120,45 +130,43 @@ def prefixes(docs: DataFrame, shared_counts) -> DataFrame:
     order, and ``low`` and ``high``, the parities of all words in 128 bits. A batch gives
     those of a repeated line once."""
 
-    def packed(held: list[tuple]) -> pa.RecordBatch:
-        firsts, prints, sizes, bits = zip(*held, strict=True)
-        lengths = [len(f) for f in firsts]
-        keys = np.concatenate(firsts) >> np.uint64(64 - KEY_BITS)
-        parity = np.stack(bits)
-        columns = {
-            "key": keys.astype(np.int64),
-            "fp": np.repeat(np.array(prints, np.int64), lengths),
-            "n": np.repeat(np.array(sizes, np.int32), lengths),
-            "place": np.concatenate([np.arange(k, dtype=np.int32) for k in lengths]),
-            "low": np.repeat(parity[:, 0], lengths),
-            "high": np.repeat(parity[:, 1], lengths),
-        }
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
-
     def run(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared_counts.value
         for batch in given:
-            seen: set[int] = set()
-            held: list[tuple] = []
-            for _, _, members in _sets(batch["text"], counts):
-                own, n = fingerprint(members), len(members)
-                if own in seen:
-                    continue
-                seen.add(own)
-                held.append((members[: int(prefix_length(n, 1))], own, n, _parities(members)))
-                if len(held) == 10_000:
-                    yield packed(held)
-                    held = []
-            if held:
-                yield packed(held)
+            seen = np.zeros(0, np.int64)
+            for block in _sets(batch["text"], counts):
+                fp, first = np.unique(block.fp, return_index=True)
+                first = first[~np.isin(fp, seen)]
+                seen = np.union1d(seen, fp)
+                low, high = (parity[first] for parity in _parities(block))
+                length = prefix_length(block.size[first], 1)
+                place = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+                key = block.members[np.repeat(block.begin[first], length) + place]
+                columns = {
+                    "key": (key >> np.uint64(64 - KEY_BITS)).astype(np.int64),
+                    "fp": np.repeat(block.fp[first], length),
+                    "n": np.repeat(block.size[first].astype(np.int32), length),
+                    "place": place.astype(np.int32),
+                    "low": np.repeat(low, length),
+                    "high": np.repeat(high, length),
+                }
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c) for c in columns.values()], names=list(columns)
+                )
 
     ddl = "key long, fp long, n int, place int, low long, high long"
     return docs.select("text").mapInArrow(run, ddl)
 
 
-def _parities(members: np.ndarray) -> np.ndarray:
-    odd = np.bincount((members >> np.uint64(9)).astype(np.int64) & 127, minlength=128) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+def _parities(block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """In each of 128 bits whether an odd number of a line's words falls on it."""
+    at = block.members >> np.uint64(9)
+    bit = np.uint64(1) << (at & np.uint64(63))
+    upper = (at & np.uint64(64)) != 0
+    return tuple(
+        np.bitwise_xor.reduceat(np.where(half, bit, np.uint64(0)), block.begin).view(np.int64)
+        for half in (~upper, upper)
+    )
 
 
 def _alike(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,9 +335,12 @@ def kept_lines(
         known = counts.value
         asked = [{line: at for at, line in enumerate(n)} for n in numbers.to_pylist()]
         out: list[list] = [[None] * len(a) for a in asked]
-        for row, line, members in _sets(text, known):
-            if line in asked[row]:
-                out[row][asked[row][line]] = members.view(np.int64)
+        for block in _sets(text, known):
+            lines_of = zip(block.row.tolist(), block.line.tolist(), block.begin, block.size, strict=True)
+            for row, line, begin, size in lines_of:
+                if line in asked[row]:
+                    own = block.members[begin : begin + size]
+                    out[row][asked[row][line]] = own.view(np.int64)
         return pa.array(out, pa.list_(pa.list_(pa.int64())))
 
     met = (

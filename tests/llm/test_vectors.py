@@ -69,6 +69,24 @@ def test_links_and_components(spark, cloud, rows):
         assert found[i].n_links == 0 and found[i].component_id == i and found[i].kept
 
 
+@pytest.mark.parametrize("cosine", [0.9996, 0.99, 0.92])
+def test_links_of_a_large_dense_group(spark, cosine):
+    # A third of the vectors are near copies of one, and so are a third of the candidates
+    # for pivots.
+    rng = np.random.default_rng(5)
+    center = rng.normal(size=32)
+    noise = np.linalg.norm(center) * math.sqrt((1 / cosine - 1) / 32)
+    group = center + rng.normal(size=(800, 32)) * noise
+    points = np.array([*group, *rng.normal(size=(1600, 32))], np.float32)
+    given = [(int(i), [float(x) for x in points[i]]) for i in rng.permutation(len(points))]
+    ids, link = linked(given)
+    found = {r.vec_id: r for r in pivots.near_duplicates(table(spark, given), tile=256).collect()}
+    counts = link.sum(axis=1) - 1
+    assert all(found[i].n_links <= c for i, c in zip(ids, counts, strict=True))
+    assert sum(r.n_links for r in found.values()) >= 0.99 * counts.sum()
+    assert {found[i].component_id for i in range(800)} == {0}
+
+
 def test_nearest(spark, cloud):
     # Repeated rows are candidates as often as they occur.
     given = cloud + ODD + [cloud[1], cloud[1]]

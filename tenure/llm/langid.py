@@ -6,6 +6,9 @@ contributes a prior, smoothed towards its parent domain, which is smoothed towar
 rows. All tables are grouped counts over all rows: those of trigrams over the labelled
 texts, the others over what the text alone says. Missing evidence contributes nothing.
 
+One more hypothesis is that the text is in none of the languages: all trigrams are
+equally likely then. A text that this explains better is rejected and counts in no table.
+
 Neighbouring trigrams tell nearly the same, so a text's log likelihood is weighed down
 to that of at most ``INDEPENDENT`` trigrams; otherwise nothing else would ever count.
 """
@@ -25,6 +28,9 @@ from tenure.llm.hashing import BLOCK, LOWER, bytes_of
 # Hashed trigrams. The model is a table of languages by these, held by every task.
 FEATURES = 1 << 14
 INDEPENDENT = 100.0
+# Trigrams added to a language, spread evenly, as a share of its total at least; all have the
+# same share, so unseen trigrams favour none.
+ADDED = 0.1
 # Rows that a parent counts for in the prior of a domain or host.
 PRIOR = 20.0
 # Probability of the best language below which a text is rejected.
@@ -77,25 +83,31 @@ def train(texts: DataFrame, label_col: str = "lang", text_col: str = "text") ->
         .toArrow()
     )
     languages = tuple(sorted(set(found["label"].to_pylist())))
-    table = np.full((len(languages), FEATURES), 0.5)
+    table = np.zeros((len(languages), FEATURES))
     place = {name: i for i, name in enumerate(languages)}
     rows = [place[name] for name in found["label"].to_pylist()]
     table[rows, found["feature"].to_numpy()] += found["n"].to_numpy()
+    if languages:
+        total = table.sum(axis=1, keepdims=True)
+        # Half a trigram of each kind for the language with the fewest, if that is more.
+        table += total * max(0.5 / total.min(), ADDED / FEATURES)
     return Model(languages, np.log(table / table.sum(axis=1, keepdims=True)))
 
 
 def text_scores(text: Column, model: Model) -> Column:
-    """A weighed log likelihood per language and, last, the number of trigrams."""
+    """A weighed log likelihood per language, that of none of them and, last, the number of
+    trigrams."""
     shares = model.log_share.T.astype(np.float32)
-    width = shares.shape[1] + 1
+    width = shares.shape[1] + 2
 
     @F.arrow_udf("array<double>")
     def score(column: pa.Array) -> pa.Array:
         out = np.zeros((len(column), width))
         for row, found in trigrams(column):
-            out[row, :-1] += shares[found].sum(axis=0, dtype=np.float64)
+            out[row, :-2] += shares[found].sum(axis=0, dtype=np.float64)
             out[row, -1] += len(found)
         n = out[:, -1:]
+        out[:, -2:-1] = -np.log(FEATURES) * n
         out[:, :-1] *= 1 / (1 + n / INDEPENDENT)
         offsets = np.arange(0, out.size + 1, width, dtype=np.int32)
         return pa.ListArray.from_arrays(offsets, pa.array(out.reshape(-1)))
@@ -109,14 +121,16 @@ def _best(scores: Column, n: int) -> Column:
 
 
 def _counts(rows: DataFrame, key: str, n: int, name: str) -> DataFrame:
-    """Per value of ``key`` how many rows the text alone puts in each language."""
+    """Per value of ``key`` how many rows the text alone puts in each language, zeros where
+    it puts none in any."""
     each = F.array(*(F.count_if(F.col("best") == i + 1).cast("double") for i in range(n)))
     return rows.where(F.col(key).isNotNull()).groupBy(key).agg(each.alias(name))
 
 
 @dataclass(frozen=True)
 class Evidence:
-    """Log likelihoods per declared language and suffix, and log priors per host."""
+    """Log likelihoods per declared language and suffix, last under none of the languages,
+    and log priors per host."""
 
     declared: DataFrame
     suffix: DataFrame
@@ -130,10 +144,13 @@ def parent_of(host: Column) -> Column:
 
 
 def gather(scored: DataFrame, model: Model) -> Evidence:
-    """Evidence tables from ``scores``, ``declared``, ``suffix`` and ``host`` of all rows."""
+    """Evidence tables from ``scores``, ``declared``, ``suffix`` and ``host`` of all rows. A
+    row whose text is in none of the languages shows only that its host is there."""
     n = len(model.languages)
+    told = F.array_max(F.slice("scores", 1, n)) >= F.element_at("scores", -2)
     rows = scored.where(F.element_at("scores", -1) > 0).select(
-        _best(F.col("scores"), n).alias("best"), "declared", "suffix", "host",
+        F.when(told, _best(F.col("scores"), n)).otherwise(0).alias("best"),
+        "declared", "suffix", "host",
         parent_of(F.col("host")).alias("parent"),
     )
     counted = [F.count_if(F.col("best") == i + 1) for i in range(n)]
@@ -142,9 +159,12 @@ def gather(scored: DataFrame, model: Model) -> Evidence:
 
     def likelihood(key: str) -> DataFrame:
         # Half a row more for each value and language, so that nothing is impossible.
-        table = _counts(rows, key, n, "c")
+        table = _counts(rows.where("best > 0"), key, n, "c")
         given = F.array(*(F.lit(float(x) + 1.0) for x in seen))
         share = F.zip_with("c", given, lambda c, of: F.log((c + 0.5) / of))
+        # Under none of the languages a value is as frequent as in all rows.
+        every = F.aggregate("c", F.lit(0.5 * n), lambda a, x: a + x) / float(seen.sum() + max(n, 1))
+        share = F.concat(share, F.array(F.log(every)))
         return table.select(key, share.alias(f"{key}_log"))
 
     def smoothed(counts: Column, towards: Column) -> Column:
@@ -175,26 +195,28 @@ def fuse(
     ``suffix`` and ``host``, all under exactly these names.
 
     A text without a trigram is rejected, as is one whose best language has a probability
-    below ``accept_at``. Ties go to the first language by name.
+    below ``accept_at`` or below that of none of the languages, which has the prior of an
+    average one. Such a row names its best language all the same. Ties go to the first
+    language by name.
     """
     n = len(model.languages)
     if not n:
         return scored.withColumns({
             "language": F.lit(None).cast("string"), "probability": F.lit(0.0), "accepted": F.lit(False)
         })
-    nothing = F.array(*[F.lit(0.0)] * n)
-    prior = F.coalesce("host_log", F.array(*map(F.lit, evidence.overall)))
+    nothing = F.array(*[F.lit(0.0)] * (n + 1))
+    known = F.coalesce("host_log", F.array(*map(F.lit, evidence.overall)))
+    prior = F.concat(known, F.array(F.lit(-float(np.log(n)))))
 
     def plus(a: Column, b: Column) -> Column:
         return F.zip_with(a, b, lambda x, y: x + y)
 
     logs = plus(
-        plus(F.slice("scores", 1, n), prior),
+        plus(F.slice("scores", 1, n + 1), prior),
         plus(F.coalesce("declared_log", nothing), F.coalesce("suffix_log", nothing)),
     )
-    weights = F.aggregate(
-        "logs", F.lit(0.0), lambda total, x: total + F.exp(x - F.array_max("logs"))
-    )
+    best = F.array_max(F.slice("logs", 1, n))
+    weights = F.aggregate("logs", F.lit(0.0), lambda total, x: total + F.exp(x - best))
     names = F.array(*map(F.lit, model.languages))
     return (
         scored.join(evidence.host, "host", "left")
@@ -204,7 +226,10 @@ def fuse(
         .withColumn("probability", 1 / weights)
         .withColumn("language", F.element_at(names, _best(F.col("logs"), n)))
         .withColumn(
-            "accepted", (F.element_at("scores", -1) > 0) & (F.col("probability") >= accept_at)
+            "accepted",
+            (F.element_at("scores", -1) > 0)
+            & (F.col("probability") >= accept_at)
+            & (best >= F.element_at("logs", -1)),
         )
         .drop("logs", "host_log", "declared_log", "suffix_log")
     )

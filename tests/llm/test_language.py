@@ -19,6 +19,50 @@ def test_held_out_accuracy(spark):
     assert judged["accepted"].mean() >= 0.99
 
 
+FOREIGN = [
+    "Все люди рождаются свободными и равными в своем достоинстве и правах.",
+    "Ολοι οι ανθρωποι γεννιουνται ελευθεροι και ισοι στην αξιοπρεπεια.",
+    "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心。",
+    "Tutti gli esseri umani nascono liberi ed eguali in dignita e diritti.",
+    "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b2b0b822cd15d6c15b0f00a08",
+    "=-*#@ {}[] ;; || && %% $$ ^^ ~~ <> =-*#@ {}[] ;; || && %% $$",
+    "xqzvk jwpfh gbtqx zzkvj qwxpd mfhtz kqjxv wzgpb vxqkj hzfwq",
+]
+CLEAN = [
+    "All human beings are born free and equal in dignity and rights.",
+    "Todos los seres humanos nacen libres e iguales en dignidad y derechos.",
+    "Alle Menschen sind frei und gleich an Wuerde und Rechten geboren.",
+    "Tous les etres humains naissent libres et egaux en dignite et en droits.",
+]
+
+
+def test_texts_in_none_of_the_languages(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    model = langid.train(docs)
+    rows = [(i, t, None, None, None, 0) for i, t in enumerate(CLEAN + FOREIGN)]
+    rows += [(100 + i, t, "xx", "xx", f"h{i}.xx", 0) for i, t in enumerate(FOREIGN)]
+    got = {r.doc_id: r for r in judge(spark, rows, model)}
+    assert [got[i].language for i in range(4)] == ["en", "es", "de", "fr"]
+    assert all(got[i].accepted and got[i].probability > 0.9 for i in range(4))
+    assert [r.text for i, r in got.items() if i >= 4 and r.accepted] == []
+    # Nothing is learned from such rows, but their hosts are known.
+    scored = spark.createDataFrame(rows, SCHEMA).withColumn(
+        "scores", langid.text_scores(F.col("text"), model)
+    )
+    evidence = langid.gather(scored, model)
+    assert evidence.declared.count() == evidence.suffix.count() == 0
+    hosts = [r.host_log for r in evidence.host.collect()]
+    assert len(hosts) == len(FOREIGN)
+    assert all(abs(x - y) < 1e-9 for h in hosts for x, y in zip(h, evidence.overall, strict=True))
+
+
+def test_unseen_trigrams_favour_no_language(spark):
+    train = [("a", "the cat and the dog " * 50), ("b", "der hund")]
+    model = langid.train(spark.createDataFrame(train, "lang string, text string"))
+    unseen = model.log_share.min(axis=1)
+    assert abs(unseen[0] - unseen[1]) < 1e-9
+
+
 SCHEMA = "doc_id long, text string, declared string, suffix string, host string, extra int"
 
 

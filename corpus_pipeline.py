@@ -40,20 +40,29 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near-duplicates.
 
-    Of rows that agree in id and text one stays. Rows without words stay, and so do rows
-    without an id, as nothing tells them apart.
+    Of rows that agree in id and text one stays, also of those without an id. Groups are
+    made of the rows, whatever their ids: of equal ids the text with the smaller hash comes
+    first, and rows without an id come last. Rows without words are in no group.
     """
     docs = docs.select(*COLUMNS)
     has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    groups, _ = stage(ngrams.near_duplicates(docs))
-    # Every row knows the smallest id of its group: those that have it themselves stay.
-    heads = groups.where("n_shingles > 0 and doc_id <=> component_id").select("doc_id").distinct()
-    with_words = docs.where(has_words & F.col("doc_id").isNotNull())
+    # Numbers in the order of the ids, as these may be missing or repeated. Staged, so that
+    # every reader sees the same numbers. The last key lets equal rows be sorted in parts.
+    numbered, _ = stage(
+        docs.where(has_words)
+        .withColumn("place", F.monotonically_increasing_id())
+        .orderBy(F.asc_nulls_last("doc_id"), F.xxhash64("text"), "place")
+        .withColumn("row", F.monotonically_increasing_id())
+    )
+    groups, _ = stage(ngrams.near_duplicates(numbered.select(F.col("row").alias("doc_id"), "text")))
+    # Every row knows the smallest number of its group: the one that has it itself stays.
+    heads = groups.where("n_shingles > 0 and doc_id = component_id").select(
+        F.col("doc_id").alias("row")
+    )
     return (
-        with_words.join(heads, "doc_id", "left_semi")
-        .dropDuplicates(["doc_id", "text"])
-        .unionByName(docs.where(~has_words | F.col("doc_id").isNull()))
+        numbered.join(heads, "row", "left_semi")
         .select(*docs.columns)
+        .unionByName(docs.where(~has_words).dropDuplicates(["doc_id", "text"]))
     )
 
 

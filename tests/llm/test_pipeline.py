@@ -84,3 +84,29 @@ def test_other_columns_are_left_out(spark):
         got = function(spark, more, FOLDER)
         assert got.columns == docs.columns, name
         assert got.count() > 0
+
+
+def test_one_of_each_group_whatever_the_ids(spark):
+    def text(name, changed=None):
+        own = [f"{name}{i}" for i in range(80)]
+        return " ".join([*own[:79], changed or own[79]])
+
+    given = [
+        # Without ids: an exact copy, a near one, and a copy of a document with an id.
+        (None, text("a")), (None, text("a")), (None, text("a", "x")), (None, text("b")), (7, text("b")),
+        # One id with two texts: one is the head of its group, the other is not.
+        (3, text("c")), (3, text("d")), (1, text("d")),
+        # Near and exact copies under one id.
+        (5, text("e")), (5, text("e", "x")), (5, text("e")),
+        (None, " "), (None, " "), (8, None), (8, None), (9, None), (None, "alone"),
+    ]
+    docs = spark.createDataFrame(
+        [(i, t, "en", "s", 1) for i, t in given], "doc_id long, text string, lang string, source string, n_chars long"
+    ).repartition(3)
+    got = [(r.doc_id, r.text) for r in pipeline.ngram_join(spark, docs, FOLDER).collect()]
+    fixed = [(7, text("b")), (3, text("c")), (1, text("d")), (None, " "), (8, None), (9, None), (None, "alone")]
+    assert all(got.count(row) == 1 for row in fixed)
+    rest = [row for row in got if row not in fixed]
+    assert len(rest) == 2
+    assert {i for i, _ in rest} == {None, 5}
+    assert {t.split()[0] for _, t in rest} == {"a0", "e0"}

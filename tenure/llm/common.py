@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -23,16 +24,26 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
 def checkpoint_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share for intermediate tables.
 
-    The session names it in ``spark.checkpoint.dir``; only a session without one, as in
-    tests, gets a temporary folder.
+    The session names it in ``spark.checkpoint.dir``. A session without one gets a temporary
+    folder if driver and executors are one process, as in tests; on a cluster, where each
+    machine would see another folder, that is an error. What this application wrote there
+    is removed at its end.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+        atexit.register(_remove_at_end, spark, context.getCheckpointDir())
     return context.getCheckpointDir()
 
 
+def _remove_at_end(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+        discard(spark, path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder: computed once, lineage gone."""
     checkpoint_folder(df.sparkSession)

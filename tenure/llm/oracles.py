@@ -59,5 +59,76 @@ FROM told GROUP BY conv_id
 """
 
 
+MERKLE = r"""
+WITH RECURSIVE told AS (
+  SELECT *, CASE WHEN xor(list_reduce(
+      [4294967295::BIGINT] || flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+        lambda c: [ord(c)::BIGINT] || list_transform(range(8), lambda i: -1::BIGINT))),
+      lambda a, x: CASE WHEN x >= 0 THEN xor(a, x)
+                        ELSE xor(a >> 1, (a & 1) * 3988292384) END), 4294967295) % 5 = 0
+    THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+    ELSE text END AS now
+  FROM documents
+), hashed AS (
+  SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         sha256(head || coalesce(strlen(now) || ':' || now, '-')) AS given
+  FROM (SELECT *, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-')
+          || coalesce(strlen(source) || ':' || source, '-')
+          || coalesce(strlen(lang) || ':' || lang, '-')
+          || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head FROM told)
+), placed AS (
+  SELECT *, coalesce('+' || source, '') AS tree,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx,
+         count(*) OVER (PARTITION BY source) AS n
+  FROM hashed
+), nodes AS (
+  SELECT tree, 0 AS level, idx, n, leaf AS hash FROM placed
+  UNION ALL
+  SELECT tree, level + 1, idx // 16, (n + 15) // 16, sha256(string_agg(hash, '' ORDER BY idx))
+  FROM nodes WHERE n > 1 GROUP BY tree, level, idx // 16, n
+), subroots AS (
+  SELECT tree, hash, row_number() OVER (ORDER BY tree) - 1 AS idx, count(*) OVER () AS n
+  FROM nodes WHERE n = 1
+), upper_nodes AS (
+  SELECT 100 AS level, idx, n, hash FROM subroots
+  UNION ALL
+  SELECT level + 1, idx // 16, (n + 15) // 16, sha256(string_agg(hash, '' ORDER BY idx))
+  FROM upper_nodes WHERE n > 1 GROUP BY level, idx // 16, n
+), steps AS (
+  SELECT p.doc_id, p.leaf, p.idx AS row_idx, p.tree, v.level, v.tree AS of, p.idx >> (4 * v.level) AS own
+  FROM placed p JOIN (SELECT DISTINCT tree, level FROM nodes WHERE n > 1) v ON v.tree = p.tree
+  UNION ALL
+  SELECT p.doc_id, p.leaf, p.idx, p.tree, v.level, '*', s.idx >> (4 * (v.level - 100))
+  FROM placed p JOIN subroots s ON s.tree = p.tree
+       JOIN (SELECT DISTINCT level FROM upper_nodes WHERE n > 1) v ON true
+), members AS (
+  SELECT s.tree, s.row_idx, s.level, s.own, n.idx, n.hash,
+         dense_rank() OVER (PARTITION BY s.tree, s.row_idx ORDER BY s.level) AS step
+  FROM steps s
+  JOIN (SELECT * FROM nodes UNION ALL SELECT '*', * FROM upper_nodes) n
+    ON n.tree = s.of AND n.level = s.level AND n.idx // 16 = s.own // 16
+), proofs AS (
+  SELECT tree, row_idx, string_agg(hash, '' ORDER BY step, idx) AS proof
+  FROM members WHERE idx <> own GROUP BY tree, row_idx
+), folded AS (
+  SELECT tree, idx AS row_idx, 0::BIGINT AS step, given AS hash FROM placed
+  UNION ALL
+  SELECT m.tree, m.row_idx, m.step,
+         sha256(string_agg(CASE WHEN m.idx = m.own THEN f.hash ELSE m.hash END,
+                           '' ORDER BY m.idx))
+  FROM folded f JOIN members m ON m.tree = f.tree AND m.row_idx = f.row_idx AND m.step = f.step + 1
+  GROUP BY m.tree, m.row_idx, m.step
+)
+SELECT p.doc_id, p.leaf, s.hash AS subroot, r.hash AS root,
+       sha256(coalesce(q.proof, '')) AS proof_sha256, f.hash AS folded_root, f.hash = r.hash AS verified
+FROM placed p
+JOIN subroots s ON s.tree = p.tree
+JOIN (SELECT hash FROM upper_nodes WHERE n = 1) r ON true
+LEFT JOIN proofs q ON q.tree = p.tree AND q.row_idx = p.idx
+JOIN (SELECT tree, row_idx, arg_max(hash, step) AS hash FROM folded GROUP BY ALL) f
+  ON f.tree = p.tree AND f.row_idx = p.idx
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_source_mix": MIX, "op10_chat_format": CHAT}
+    return {"op8_source_mix": MIX, "op10_chat_format": CHAT, "op13_merkle_manifest": MERKLE}

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenure.llm import bpe, chat, hilbert, langid, lines, mixing, ngrams, onebit, oracles, pivots, urltree
+from tenure.llm import bpe, chat, hilbert, langid, lines, merkle, mixing, ngrams, onebit, oracles, pivots, urltree
 from tenure.llm.common import cut, n_bytes, read
 
 RULES = (
@@ -145,6 +145,26 @@ def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return chat.read_back(chat.format_turns(turns))
 
 
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's proof, its digest, and whether the text as it is now leads to the
+    root: one in five has been put into lower case."""
+    tampered = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 5 == 0
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    now = F.when(tampered, F.translate("text", upper, lower)).otherwise(F.col("text"))
+    fields = [now if name == "text" else F.col(name) for name in merkle.FIELDS]
+    proved = merkle.proofs(
+        read(spark, folder, "documents"), carry={"now": merkle.leaf_hash(fields)}
+    )
+    return proved.select(
+        F.col("id").alias("doc_id"),
+        "leaf",
+        "subroot",
+        "root",
+        merkle.digest(F.col("segments")).alias("proof_sha256"),
+        merkle.fold(F.col("now"), F.col("segments")).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pivot_near_dup": op1_pivot_near_dup,
@@ -157,6 +177,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_source_mix": op8_source_mix,
         "op9_language": op9_language,
         "op10_chat_format": op10_chat_format,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 

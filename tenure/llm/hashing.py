@@ -19,7 +19,9 @@ NEWLINE = 0x0A
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 _random = np.random.default_rng(20)
-BYTE = _random.integers(1, MASK, 256, np.uint64, endpoint=True)[LOWER]
+# A number for every byte; in BYTE, upper and lower case letters have the same.
+RAW_BYTE = _random.integers(1, MASK, 256, np.uint64, endpoint=True)
+BYTE = RAW_BYTE[LOWER]
 FACTOR = 0x9E3779B97F4A7C15
 PLACE = _random.integers(1, MASK, 16, np.uint64, endpoint=True) | np.uint64(1)
 
@@ -52,9 +54,11 @@ def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0] : at[-1]], at - at[0]
 
 
-def words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def words(
+    data: np.ndarray, starts: np.ndarray, number: np.ndarray = BYTE
+) -> tuple[np.ndarray, np.ndarray]:
     """Hash and first byte of every word of the strings that begin at ``starts`` and lie
-    end to end in ``data``. Letters A-Z count as a-z."""
+    end to end in ``data``. Letters A-Z count as a-z, but not with ``RAW_BYTE``."""
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     solid = ~SPACE[data]
@@ -74,16 +78,20 @@ def words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     while done < len(first):
         upto = max(done + 1, int(np.searchsorted(first, first[done] + BLOCK)))
         low, high = first[done], end[upto - 1]
-        out[done:upto] = _word_hashes(data[low:high], first[done:upto] - low, end[done:upto] - low)
+        out[done:upto] = _word_hashes(
+            data[low:high], first[done:upto] - low, end[done:upto] - low, number
+        )
         done = upto
     return out, first
 
 
-def _word_hashes(data: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+def _word_hashes(
+    data: np.ndarray, first: np.ndarray, end: np.ndarray, number: np.ndarray
+) -> np.ndarray:
     """A polynomial in an odd factor over the bytes: a difference of prefix sums, shifted
     back to the front by the inverse factor."""
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE[data] * _powers(len(data), FACTOR), out=total[1:])
+    np.cumsum(number[data] * _powers(len(data), FACTOR), out=total[1:])
     back = _powers(len(data), pow(FACTOR, -1, 1 << 64))
     return mixed((total[end] - total[first]) * back[first] + (end - first).astype(np.uint64))
 

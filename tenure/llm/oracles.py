@@ -130,5 +130,30 @@ JOIN (SELECT tree, row_idx, arg_max(hash, step) AS hash FROM folded GROUP BY ALL
 """
 
 
+PASSAGES = r"""
+WITH told AS (
+  SELECT doc_id, row_number() OVER () AS row_no,
+         coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words FROM documents
+), windows AS (
+  SELECT row_no, doc_id, p, md5(array_to_string(words[p:p + 49], ' ')) AS name
+  FROM (SELECT *, unnest(range(1, len(words) - 48)) AS p FROM told)
+), firsts AS (
+  SELECT name, min(doc_id) AS first FROM windows GROUP BY name
+), covered AS (
+  SELECT DISTINCT row_no, unnest(range(p, p + 50)) AS p
+  FROM windows JOIN firsts USING (name) WHERE doc_id > first
+), every_word AS (
+  SELECT row_no, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS p FROM told
+), kept AS (
+  SELECT row_no, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n
+  FROM every_word ANTI JOIN covered USING (row_no, p) GROUP BY row_no
+)
+SELECT doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed,
+       sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM told LEFT JOIN kept USING (row_no)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_source_mix": MIX, "op10_chat_format": CHAT, "op13_merkle_manifest": MERKLE}
+    return {"op8_source_mix": MIX, "op10_chat_format": CHAT, "op12_substring_dedup": PASSAGES,
+            "op13_merkle_manifest": MERKLE}

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenure.llm import bpe, chat, hilbert, langid, lines, merkle, mixing, ngrams, onebit, oracles, pivots, urltree
+from tenure.llm import bpe, chat, hilbert, langid, lines, merkle, mixing, ngrams, onebit, oracles, passages, pivots, urltree, whitening
 from tenure.llm.common import cut, n_bytes, read
 
 RULES = (
@@ -145,6 +145,19 @@ def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return chat.read_back(chat.format_turns(turns))
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """All embeddings along their first eight whitened components."""
+    return whitening.whiten(read(spark, folder, "embeddings"))
+
+
+def op12_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the passages of 50 words and more that a document before it
+    has, too: how many words go, and a digest of those that stay."""
+    return passages.without_repeats(read(spark, folder, "documents")).select(
+        "doc_id", "n_words", "n_removed", "kept_sha256"
+    )
+
+
 def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's proof, its digest, and whether the text as it is now leads to the
     root: one in five has been put into lower case."""
@@ -177,6 +190,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_source_mix": op8_source_mix,
         "op9_language": op9_language,
         "op10_chat_format": op10_chat_format,
+        "op11_whitening": op11_whitening,
+        "op12_substring_dedup": op12_substring_dedup,
         "op13_merkle_manifest": op13_merkle_manifest,
     }
 

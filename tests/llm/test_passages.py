@@ -1,0 +1,131 @@
+"""Repeated passages against a plain comparison of all windows."""
+
+import hashlib
+import random
+import re
+
+import pytest
+
+from tenure.llm import passages
+
+SMALL = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, spans string, rank int, content string"
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def expected(rows, window):
+    """Per row in the given order: words, removed words, the rest."""
+    first = {}
+    for i, text in rows:
+        own = words(text)
+        for p in range(len(own) - window + 1):
+            key = tuple(own[p : p + window])
+            order = (i is None, i)
+            first[key] = min(first.get(key, order), order)
+    out = []
+    for i, text in rows:
+        own = words(text)
+        gone = set()
+        for p in range(len(own) - window + 1):
+            if first[tuple(own[p : p + window])] < (i is None, i):
+                gone.update(range(p, p + window))
+        kept = [w for p, w in enumerate(own) if p not in gone]
+        out.append((i, len(own), len(gone), " ".join(kept)))
+    return sorted(out, key=repr)
+
+
+def found(spark, rows, window):
+    docs = spark.createDataFrame([(*r, "x", 1, "y") for r in rows], SCHEMA).repartition(4)
+    got = passages.without_repeats(docs, window=window).collect()
+    for r in got:
+        assert r.kept_sha256 == hashlib.sha256(r.kept_text.encode()).hexdigest()
+        assert sum(s["to"] - s["from"] for s in r.removed) == r.n_removed
+        gone = {p for s in r.removed for p in range(s["from"], s["to"])}
+        assert len(gone) == r.n_removed
+    return sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got), key=repr)
+
+
+def made_up(seed, n=120, vocabulary=6):
+    """Texts of few words, so that windows repeat in all ways, and copies with changes."""
+    rng = random.Random(seed)
+    pool = ["a", "A", "bb", "É", "é", "\U0001f600", "zzz", "0", "-"][:vocabulary]
+    gaps = [" ", "  ", "\n", "\t ", "\x0b", "\r\n"]
+    rows = []
+    for _ in range(n):
+        if rows and rng.random() < 0.5:
+            own = words(rng.choice(rows)[1])
+            for _ in range(rng.randint(0, 3)):
+                if own:
+                    own[rng.randrange(len(own))] = rng.choice(pool)
+            own = own[rng.randint(0, 3) :] + [rng.choice(pool)] * rng.randint(0, 2)
+        else:
+            own = [rng.choice(pool) for _ in range(rng.randint(0, 40))]
+        text = "".join(w + rng.choice(gaps) for w in own)
+        rows.append((rng.randint(0, 80), rng.choice(["", " "]) + (text if rng.random() < 0.5 else text.strip())))
+    rows += [(None, rows[3][1]), (None, rows[3][1]), (3, None), (4, ""), (5, " \n "), rows[7], rows[7], (None, None)]
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize(("window", "seed"), [(4, 1), (5, 2), (8, 3), (2, 4), (1, 5), (13, 6)])
+def test_random_texts(spark, window, seed):
+    rows = made_up(seed, vocabulary=9 if window < 4 else 4)
+    assert found(spark, rows, window) == expected(rows, window)
+
+
+def test_windows_of_fifty(spark):
+    rng = random.Random(9)
+
+    def text(n):
+        return [f"w{rng.randrange(10**6)}" for _ in range(n)]
+
+    shared, short, boilerplate = text(90), text(49), text(60)
+    rows = []
+    for i in range(40):
+        own = text(30) + boilerplate + text(rng.randrange(30))
+        if i % 3 == 0:
+            own += shared[: rng.choice([49, 50, 70, 90])] + text(5)
+        if i % 4 == 0:
+            own += short
+        rows.append((i, " ".join(own)))
+    # Exact copies, one with a change in the middle, and a very long text.
+    rows += [(100 + k, rows[k][1]) for k in range(5)]
+    rows.append((200, " ".join([*words(rows[0][1])[:70], "changed", *words(rows[0][1])[71:]])))
+    long = text(150_000)
+    rows += [(300, " ".join(long)), (301, " ".join(text(1000) + long[5_000:90_000] + text(3)))]
+    got = found(spark, rows, 50)
+    assert got == expected(rows, 50)
+    assert {i: gone for i, _, gone, _ in got}[301] == 85_000
+
+
+def test_documents(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    got = passages.without_repeats(docs).collect()
+    told = [(r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got]
+    assert sorted(told, key=repr) == expected(rows, 50)
+
+
+def test_empty_and_single(spark):
+    assert found(spark, [], 50) == []
+    twice = " ".join(["x"] * 200)
+    assert found(spark, [(1, twice)], 50) == [(1, 200, 0, twice)]
+
+
+def test_blocks_do_not_matter(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    given = [" ".join(rng.choice("abcd") for _ in range(rng.randint(0, 60))) for _ in range(40)]
+    table = pa.record_batch({"id": list(range(40)), "content": list(range(40)), "text": given})
+    run, _ = passages._speakers(6)
+
+    def rows():
+        return [r for b in run(iter([table])) for r in b.to_pylist()]
+
+    whole = rows()
+    monkeypatch.setattr(passages, "BLOCK", 16)
+    assert rows() == whole

@@ -1,0 +1,98 @@
+"""Whitened components against the eigenvectors of the whole covariance."""
+
+import math
+
+import numpy as np
+import pytest
+
+from tenure.llm import whitening
+
+SCHEMA = "vec_id long, embedding array<{}>, n string, component int, x array<int>"
+
+
+def table(spark, rows, kind="double"):
+    given = [(i, None if v is None else [None if c is None else float(c) for c in v], "a", 1, [1]) for i, v in rows]
+    return spark.createDataFrame(given, SCHEMA.format(kind)).repartition(5)
+
+
+def scaled(vectors):
+    return np.array([[math.floor(1024 * float(c)) + 100_000 for c in v] for v in vectors], object)
+
+
+def check(spark, vectors, kind="double", odd=()):
+    """All columns of the result for complete ``vectors`` beside ``odd`` rows."""
+    rows = list(enumerate(vectors))
+    got = whitening.whiten(table(spark, [*rows, *odd], kind)).collect()
+    x = scaled(np.array(vectors, np.float32 if kind == "float" else float))
+    n, sums = len(x), x.sum(axis=0)
+    z = n * x - sums
+    centred = np.array(z / n, float)
+    values, turn = np.linalg.eigh(centred.T @ centred / n)
+    values, turn = values[::-1], turn[:, ::-1]
+    k = min(8, int((values > 1e-12 * values[0]).sum()))
+    assert len(got) == n * k
+    by_row = {}
+    for r in got:
+        by_row.setdefault(r.vec_id, {})[r.component] = r
+        assert r.n == n and r.identity_error <= 1e-9
+        assert r.explained == pytest.approx(values[r.component - 1] / values.sum(), rel=1e-10)
+        assert r.deviation == sum(int(v) ** 2 for v in z[r.vec_id])
+    found = np.array([[by_row[i][c].whitened for c in range(1, k + 1)] for i in range(n)])
+    right = centred @ turn[:, :k] / np.sqrt(values[:k])
+    gaps = np.abs(np.diff(values[: k + 1])) if len(values) > k else np.abs(np.diff(np.append(values, 0)))
+    for c in range(k):
+        apart = min(gaps[c], gaps[c - 1] if c else np.inf) / values[0]
+        same = np.abs(found[:, c] * np.sign(found[:, c] @ right[:, c]) - right[:, c]).max()
+        assert same < 1e-11 / max(apart, 1e-9) + 1e-9
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_flat_spectrum(spark, kind):
+    rng = np.random.default_rng(1)
+    odd = [
+        (900, None), (901, [float("nan")] + [0.0] * 63), (902, [None] + [0.0] * 63),
+        (903, [float("-inf")] + [0.0] * 63), (904, [1.0]), (905, []),
+    ]
+    check(spark, rng.normal(size=(700, 64)) / 8, kind, odd)
+
+
+def test_falling_spectrum(spark):
+    rng = np.random.default_rng(2)
+    turn = np.linalg.qr(rng.normal(size=(100, 100)))[0]
+    points = (rng.normal(size=(400, 100)) * 0.8 ** np.arange(100)) @ turn * 50
+    check(spark, points)
+
+
+def test_few_dimensions_and_low_rank(spark):
+    rng = np.random.default_rng(3)
+    check(spark, rng.normal(size=(50, 3)))
+    check(spark, rng.normal(size=(50, 1)))
+    # Whole numbers of low rank, more dimensions than the block has columns.
+    flat = rng.integers(-9, 9, size=(60, 4)) @ rng.integers(-9, 9, size=(4, 50))
+    check(spark, flat.astype(float))
+    check(spark, np.array([[0.0] * 40, *rng.normal(size=(5, 40))]))
+
+
+def test_repeated_and_missing_ids(spark):
+    rows = [(1, [1.0, 2.0]), (1, [1.0, 2.0]), (None, [0.0, 0.0]), (2, [3.0, -1.0]), (2, [0.5, 0.25])]
+    got = whitening.whiten(table(spark, rows)).collect()
+    assert sorted((r.vec_id is None, r.vec_id or 0) for r in got if r.component == 1) == [
+        (False, 1), (False, 1), (False, 2), (False, 2), (True, 0)
+    ]
+    assert {r.n for r in got} == {5}
+    assert len({(r.whitened, r.deviation) for r in got if r.vec_id == 1 and r.component == 1}) == 1
+
+
+def test_nothing_to_whiten(spark):
+    for rows in ([], [(1, None)], [(1, [1.0, 2.0])], [(1, [1.0]), (2, [1.0])], [(1, [])]):
+        got = whitening.whiten(table(spark, rows))
+        assert got.collect() == []
+        assert got.columns == [
+            "vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"
+        ]
+
+
+def test_large_entries(spark):
+    got = whitening.whiten(table(spark, [(1, [1e300, 0.0]), (2, [-1e300, 1.0]), (3, [5.0, 1e9])])).collect()
+    assert {r.deviation for r in got} == {None}
+    assert all(r.identity_error < 1e-6 for r in got)

@@ -28,11 +28,12 @@ from tenure.llm.common import stage
 COMPONENTS, BLOCK_FACTOR = 8, 4
 # Degrees of a filter; fewer where the wanted part grows by LIFT before.
 DEGREES, LIFT = 40, 1e8
-# A residual, relative to the largest eigenvalue, that certifies a pair.
-CERTIFIED = 1e-10
+# A residual, relative to the largest eigenvalue, that certifies a pair, and one that
+# further passes cannot make smaller.
+CERTIFIED, EXACT = 1e-10, 2e-14
 # Rounds after which a spectrum that does not let itself be certified is an error.
 ROUNDS = 50
-# Groups in which the matrices of tasks are added before the driver adds those.
+# The matrices that the driver adds; those of more tasks are added in as many groups first.
 SLOTS = 64
 SCALE, SHIFT = 1024, 100_000
 # Entries are cut off at this size, far from where whole numbers stop being exact.
@@ -93,10 +94,12 @@ def _added(rows: DataFrame, part: Callable[[np.ndarray], np.ndarray]) -> np.ndar
         return one.append_column("sum", pa.array([total.tobytes()], pa.binary())).select(table.column_names)
 
     schema = "slot int, task int, shape array<int>, sum binary, kind string"
-    sums = rows.select("x").mapInArrow(add, schema).groupBy("slot").applyInArrow(merge, schema).collect()
+    sums = rows.select("x").mapInArrow(add, schema)
+    if rows.rdd.getNumPartitions() > SLOTS:
+        sums = sums.groupBy("slot").applyInArrow(merge, schema)
     parts = [
         np.frombuffer(r["sum"], r["kind"]).reshape(r["shape"])
-        for r in sorted(sums, key=lambda r: r["slot"])
+        for r in sorted(sums.collect(), key=lambda r: (r["slot"], r["task"]))
     ]
     return sum(parts[1:], parts[0])
 
@@ -166,25 +169,27 @@ def fit(rows: DataFrame, k: int = COMPONENTS, seed: int = 0) -> Model | None:
         positive = values > 1e-13 * d * values[0]
         wanted = min(k, int(positive.sum()))
         residual = np.linalg.norm(product - q * values, axis=0)[:wanted].max() / values[0]
-        if width == d or (residual <= CERTIFIED and residual > before / 2):
+        settled = residual <= EXACT or (residual <= CERTIFIED and residual > before / 2)
+        if width == d or settled:
             break
         before = residual
-        y = _filtered(times, q, product, values, wanted)
+        y = _filtered(times, q, product, values, wanted, min(LIFT, 10 * residual / EXACT))
         q, _ = np.linalg.qr(y)
     else:
         raise RuntimeError(f"no certified components: residual {residual}")
     return Model(n, sums, trace, values[:wanted], q[:, :wanted], float(residual))
 
 
-def _filtered(times, q: np.ndarray, product: np.ndarray, values: np.ndarray, k: int) -> np.ndarray:
-    """The scaled Chebyshev recurrence over [0, least Ritz value], its first product given."""
+def _filtered(times, q: np.ndarray, product: np.ndarray, values: np.ndarray, k: int, lift: float) -> np.ndarray:
+    """The scaled Chebyshev recurrence over [0, least Ritz value], its first product given,
+    until pair ``k`` has gained a factor of ``lift`` on that interval."""
     edge = values[-1]
     if edge <= 1e-12 * values[0]:
         return product
     half = edge / 2
     outside = (values[k - 1] - half) / half
     growth = outside + np.sqrt(max(outside * outside - 1, 0))
-    degrees = int(np.clip(np.ceil(np.log(LIFT) / np.log(max(growth, 1 + 1e-9))), 2, DEGREES))
+    degrees = int(np.clip(np.ceil(np.log(lift) / np.log(max(growth, 1 + 1e-9))), 2, DEGREES))
     sigma = first = half / (values[0] - half)
     previous, current = q, (product - half * q) * (sigma / half)
     for _ in range(degrees - 1):

@@ -9,8 +9,8 @@ so one running count per account answers it in linear time, where a join on the
 account would test every change against every relation of that account. At equal
 times the order is start, change, end, which makes both ends closed.
 
-The line of an account is cut into periods of days: a task counts one period, and the
-totals of those before it are added. An account may hold any share of the rows.
+The line is cut where the data is (``line``): an account, a day or an instant may hold any
+share of the rows.
 
 The running count also numbers the changes of an account. A relation covers a
 range of these numbers, so the pairs themselves (``changes_in_window``) come from
@@ -19,12 +19,13 @@ an equi-join on blocks of numbers: a relation only meets blocks it has changes i
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tenure.functions.predicates import is_assigned
-from tenure.operators.skew import all_present
+from tenure.operators.line import Line, line
+from tenure.operators.skew import repeated
 
 START, CHANGE, END = 0, 1, 2
 
@@ -34,16 +35,11 @@ BLOCK_BITS = 9
 
 # Blocks are listed in two steps, so that no array is longer than about this many.
 STEP_BITS = 10
-# Days of a period, the part of an account's line that one task counts, and the number
-# of the period of an open end: behind every date.
-PERIOD_DAYS = 30
-_NEVER = 1 << 40
-
 
 # --- points on the time line -------------------------------------------------
 
 
-def _time_type(changes: DataFrame, relation: DataFrame) -> T.DataType:
+def time_type(changes: DataFrame, relation: DataFrame) -> T.DataType:
     """One type for both time lines; a date counts as its midnight."""
     kinds = [
         changes.schema["changed_at"].dataType,
@@ -60,91 +56,65 @@ def _end_of_day(column: str, time: T.DataType) -> Column:
 
 
 def change_points(
-    changes: DataFrame, on: list[str], time: T.DataType, payload: tuple[str, ...] = ()
+    changes: DataFrame, time: T.DataType, payload: tuple[str, ...] = ()
 ) -> DataFrame:
-    """One point per change; ``seen`` is the new owner with its time."""
-    at = F.col("changed_at").cast(time)
-    return changes.where(all_present([*on, "changed_at"])).select(
-        *on,
+    """One point per change, whose ``value`` is the new owner."""
+    return changes.where(F.col("account_id").isNotNull() & F.col("changed_at").isNotNull()).select(
+        "account_id",
         *payload,
-        at.alias("at"),
+        F.col("changed_at").cast(time).alias("at"),
         F.lit(CHANGE).alias("kind"),
+        F.col("new_value").alias("tie"),
+        F.xxhash64("old_value").alias("spread"),
         F.lit(1).cast("long").alias("n"),
-        F.struct(at.alias("at"), F.col("new_value").alias("value")).alias("seen"),
+        F.col("new_value").alias("value"),
     )
 
 
 def relation_points(
     relation: DataFrame,
-    on: list[str],
     time: T.DataType,
     end_of_day: bool = False,
     payload: tuple[str, ...] = (),
 ) -> DataFrame:
     """Two points, start and end, per relation that can contain a change."""
     start = F.col("assigned_at").cast(time)
-    end = _end_of_day("ended_at", time) if end_of_day else F.col("ended_at").cast(time)
-    return (
-        relation.where(all_present(on) & is_assigned() & (end.isNull() | (end >= start)))
-        .select(
-            *on,
-            "id",
-            *payload,
-            F.inline(
-                F.array(
-                    F.struct(start.alias("at"), F.lit(START).alias("kind")),
-                    F.struct(end.alias("at"), F.lit(END).alias("kind")),
-                )
-            ),
-        )
-        .withColumn("n", F.lit(0).cast("long"))
+    end = end_time(time, end_of_day)
+    return relation.where(
+        F.col("account_id").isNotNull() & is_assigned() & (end.isNull() | (end >= start))
+    ).select(
+        "account_id",
+        "id",
+        *payload,
+        F.inline(
+            F.array(
+                F.struct(start.alias("at"), F.lit(START).alias("kind")),
+                F.struct(end.alias("at"), F.lit(END).alias("kind")),
+            )
+        ),
+        F.col("id").alias("tie"),
+        F.lit(0).cast("long").alias("spread"),
+        F.lit(0).cast("long").alias("n"),
     )
 
 
-# --- running counts ----------------------------------------------------------
+def end_time(time: T.DataType, end_of_day: bool) -> Column:
+    return _end_of_day("ended_at", time) if end_of_day else F.col("ended_at").cast(time)
 
 
-def period_of(column: str, kind: T.DataType) -> Column:
-    """Number of the period of a time, on a line that never runs backwards.
+# At equal times the start comes first and the end last; open ends come after all dates.
+ORDER = ["at", "kind", "tie", "spread"]
 
-    A timestamp without zone is counted on its own calendar; one with a zone by its
-    instant, as the session's calendar may turn back an hour.
-    """
-    if isinstance(kind, T.TimestampType):
-        day = F.floor(F.unix_seconds(column) / 86_400)
-    else:
-        day = F.unix_date(F.to_date(column))
-    return F.coalesce(F.floor(day / PERIOD_DAYS), F.lit(_NEVER))
-
-
-def running_counts(points: DataFrame, on: list[str], wanted: Column) -> DataFrame:
-    """The ``wanted`` points with ``run``, the changes up to and including each, and
-    ``last``, the latest of those. Changes at one instant are numbered one by one."""
-    in_period = [*on, "period"]
-    dated = points.withColumn("period", period_of("at", points.schema["at"].dataType))
-    totals = dated.groupBy(*in_period).agg(F.sum("n").alias("n"), F.max("seen").alias("seen"))
-    earlier = Window.partitionBy(*on).orderBy("period").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select(
-        *in_period,
-        F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n_before"),
-        F.max("seen").over(earlier).alias("seen_before"),
-    )
-    # At one instant all changes lie between starts and ends, in whatever order.
-    up_to_here = (
-        Window.partitionBy(*in_period)
-        .orderBy(F.asc_nulls_last("at"), "kind")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return (
-        dated.withColumns(
-            {"run": F.sum("n").over(up_to_here), "last": F.max("seen").over(up_to_here)}
-        )
-        .where(wanted)
-        .join(before, in_period)
-        .withColumns(
-            {"run": F.col("run") + F.col("n_before"), "last": F.coalesce("last", "seen_before")}
-        )
-        .drop("n", "seen", "period", "n_before", "seen_before")
+
+def time_line(points: DataFrame, on: list[str]) -> Line:
+    """The line of start, change and end points; ``last`` is the new owner of the last change,
+    of several at one instant the greatest."""
+    order = [F.asc_nulls_last("at"), *(F.asc_nulls_first(c) for c in ORDER[1:])]
+    return line(
+        points.withColumns({"first": F.lit(None).cast("string"), "is_change": F.col("kind") == CHANGE})
+        .withColumn("is_end", ~F.col("is_change")),
+        on,
+        order,
     )
 
 
@@ -154,36 +124,39 @@ def running_counts(points: DataFrame, on: list[str], wanted: Column) -> DataFram
 def count_in_window(
     relation: DataFrame,
     changes: DataFrame,
-    on: list[str] | None = None,
     end_of_day: bool = False,
     payload: tuple[str, ...] = (),
 ) -> DataFrame:
     """Relations with at least one change in their period.
 
-    Columns: ``on``, ``id``, ``payload``; ``n_changes``; ``before`` and ``upto``, so that the
-    relation holds the changes numbered before+1 .. upto of its key; ``copies``, how many
+    Columns: ``account_id``, ``id``, ``payload``; ``n_changes``; ``before`` and ``upto``, so that the
+    relation holds the changes numbered before+1 .. upto of its account; ``copies``, how many
     relations agree in all of that; ``last_value``, the new owner of the last change.
-    Relations of one key that share an id and the payload are counted together, as
-    grouping their pairs by it would. ``on`` defaults to the account.
+    Relations of one account that share an id and the payload are counted together, as
+    grouping their pairs by it would.
     """
-    on = on or ["account_id"]
-    time = _time_type(changes, relation)
-    points = change_points(changes, on, time).unionByName(
-        relation_points(relation, on, time, end_of_day, payload), allowMissingColumns=True
+    time = time_type(changes, relation)
+    points = change_points(changes, time).unionByName(
+        relation_points(relation, time, end_of_day, payload), allowMissingColumns=True
     )
+    on = ["account_id"]
+    return per_relation(time_line(points, on).rows("is_end"), [*on, "id", *payload])
+
+
+def per_relation(ends: DataFrame, by: list[str]) -> DataFrame:
+    """Both ends of each relation side by side, where there are changes between them."""
 
     def at(kind: int, column: str) -> Column:
         return F.when(F.col("kind") == kind, F.col(column))
 
     return (
-        running_counts(points, on, F.col("kind") != CHANGE)
-        .groupBy(*on, "id", *payload)
+        ends.groupBy(*by)
         .agg(
             (F.sum(at(END, "run")) - F.sum(at(START, "run"))).alias("n_changes"),
             F.max(at(START, "run")).alias("before"),
             F.max(at(END, "run")).alias("upto"),
             F.count(at(START, "run")).alias("copies"),
-            F.max(at(END, "last.value")).alias("last_value"),
+            F.max(at(END, "last")).alias("last_value"),
         )
         .where(F.col("n_changes") > 0)
     )
@@ -200,14 +173,18 @@ def changes_in_window(
     with what it contains and little else; a block that very many relations span is
     split by Spark like any skewed join.
     """
-    on = ["account_id"]
-    time = _time_type(changes, relation)
+    on, payload = ["account_id"], ("assigned_at", "ended_at", "owner")
+    time = time_type(changes, relation)
+    points = change_points(changes, time, ("changed_at", "old_value", "new_value")).unionByName(
+        relation_points(relation, time, end_of_day, payload), allowMissingColumns=True
+    )
+    whole = time_line(points, on)
     first, last = (
         F.shiftright(number, BLOCK_BITS) for number in (F.col("before") + 1, F.col("upto"))
     )
     step = F.shiftleft("step", STEP_BITS)
     spans = (
-        count_in_window(relation, changes, on, end_of_day, ("assigned_at", "ended_at", "owner"))
+        per_relation(whole.rows("is_end"), [*on, "id", *payload])
         .drop("n_changes", "last_value")
         .withColumns({"first": first, "final": last})
         .withColumn(
@@ -226,17 +203,14 @@ def changes_in_window(
         )
         .drop("first", "final", "step")
     )
-    points = change_points(changes, on, time, ("changed_at", "old_value", "new_value"))
     numbered = (
-        running_counts(points, on, F.col("kind") == CHANGE)
+        whole.rows("is_change")
         .select(*on, "changed_at", "old_value", "new_value", "run")
         .withColumn("block", F.shiftright("run", BLOCK_BITS))
     )
     inside = (F.col("run") > F.col("before")) & (F.col("run") <= F.col("upto"))
     return (
-        spans.join(numbered, [*on, "block"])
-        .where(inside)
-        .withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
+        repeated(spans.join(numbered, [*on, "block"]).where(inside), "copies")
         .select(
             "id",
             "account_id",

@@ -2,31 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tenure.operators.intervals import period_of
+from tenure.operators.line import line
 
 
-def with_next_assignment(relation: DataFrame) -> DataFrame:
+def with_next_assignment(relation: DataFrame, in_line: Column | None = None) -> DataFrame:
     """``relation`` with ``next_at``: when the account's next relation starts.
 
-    Relations of an account are ordered by ``assigned_at``, then ``id``. All rows must have
-    an account and an assignment date. The order is made within a period of the account;
-    the last one of a period is followed by the first of the account's next period, so no
-    task holds a whole account.
+    Relations of an account are ordered by ``assigned_at``, then ``id``. Rows outside of
+    ``in_line``, or without an account or an assignment date, neither have a next one nor are
+    one. The line runs backwards, so the next start is the last one seen; it is cut where
+    the data is, so no task holds a whole account.
     """
-    at_period = ["account_id", "_period"]
-    dated = relation.withColumn(
-        "_period", period_of("assigned_at", relation.schema["assigned_at"].dataType)
-    )
-    periods = dated.groupBy(*at_period).agg(F.min("assigned_at").alias("_first"))
-    in_turn = Window.partitionBy("account_id").orderBy("_period")
-    following = periods.select(*at_period, F.lead("_first").over(in_turn).alias("_following"))
-    in_period = Window.partitionBy(*at_period).orderBy("assigned_at", "id")
-    return (
-        dated.withColumn("next_at", F.lead("assigned_at").over(in_period))
-        .join(following, at_period)
-        .withColumn("next_at", F.coalesce("next_at", "_following"))
-        .drop("_following", "_period")
+    counts = F.col("account_id").isNotNull() & F.col("assigned_at").isNotNull()
+    if in_line is not None:
+        counts = F.coalesce(counts & in_line, F.lit(False))
+    points = relation.withColumns(
+        {
+            "_line": F.when(counts, F.col("account_id")),
+            "at": F.col("assigned_at"),
+            "n": F.lit(0).cast("long"),
+            "value": F.when(counts, F.col("assigned_at")),
+            "first": F.lit(None).cast("string"),
+        }
     )
+    backwards = line(points, ["_line"], [F.desc("assigned_at"), F.desc("id")], exclusive=True)
+    return backwards.rows().select(*relation.columns, F.col("last").alias("next_at"))

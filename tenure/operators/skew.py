@@ -16,6 +16,12 @@ from pyspark.sql import functions as F
 
 from tenure.functions.predicates import is_to_fix
 
+# Rows of one key that a task joins before the key is dealt into parts.
+ROWS_PER_PART = 1 << 20
+# Copies of a row that are made at a time.
+COPIES_AT_ONCE = 1 << 10
+# Parts into which rows without a key are dealt.
+MISSING_PARTS = 1024
 # Pairs of one key that a task makes before the key is dealt into parts.
 PAIRS_PER_TASK = 20_000_000
 
@@ -42,13 +48,17 @@ def only_accounts_to_fix(df: DataFrame, relation: DataFrame) -> DataFrame:
 def lookup_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str) -> DataFrame:
     """Join many ``left`` rows to the one ``right`` row of their key.
 
-    Rows without a key match nothing and never enter the shuffle.
+    Rows without a key match nothing. Where they stay they are dealt out by their content,
+    so that they do not meet in one task; ``left`` is read once.
     """
     on = _names(on)
-    joined = left.where(all_present(on)).join(right, on, how)
-    if how in ("left", "left_anti"):
-        joined = joined.unionByName(left.where(~all_present(on)), allowMissingColumns=True)
-    return joined
+    if how not in ("left", "left_anti"):
+        return left.where(all_present(on)).join(right, on, how)
+    told = [f.name for f in left.schema if "map" not in f.dataType.simpleString()]
+    part = 1 + F.pmod(F.xxhash64(*told), F.lit(MISSING_PARTS))
+    salted = left.withColumn("_salt", F.when(all_present(on), F.lit(0).cast("long")).otherwise(part))
+    there = right.withColumn("_salt", F.lit(0).cast("long"))
+    return salted.join(there, [*on, "_salt"], how).drop("_salt")
 
 
 def account_lookup(relation: DataFrame, right: DataFrame, how: str) -> DataFrame:
@@ -103,3 +113,36 @@ def expand_join(
         .join(deal(right, "_right", "_left"), [*on, "_left_part", "_right_part"])
         .drop("_left_part", "_right_part")
     )
+
+
+def dealt_join(
+    left: DataFrame, right: DataFrame, on: str, counts: DataFrame, n_rows: str
+) -> DataFrame:
+    """Inner join of many ``left`` rows to few ``right`` ones per key, ``left`` dealt out in place.
+
+    ``counts`` has ``on`` and ``n_rows``, how many left rows a key has; ``right`` has that number,
+    too, and loses it. Keys with more than ``ROWS_PER_PART`` rows are dealt into parts by the
+    content of a row, and the right rows are copied once for each part. Those keys are
+    broadcast: of N rows there are at most N / ``ROWS_PER_PART``.
+    """
+    n_parts = F.ceil(F.col(n_rows) / ROWS_PER_PART).cast("int")
+    heavy = counts.where(F.col(n_rows) > ROWS_PER_PART).select(on, n_parts.alias("_parts"))
+    part = F.pmod(F.xxhash64(*left.columns), F.coalesce("_parts", F.lit(1))).cast("int")
+    dealt = left.join(F.broadcast(heavy), on, "left").select(*left.columns, part.alias("_part"))
+    copied = right.withColumn("_part", F.explode(F.sequence(F.lit(0), n_parts - 1))).drop(n_rows)
+    return dealt.join(copied, [on, "_part"]).drop("_part")
+
+
+def repeated(df: DataFrame, times: str) -> DataFrame:
+    """Every row as often as column ``times`` says, without it; no long array is built."""
+    rest = F.col(times) - F.col("_step") * COPIES_AT_ONCE
+    steps = F.sequence(F.lit(0), F.floor((F.col(times) - 1) / COPIES_AT_ONCE).cast("int"))
+    return (
+        df.where(F.col(times) > 0)
+        .withColumn("_step", F.explode(steps))
+        .withColumn(
+            "_copy",
+            F.explode(F.sequence(F.lit(1), F.least(rest, F.lit(COPIES_AT_ONCE)).cast("int"))),
+        )
+        .drop(times, "_step", "_copy")
+    )

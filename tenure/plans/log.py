@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenure.functions.predicates import (
@@ -16,9 +16,11 @@ from tenure.functions.predicates import (
 )
 from tenure.operators.skew import (
     account_lookup,
+    dealt_join,
     expand_join,
-    only_accounts_to_fix,
     lookup_join,
+    only_accounts_to_fix,
+    repeated,
 )
 from tenure.plans.counts import owner_changes, to_fix
 
@@ -177,11 +179,25 @@ def first_owner_candidates(
     With the id of each active user of that name, or null. One relation may get
     several rows: one per log row, and one per user of the same name.
     """
-    missing = to_fix(relation).select("id", "account_id")
-    needed = only_accounts_to_fix(history, relation)
-    chosen = on_unchanged_accounts(missing, needed, rules).distinct()
-    found = _beside_first_owners(missing, chosen, needed, rules).select("id", "old_value")
+    missing = to_fix(relation).where(F.col("account_id").isNotNull()).select("id", "account_id")
+    accounts = missing.groupBy("account_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    name = F.when(is_first_owner_row(rules), F.col("old_value"))
+    # A row per account and name from here on, so the window holds no more than the names.
+    offers = (
+        history.where(is_owner_row(rules))
+        .join(accounts, "account_id")
+        .groupBy("account_id", "n_rows", name.alias("old_value"))
+        .agg(
+            F.count_if(is_owner_change(rules)).alias("n_changes"),
+            F.count(F.lit(1)).alias("n_offers"),
+        )
+        .withColumn("n_changes", F.sum("n_changes").over(Window.partitionBy("account_id")))
+        .where((F.col("n_changes") == 0) & F.col("old_value").isNotNull())
+        .select("account_id", "n_rows", "old_value", "n_offers")
+    )
     active = users.where("is_active").select(
         F.col("name").alias("old_value"), F.col("id").alias("owner_id")
     )
-    return found.join(active, "old_value", "left").select("id", "old_value", "owner_id")
+    named = offers.join(active, "old_value", "left")
+    found = dealt_join(missing.distinct(), named, "account_id", accounts, "n_rows")
+    return repeated(found, "n_offers").select("id", "old_value", "owner_id")

@@ -11,11 +11,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tenure.functions.predicates import LOST, RULES, LogRules, is_assigned, is_to_fix, not_deleted
+from tenure.functions.predicates import (
+    LOST,
+    RULES,
+    LogRules,
+    is_assigned,
+    is_first_owner_row,
+    is_owner_change,
+    is_owner_row,
+    is_to_fix,
+    not_deleted,
+)
+from tenure.operators.intervals import CHANGE, END, START, end_time, time_type
+from tenure.operators.line import line
 from tenure.operators.sequence import with_next_assignment
-from tenure.operators.skew import account_lookup, only_accounts_to_fix, lookup_join
+from tenure.operators.skew import account_lookup, lookup_join, only_accounts_to_fix, repeated
 from tenure.plans.counts import to_fix
-from tenure.plans.log import account_log, unchanged_accounts
+from tenure.plans.log import unchanged_accounts
 from tenure.plans.windows import attributions
 
 BY_CHANGE, BY_FIRST_OWNER, NOT_FOUND = "owner_change", "first_owner", "lost"
@@ -48,14 +60,11 @@ def repair_end_dates(relation: DataFrame) -> DataFrame:
     """
     in_line = _holds(not_deleted() & is_assigned() & F.col("account_id").isNotNull())
     kind = relation.schema["ended_at"].dataType
-    filled = F.coalesce("ended_at", F.col("next_at").cast(kind))
-    repaired = with_next_assignment(relation.where(in_line)).select(
+    missing = F.col("ended_at").isNull() & F.col("next_at").isNotNull()
+    return with_next_assignment(relation, in_line).select(
         *(c for c in relation.columns if c != "ended_at"),
-        filled.alias("ended_at"),
-        (F.col("ended_at").isNull() & F.col("next_at").isNotNull()).alias("end_repaired"),
-    )
-    return repaired.unionByName(
-        relation.where(~in_line).withColumn("end_repaired", F.lit(False))
+        F.coalesce("ended_at", F.col("next_at").cast(kind)).alias("ended_at"),
+        missing.alias("end_repaired"),
     )
 
 
@@ -124,31 +133,110 @@ def repair_status(
     ``has_history`` tells whether the account has a real change at all,
     ``new_owner`` is the owner found, ``status`` the rule that found it.
     """
-    timed = repair_end_dates(relation) if repair_ends else relation
-    single = _single_owners(timed, history, excluded, rules, end_of_day)
-    known = account_lookup(
-        to_fix(relation).select("id", "account_id"),
-        account_log(history, rules).select(
-            "account_id", "n_changes", "first_owner"
-        ),
-        "left",
-    )
-    has_history = F.coalesce(F.col("n_changes") > 0, F.lit(False))
+    found = _account_line(relation, history, rules, repair_ends, end_of_day)
+    may_change = F.lit(True)
+    if excluded is not None:
+        # A missing id is not known to be outside the list.
+        listed = excluded.select("id").distinct().withColumn("listed", F.lit(True))
+        found = lookup_join(found, listed, "id", "left")
+        may_change = F.col("id").isNotNull() & F.col("listed").isNull()
+    has_history = F.col("n_account") > 0
+    by_change = F.when(may_change & (F.col("n_changes") == 1), F.col("last_value"))
     first_owner = F.when(~has_history, F.col("first_owner"))
     status = (
-        F.when(F.col("new_owner").isNotNull(), BY_CHANGE)
+        F.when(by_change.isNotNull(), BY_CHANGE)
         .when(first_owner.isNotNull(), BY_FIRST_OWNER)
         .otherwise(NOT_FOUND)
     )
-    return known.join(single.select("id", "new_owner"), "id", "left").select(
+    return found.select(
         "id",
         "account_id",
         has_history.alias("has_history"),
         status.alias("status"),
-        F.coalesce("new_owner", first_owner).alias("new_owner"),
+        F.coalesce(by_change, first_owner).alias("new_owner"),
     )
 
 
+# A relation's last point, behind all dates: what is known of the whole account.
+WHOLE = END + 1
+
+
+def _account_line(
+    relation: DataFrame, history: DataFrame, rules: LogRules, repair_ends: bool, end_of_day: bool
+) -> DataFrame:
+    """All that the log tells of each relation to fix, from one line per account.
+
+    ``n_changes`` and ``last_value``: the changes in its period and the last of them.
+    ``n_account`` and ``first_owner``: those of the account, and its oldest first owner, ties by
+    name. One row per relation, whatever the ids.
+    """
+    live = relation.where(not_deleted() & is_assigned()).select(
+        "id", "account_id", "is_deleted", "assigned_at", "ended_at", "owner"
+    )
+    timed = to_fix(repair_end_dates(live) if repair_ends else live)
+    time = time_type(history, timed)
+    start, end = F.col("assigned_at").cast(time), end_time(time, end_of_day)
+    none = F.lit(None)
+
+    def point(at: Column, kind: int) -> Column:
+        return F.struct(at.cast(time).alias("at"), F.lit(kind).alias("kind"))
+
+    dated = F.when(end.isNotNull() & (end >= start), point(end, END))
+    relations = timed.select(
+        "account_id",
+        "id",
+        "assigned_at",
+        "ended_at",
+        F.inline(F.array_compact(F.array(point(start, START), dated, point(none, WHOLE)))),
+        F.col("id").alias("tie"),
+        F.lit(0).cast("long").alias("n"),
+    )
+    is_change = F.coalesce(is_owner_change(rules), F.lit(False))
+    told = F.col("account_id").isNotNull() & F.col("changed_at").isNotNull()
+    entries = history.where(is_owner_row(rules) & told).select(
+        "account_id",
+        F.col("changed_at").cast(time).alias("at"),
+        F.lit(CHANGE).alias("kind"),
+        F.col("old_value").alias("tie"),
+        F.xxhash64("new_value").alias("spread"),
+        is_change.cast("long").alias("n"),
+        F.when(is_change, F.col("new_value")).alias("value"),
+        F.when(is_first_owner_row(rules), F.col("old_value")).alias("first"),
+    )
+    points = entries.unionByName(relations, allowMissingColumns=True)
+    order = [F.asc_nulls_last("at"), "kind", "tie", "spread"]
+    ends = line(
+        points.withColumn("is_end", F.col("kind") != CHANGE), ["account_id"], order
+    ).rows("is_end")
+
+    def at(kind: int, column: str) -> Column:
+        return F.max(F.when(F.col("kind") == kind, F.col(column)))
+
+    is_open = F.col("ended_at").isNull()
+    found = (
+        ends.groupBy("account_id", "id", "assigned_at", "ended_at")
+        .agg(
+            at(START, "run").alias("before"),
+            at(END, "run").alias("upto"),
+            at(END, "last").alias("at_end"),
+            at(WHOLE, "run").alias("n_account"),
+            at(WHOLE, "last").alias("at_last"),
+            at(WHOLE, "first").alias("first_owner"),
+            F.count_if(F.col("kind") == WHOLE).alias("copies"),
+        )
+        .select(
+            "account_id",
+            "id",
+            "n_account",
+            "first_owner",
+            (F.when(is_open, F.col("n_account")).otherwise(F.col("upto")) - F.col("before")).alias("n_changes"),
+            F.when(is_open, F.col("at_last")).otherwise(F.col("at_end")).alias("last_value"),
+            "copies",
+        )
+    )
+    return repeated(found, "copies")
+
+
 def mark_lost(relation: DataFrame, status: DataFrame) -> DataFrame:
     """All relations with their repaired owner; to fix and not found: ``LOST``.
 
@@ -156,16 +244,12 @@ def mark_lost(relation: DataFrame, status: DataFrame) -> DataFrame:
     relations that needed no repair, which are passed on as they are.
     """
     needs = _holds(is_to_fix())
-    repaired = (
-        relation.where(needs)
-        .drop("owner")
-        .join(
-            status.select("id", "status", F.coalesce("new_owner", F.lit(LOST)).alias("owner")),
-            "id",
-            "left",
-        )
+    found = status.select(
+        F.col("id").alias("_id"), "status", F.coalesce("new_owner", F.lit(LOST)).alias("_found")
     )
-    return relation.where(~needs).unionByName(repaired, allowMissingColumns=True)
+    joined = lookup_join(relation.withColumn("_id", F.when(needs, F.col("id"))), found, "_id", "left")
+    owner = F.when(needs, F.col("_found")).otherwise(F.col("owner"))
+    return joined.withColumn("owner", owner).select(*relation.columns, "status")
 
 
 def repair_funnel(status: DataFrame) -> DataFrame:

@@ -15,7 +15,15 @@ from tenure.functions.predicates import (
     on_account,
     relation_in,
 )
-from tenure.operators.intervals import changes_in_window, count_in_window
+from tenure.operators.intervals import (
+    change_points,
+    changes_in_window,
+    count_in_window,
+    per_relation,
+    relation_points,
+    time_line,
+    time_type,
+)
 from tenure.operators.skew import account_lookup, only_accounts_to_fix
 from tenure.plans.counts import owner_changes, to_fix
 
@@ -41,26 +49,28 @@ def owner_agreement(
 
     ``total`` counts relations and ``lar_owner_is_account_owner`` counts changes,
     so their quotient is no rate; ``nb_lars_matching`` counts the relations with
-    at least one such change. Changes to the owner are counted in their own time
-    lines, one per account and owner.
+    at least one such change. A line has a lane for all changes of an account and one for
+    those to each owner; every point is on the first and on that of its owner.
     """
     owned = relation.where(not_deleted() & is_assigned() & has_owner())
     changes = owner_changes(history, rules)
-    in_period = count_in_window(owned, changes, None, end_of_day)
-    to_owner = count_in_window(
-        owned,
-        changes.withColumn("owner", F.col("new_value")),
-        ["account_id", "owner"],
-        end_of_day,
-    )
-    none = F.lit(0).cast("long")
-    found = in_period.select(F.lit(1).alias("any"), none.alias("n_matching")).unionByName(
-        to_owner.select(F.lit(0).alias("any"), F.col("n_changes").alias("n_matching"))
+    time = time_type(changes, owned)
+
+    def in_lanes(points: DataFrame, owner: str) -> DataFrame:
+        lanes = F.array(F.lit(None).cast("string"), F.col(owner))
+        return points.withColumn("lane", F.explode(lanes))
+
+    points = in_lanes(change_points(changes, time), "value").unionByName(
+        in_lanes(relation_points(owned, time, end_of_day, ("owner",)), "owner"),
+        allowMissingColumns=True,
     )
+    on = ["account_id", "lane"]
+    found = per_relation(time_line(points, on).rows("is_end"), [*on, "id"])
+    to_owner = F.col("lane").isNotNull()
     return found.agg(
-        F.coalesce(F.sum("any"), none).alias("total"),
-        F.sum("n_matching").alias("lar_owner_is_account_owner"),
-        F.count_if(F.col("n_matching") > 0).alias("nb_lars_matching"),
+        F.count_if(~to_owner).alias("total"),
+        F.sum(F.when(to_owner, F.col("n_changes")).otherwise(0)).alias("lar_owner_is_account_owner"),
+        F.count_if(to_owner).alias("nb_lars_matching"),
     )
 
 
@@ -76,7 +86,7 @@ def attributions(
     Excluded relations are taken out of the counted ones, which are fewer.
     """
     changes = owner_changes(only_accounts_to_fix(history, relation), rules)
-    counted = count_in_window(to_fix(relation), changes, None, end_of_day).select(
+    counted = count_in_window(to_fix(relation), changes, end_of_day).select(
         "id", "account_id", "n_changes", "last_value"
     )
     if excluded is None:

@@ -12,7 +12,7 @@ import pytest
 
 import __spark_entry__ as entry
 import oracle_queries
-from tenure.operators import intervals
+from tenure.operators import skew
 from tenure.plans import counts, log, repair, windows
 from tenure.sources import derived
 
@@ -68,15 +68,20 @@ def test_entry(spark):
     assert [tuple(row) for row in entry.entry(spark).collect()] == [(168, 37, 40, 23, 68)]
 
 
-def test_short_periods_change_nothing(spark, given, results, monkeypatch):
-    """Every account's line in many parts, for all queries that count along it."""
-    monkeypatch.setattr(intervals, "PERIOD_DAYS", 1)
+def test_more_cuts_change_nothing(spark, given, results, monkeypatch):
+    """Every account's line in many parts, for all queries that count along it, and every
+    account dealt into parts."""
+    monkeypatch.setattr(skew, "ROWS_PER_PART", 2)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 150)
     for name in (
         "relation_changes", "owner_agreement", "changes_per_relation", "repair_end_dates",
         "repair_status", "mark_lost", "resolve_single_change", "changes_after_end_repair",
+        "first_owner_candidates",
     ):
         df = entry.queries()[name](spark, FOLDER)
         assert by_name(df.columns, [tuple(r) for r in df.collect()]) == by_name(*results[name])
+    spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 def test_known_figures(given, results):

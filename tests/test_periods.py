@@ -6,16 +6,18 @@ All cases share one run; literal answers.
 import pytest
 from conftest import day
 
-from tenure.operators import intervals
 from tenure.plans import windows
 
 JAN, FEB, MAR = day("01-01"), day("02-01"), day("03-01")
 
 
-@pytest.fixture(autouse=True, params=[30, 1], ids=["months", "days"])
-def period(request, monkeypatch):
-    """How long a part of an account's line is must not matter."""
-    monkeypatch.setattr(intervals, "PERIOD_DAYS", request.param)
+@pytest.fixture(autouse=True, params=[2, 13], ids=["few cuts", "many cuts"])
+def cuts(request, spark):
+    """Where an account's line is cut must not matter."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", request.param)
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 # name: (start, end, times of changes, inside, inside with end_of_day)

@@ -18,12 +18,15 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 NEWLINE = 0x0A
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
+AS_IS = np.arange(256, dtype=np.uint8)
 _random = np.random.default_rng(20)
-# A number for every byte; in BYTE, upper and lower case letters have the same.
-RAW_BYTE = _random.integers(1, MASK, 256, np.uint64, endpoint=True)
-BYTE = RAW_BYTE[LOWER]
+BYTE = _random.integers(1, MASK, 256, np.uint64, endpoint=True)
 FACTOR = 0x9E3779B97F4A7C15
 PLACE = _random.integers(1, MASK, 16, np.uint64, endpoint=True) | np.uint64(1)
+# Masks of the first 0 to 8 bytes of a little-endian number.
+FRONT = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+# Words of more bytes than this are hashed by prefix sums instead of in steps.
+LONG = 256
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -55,10 +58,10 @@ def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def words(
-    data: np.ndarray, starts: np.ndarray, number: np.ndarray = BYTE
+    data: np.ndarray, starts: np.ndarray, letters: np.ndarray = LOWER
 ) -> tuple[np.ndarray, np.ndarray]:
     """Hash and first byte of every word of the strings that begin at ``starts`` and lie
-    end to end in ``data``. Letters A-Z count as a-z, but not with ``RAW_BYTE``."""
+    end to end in ``data``. Letters A-Z count as a-z, but not if ``letters`` is ``AS_IS``."""
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     solid = ~SPACE[data]
@@ -72,28 +75,33 @@ def words(
     last[-1] = True
     last[:-1] = ~solid[1:]
     last[cuts - 1] = True
-    end = np.flatnonzero(solid & last) + 1
-    out = np.empty(len(first), np.uint64)
-    done = 0
-    while done < len(first):
-        upto = max(done + 1, int(np.searchsorted(first, first[done] + BLOCK)))
-        low, high = first[done], end[upto - 1]
-        out[done:upto] = _word_hashes(
-            data[low:high], first[done:upto] - low, end[done:upto] - low, number
-        )
-        done = upto
-    return out, first
-
-
-def _word_hashes(
-    data: np.ndarray, first: np.ndarray, end: np.ndarray, number: np.ndarray
-) -> np.ndarray:
-    """A polynomial in an odd factor over the bytes: a difference of prefix sums, shifted
-    back to the front by the inverse factor."""
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(number[data] * _powers(len(data), FACTOR), out=total[1:])
-    back = _powers(len(data), pow(FACTOR, -1, 1 << 64))
-    return mixed((total[end] - total[first]) * back[first] + (end - first).astype(np.uint64))
+    size = np.flatnonzero(solid & last) + 1 - first
+    text = np.zeros(len(data) + 8, np.uint8)
+    np.take(letters, data, out=text[: len(data)])
+    # Eight bytes from every place on.
+    eight = np.ndarray(len(data) + 1, "<u8", text, strides=(1,))
+    out = mixed(eight[first] & FRONT[np.minimum(size, 8)])
+    open_words = np.flatnonzero((size > 8) & (size <= LONG))
+    done = 8
+    while len(open_words):
+        left = size[open_words] - done
+        part = eight[first[open_words] + done] & FRONT[np.minimum(left, 8)]
+        out[open_words] = mixed(out[open_words] ^ part)
+        open_words = open_words[left > 8]
+        done += 8
+    for i in np.flatnonzero(size > LONG):
+        out[i] = _long_word(text[first[i] : first[i] + size[i]])
+    return mixed(out + size.astype(np.uint64)), first
+
+
+def _long_word(text: np.ndarray) -> np.uint64:
+    """A polynomial in an odd factor over the bytes, some at a time."""
+    total = np.zeros(1, np.uint64)
+    for at in range(0, len(text), BLOCK):
+        own = text[at : at + BLOCK]
+        part = (BYTE[own] * _powers(len(own), FACTOR)).sum(keepdims=True, dtype=np.uint64)
+        total = mixed(total + part)
+    return total[0]
 
 
 def shingles(hashes: np.ndarray, n: int) -> np.ndarray:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenure.llm.common import batches, discard, stage
-from tenure.llm.hashing import BLOCK, PLACE, RAW_BYTE, SPACE, bytes_of, mixed, words
+from tenure.llm.hashing import AS_IS, BLOCK, PLACE, SPACE, bytes_of, mixed, words
 
 # Words of a window.
 WINDOW = 50
@@ -79,7 +79,7 @@ def _blocks(column: pa.Array) -> Iterator[Block]:
     while i < len(column):
         j = max(i + 1, int(np.searchsorted(at, at[i] + 2 * BLOCK, "right")) - 1)
         own, starts = data[at[i] : at[j]], at[i : j + 1] - at[i]
-        hashes, first = words(own, starts[:-1], RAW_BYTE)
+        hashes, first = words(own, starts[:-1], AS_IS)
         bounds = np.searchsorted(first, starts)
         yield Block(np.arange(i, j), bounds[:-1], bounds[1:], hashes)
         i = j

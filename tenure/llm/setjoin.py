@@ -27,6 +27,8 @@ from tenure.llm.components import components
 PERCENT = 80
 # Sets of a tile.
 TILE = 256
+# Sets of one size in a cluster are numbered in as many parts as this many bits tell apart.
+HEAD_BITS = 8
 # Prefix members are known by this many bits of their hash; a clash only adds candidates.
 KEY_BITS = 48
 
@@ -137,16 +139,34 @@ def meetings(members: DataFrame, tile: int = TILE) -> DataFrame:
     about four tiles to a group.
     """
     packs = members.count() // (4 * tile) + 1
-    line = Window.partitionBy("cluster").orderBy("n", "fp")
+    # Numbers in the order of size and set: counted within the sets of one size whose
+    # fingerprints begin alike, behind those before, so that no cluster is sorted whole.
+    band = ["cluster", "n", "head"]
+    banded = members.withColumn("head", F.shiftright("fp", 64 - HEAD_BITS).cast("int"))
+    line = Window.partitionBy("cluster").orderBy("n", "head")
     whole = Window.partitionBy("cluster")
-    small = F.count(F.lit(1)).over(whole) <= tile
-    placed = members.withColumns(
-        {
-            "tile": F.floor((F.row_number().over(line) - 1) / tile).cast("int"),
-            "pack": F.when(small, F.pmod(F.xxhash64("cluster"), F.lit(packs))).otherwise(
-                F.col("cluster")
-            ),
-        }
+    bands = (
+        banded.groupBy(*band)
+        .agg(F.count(F.lit(1)).alias("own"))
+        .select(
+            *band,
+            (F.sum("own").over(line) - F.col("own")).alias("before"),
+            F.sum("own").over(whole).alias("n_cluster"),
+        )
+    )
+    place = F.row_number().over(Window.partitionBy(*band).orderBy("fp")) - 1 + F.col("before")
+    small = F.col("n_cluster") <= tile
+    placed = (
+        banded.join(bands, band)
+        .withColumns(
+            {
+                "tile": F.floor(place / tile).cast("int"),
+                "pack": F.when(small, F.pmod(F.xxhash64("cluster"), F.lit(packs))).otherwise(
+                    F.col("cluster")
+                ),
+            }
+        )
+        .select("fp", "n", "cluster", "tile", "pack")
     )
     tiles = placed.groupBy("cluster", F.col("tile").alias("other")).agg(
         F.min("n").alias("low"), F.max("n").alias("high")

@@ -194,7 +194,9 @@ def _may_match(rows: list[np.ndarray], i: np.ndarray | int, j: np.ndarray) -> np
     _, fp, n, place, low, high = rows
     least = least_overlap(n[j], n[i])
     rest = np.minimum(n[j] - place[j], n[i] - place[i])
-    differ = np.bitwise_count(low[j] ^ low[i]).astype(np.int64) + np.bitwise_count(high[j] ^ high[i])
+    # Unsigned: of a negative number the bits of its absolute value would be counted.
+    odd = ((half[j] ^ half[i]).view(np.uint64) for half in (low, high))
+    differ = sum(np.bitwise_count(x).astype(np.int64) for x in odd)
     sizes = 100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j])
     return sizes & (fp[i] != fp[j]) & (rest >= least) & (n[j] + n[i] - differ >= 2 * least)
 
@@ -247,8 +249,11 @@ def _long_list(rows: list[np.ndarray], begin: int, end: int):
 
 
 def _matched(given_key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Which lines of two tiles have a similar one before them."""
+    """Which lines of two tiles have a similar one before them. Repeated rows of a document
+    bring a line more than once; it counts once, and never as its own match."""
     _, first, second = (k.as_py() for k in given_key)
+    once = np.unique(table["fp"].to_numpy(), return_index=True)[1]
+    table = table.take(pa.array(np.sort(once)))
     prints, tile = table["fp"].to_numpy(), table["tile"].to_numpy()
     sets = [np.asarray(s.values) for s in table["members"].combine_chunks()]
     ids = table["id"].fill_null(np.iinfo(np.int64).max).to_numpy()
@@ -301,7 +306,11 @@ def kept_lines(
     """``id``, ``content`` (hash of the text), ``n_lines`` with words and ``kept``, the numbers of
     those that stay, for every distinct (id, text) that has any.
 
-    Rows that agree in id and text are one document.
+    Rows that agree in id and text are one document, however often they occur, and keep the
+    same lines; so are such rows without an id, which come after all others. Of equal ids
+    the text with the smaller hash comes first. Of equal or similar lines the first in that
+    order stays. Null and empty texts and lines without words are not listed; a text may
+    have any length. An empty table gives none. Other columns play no part.
     """
     own = docs.select(
         F.col(id_col).cast("long").alias("id"),

@@ -5,6 +5,7 @@ import re
 
 import pytest
 
+import corpus_pipeline as pipeline
 from tenure.llm import hashing, lines, ngrams
 
 SMALL = "/root/testdata/sf0.001"
@@ -112,6 +113,59 @@ def test_kept_lines(spark, tile):
     assert {i: found.get(i, []) for i in expected} == expected
 
 
+def repeated_rows(seed):
+    """Near lines in all degrees on rows that occur several times, with and without ids."""
+    rng = random.Random(seed)
+    vocabulary = [f"v{i}" for i in range(60)]
+    bases = [[rng.choice(vocabulary) for _ in range(rng.randint(5, 14))] for _ in range(12)]
+
+    def near():
+        own = list(rng.choice(bases))
+        for _ in range(rng.randint(0, 2)):
+            own[rng.randrange(len(own))] = rng.choice(vocabulary)
+        return " ".join(own)
+
+    rows = [
+        (rng.choice([None, *range(12)]), "\n".join(near() for _ in range(rng.randint(1, 4))))
+        for _ in range(40)
+    ]
+    rows += [rng.choice(rows) for _ in range(40)]
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_lines_of_repeated_rows(spark, seed):
+    given = repeated_rows(seed)
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in given], schema).repartition(4)
+    hashes = {r.text: r.h for r in docs.selectExpr("text", "xxhash64(text) h").collect()}
+    order = sorted(set(given), key=lambda r: (r[0] is None, r[0] or 0, hashes[r[1]]))
+    kept = expected_lines([(r, r[1]) for r in order])
+    got = lines.kept_lines(docs, tile=3)
+    assert {(r.id, r.content): r.kept for r in got.collect()} == {
+        (i, hashes[t]): kept[i, t] for i, t in order
+    }
+    left = [
+        (i, "\n".join(line for k, line in enumerate(t.split("\n")) if k in kept[i, t]))
+        for i, t in given
+        if kept[i, t]
+    ]
+    told = [(r.doc_id, r.text) for r in lines.without_repeats(docs).collect()]
+    assert sorted(told, key=repr) == sorted(left, key=repr)
+    staged = [(r.doc_id, r.text) for r in pipeline.line_dedup(spark, docs, SMALL).collect()]
+    assert sorted(staged, key=repr) == sorted(left, key=repr)
+
+
+def test_no_line_is_lost_with_a_repeated_near_partner(spark):
+    common = [f"w{i}" for i in range(9)]
+    a, b = " ".join([*common, "x"]), " ".join([*common, "y"])
+    for ids in ((1, 1, 2), (None, None, 7), (1, 1, None)):
+        docs = spark.createDataFrame(list(zip(ids, (a, a, b), strict=True)), "doc_id long, text string")
+        told = {(r.doc_id, r.text) for r in lines.without_repeats(docs).collect()}
+        assert told == ({(7, b)} if ids[2] == 7 else {(1, a)})
+
+
 def test_texts_without_repeats(spark):
     schema = "doc_id long, text string, extra int"
     given = [
@@ -140,6 +194,24 @@ def test_texts_without_repeats(spark):
     assert lines.without_repeats(spark.createDataFrame([], schema)).collect() == []
 
 
+def test_words_of_any_length():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    sizes = [1, 7, 8, 9, 15, 16, 17, 255, 256, 257, 5000]
+    given = ["".join(rng.choice("abAB\x00é") for _ in range(n)) for n in sizes * 3]
+    given += ["a", "a\x00", "a\x00\x00", "b" * 8, "b" * 9, "b" * 16]
+    data, at = hashing.bytes_of(pa.array([f" {w}\t{w.swapcase()} " for w in given]))
+    for letters, name in ((hashing.LOWER, lambda w: w.encode().translate(LOWER)), (hashing.AS_IS, str.encode)):
+        hashes, first = hashing.words(data, at[:-1], letters)
+        told = [name(v) for w in given for v in (w, w.swapcase())]
+        assert len(hashes) == len(told)
+        assert len(set(hashes.tolist())) == len(set(told))
+        assert len(set(zip(hashes.tolist(), told, strict=True))) == len(set(told))
+        assert (np.diff(first) > 0).all()
+
+
 def test_words_over_block_borders(monkeypatch):
     import pyarrow as pa
 

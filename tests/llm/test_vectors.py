@@ -110,6 +110,39 @@ def test_nearest(spark, cloud):
     assert hits >= 0.97 * total
 
 
+def test_nearest_in_doubles(spark):
+    # Whole doubles, not cut to floats, and lengths whose squares overflow.
+    rng = np.random.default_rng(11)
+    points = [[0.1, 0.2], [0.3, 0.7], [1e300, 1e-3], [-1e300, 2.0], [1e-200, 1e-200], [5.0, 1e8]]
+    points += [[float(a), float(b)] for a, b in rng.normal(size=(40, 2)) * 10.0 ** rng.integers(-9, 9, (40, 1))]
+    rows = list(enumerate(points))
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = onebit.search(docs, F.col("id") % 20 == 0, k=5, index_block=16, query_block=2).collect()
+    for query in (0, 20, 40):
+        right = sorted(
+            ((-(v[0] * points[query][0] + v[1] * points[query][1]), i) for i, v in rows if i != query)
+        )[:5]
+        mine = sorted((r for r in got if r.query_id == query), key=lambda r: r.rank)
+        assert [(-r.score, r.vec_id) for r in mine] == right
+
+
+def test_nearest_of_many(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = docs.collect()
+    points = np.array([r.embedding for r in rows])
+    ids = np.array([r.vec_id for r in rows])
+    got = {}
+    for r in onebit.search(docs, F.col("id") % 20 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = total = 0
+    for at in np.flatnonzero(ids % 20 == 0):
+        score = points @ points[at]
+        score[at] = -np.inf
+        best = set(ids[np.lexsort((ids, -score))[:20]].tolist())
+        hits, total = hits + len(best & got[int(ids[at])]), total + 20
+    assert hits >= 0.99 * total
+
+
 def test_few_and_no_vectors(spark):
     none = table(spark, [])
     assert pivots.near_duplicates(none).collect() == []

@@ -1,8 +1,10 @@
 """Conversations from differing layouts to one training format.
 
-A record's layout is told by its fingerprint, the hash of its nested field paths; the
-fingerprint selects a declarative mapping that says where turns, roles and texts lie.
-Tables are fingerprinted once, by their schema, JSON records one by one.
+A record's layout is told by its fingerprint, the hash of those of its nested field paths
+that any layout names; the fingerprint selects a declarative mapping that says where
+turns, roles and texts lie: of the layouts whose paths the record has, the one that names
+most. Other fields play no part. Tables are fingerprinted once, by their schema, JSON
+records one by one.
 
 Each turn becomes a segment: a mark with the role, the text, an end mark. A backslash
 goes before every backslash and ``<`` of a text, so no text can look like a mark and
@@ -35,7 +37,8 @@ class Layout:
 
     ``each`` names a list of turns; ``role`` and ``text`` are then fields of its elements.
     Without it ``parts`` lists (role, field) pairs in order, and without those the record
-    is one turn with its fields ``turn``, ``role`` and ``text``.
+    is one turn with its fields ``turn``, ``role`` and ``text``. A part whose field is in
+    ``optional`` may be missing, and gives no turn then.
     """
 
     id: str
@@ -44,23 +47,36 @@ class Layout:
     role: str | None = None
     text: str | None = None
     parts: tuple[tuple[str, str], ...] = ()
+    optional: frozenset[str] = frozenset()
 
-    def paths(self) -> set[str]:
+    def named(self) -> set[str]:
+        """All paths that play a part."""
         if self.each:
             return {self.id, f"{self.each}[].{self.role}", f"{self.each}[].{self.text}"}
         if self.parts:
             return {self.id, *(field for _, field in self.parts)}
         return {self.id, self.turn, self.role, self.text}
 
+    def paths(self) -> set[str]:
+        """Those that a record must have."""
+        return self.named() - self.optional
+
 
 LAYOUTS = (
     Layout("conv_id", turn="turn", role="role", text="text"),
     Layout("id", each="messages", role="role", text="content"),
     Layout("id", each="conversations", role="from", text="value"),
     Layout("id", parts=(("user", "prompt"), ("assistant", "completion"))),
-    Layout("id", parts=(("user", "prompt"), ("assistant", "response"))),
-    Layout("id", parts=(("user", "instruction"), ("user", "input"), ("assistant", "output"))),
-    Layout("id", parts=(("system", "system"), ("user", "prompt"), ("assistant", "response"))),
+    Layout(
+        "id",
+        parts=(("system", "system"), ("user", "prompt"), ("assistant", "response")),
+        optional=frozenset({"system"}),
+    ),
+    Layout(
+        "id",
+        parts=(("user", "instruction"), ("user", "input"), ("assistant", "output")),
+        optional=frozenset({"input"}),
+    ),
 )
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
@@ -87,20 +103,44 @@ def paths_of_record(value: object, at: str = "") -> set[str]:
     return {at}
 
 
-def by_fingerprint(layouts: tuple[Layout, ...]) -> dict[str, Layout]:
-    return {fingerprint(layout.paths()): layout for layout in layouts}
+class Layouts:
+    """Layouts by the fingerprint of the paths that a record has of theirs."""
+
+    def __init__(self, layouts: tuple[Layout, ...]) -> None:
+        self.layouts = layouts
+        self.named = set().union(*(layout.named() for layout in layouts))
+        self.chosen: dict[str, Layout | None] = {}
+
+    def of(self, paths: set[str]) -> Layout | None:
+        own = paths & self.named
+        key = fingerprint(own)
+        if key not in self.chosen:
+            fitting = [layout for layout in self.layouts if layout.paths() <= own]
+            self.chosen[key] = max(fitting, key=lambda fit: len(fit.named() & own), default=None)
+        return self.chosen[key]
 
 
 def turns_of_table(table: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """Canonical turns of a table whose schema is a known layout; else ``KeyError``."""
-    layout = by_fingerprint(layouts)[fingerprint(paths_of_schema(table.schema))]
-    own = F.col(layout.id).cast("long").alias("conv_id")
+    """Canonical turns of a table whose schema holds a known layout; else ``KeyError``.
+
+    Further columns play no part. Ids and turn numbers that are no 64-bit numbers become
+    null, roles and texts strings.
+    """
+    paths = paths_of_schema(table.schema)
+    layout = Layouts(layouts).of(paths)
+    if layout is None:
+        raise KeyError(f"no layout for {sorted(paths)}")
+    own = F.col(layout.id).try_cast("long").alias("conv_id")
     if layout.each:
         turn = table.select(own, F.posexplode(layout.each).alias("turn", "_"))
         role, text = F.col(f"_.{layout.role}"), F.col(f"_.{layout.text}")
     elif layout.parts:
         told = F.array(
-            *(F.struct(F.lit(r).alias("role"), F.col(f).alias("text")) for r, f in layout.parts)
+            *(
+                F.struct(F.lit(r).alias("role"), F.col(f).cast("string").alias("text"))
+                for r, f in layout.parts
+                if f in paths
+            )
         )
         turn = table.select(own, F.posexplode(told).alias("turn", "_"))
         role, text = F.col("_.role"), F.col("_.text")
@@ -108,7 +148,12 @@ def turns_of_table(table: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> D
         turn = table.select(own, *(F.col(c).alias(n) for n, c in (
             ("turn", layout.turn), ("_role", layout.role), ("_text", layout.text))))
         role, text = F.col("_role"), F.col("_text")
-    return turn.select("conv_id", F.col("turn").cast("long").alias("turn"), _role(role), text.alias("text"))
+    return turn.select(
+        "conv_id",
+        F.col("turn").try_cast("long").alias("turn"),
+        _role(role.cast("string")),
+        text.cast("string").alias("text"),
+    )
 
 
 def _role(role: Column) -> Column:
@@ -119,24 +164,26 @@ def _role(role: Column) -> Column:
 def turns_of_records(
     records: DataFrame, column: str, layouts: tuple[Layout, ...] = LAYOUTS
 ) -> DataFrame:
-    """Canonical turns of JSON records, each of its own layout. Records that are null, no
-    JSON, or of an unknown layout give none; ``unmatched`` finds them."""
-    known = by_fingerprint(layouts)
+    """Canonical turns of JSON records, each of its own layout.
+
+    Fields that the layout does not name play no part; a missing role or text of a listed
+    turn is null. Records that are null, no JSON, of an unknown layout, with an empty list
+    of turns, with an id or turn that is no 64-bit number (digits in a string are one), or
+    with a role or text that is neither a string nor null give none; ``unmatched`` finds them.
+    """
     roles = dict(ROLES)
     schema = pa.schema(
         [("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string())]
     )
 
     def run(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Layouts(layouts)
+
         def rows():
             for batch in given:
                 for value in batch[0]:
-                    record, layout = _read(value.as_py(), known)
-                    if layout is None:
-                        continue
-                    for turn, role, text in _turns(record, layout):
-                        row = (record[layout.id], turn, roles.get(role, role), text)
-                        yield len(text or ""), row
+                    for number, turn, role, text in _told(value.as_py(), known):
+                        yield len(text or ""), (number, turn, roles.get(role, role), text)
 
         return batches(rows(), schema)
 
@@ -146,34 +193,56 @@ def turns_of_records(
 def unmatched(
     records: DataFrame, column: str, layouts: tuple[Layout, ...] = LAYOUTS
 ) -> DataFrame:
-    """The records that ``turns_of_records`` has no mapping for."""
-    known = by_fingerprint(layouts)
+    """The records that ``turns_of_records`` has no turns for."""
 
-    @F.udf("boolean")
-    def unknown(value: str) -> bool:
-        return _read(value, known)[1] is None
+    @F.arrow_udf("boolean")
+    def unknown(values: pa.Array) -> pa.Array:
+        known = Layouts(layouts)
+        return pa.array([not _told(value.as_py(), known) for value in values], pa.bool_())
 
     return records.where(unknown(F.col(column)))
 
 
-def _read(value: str | None, known: dict[str, Layout]) -> tuple[dict, Layout | None]:
-    try:
-        record = json.loads(value) if value else None
-    except ValueError:
-        record = None
-    if not isinstance(record, dict):
-        return {}, None
-    return record, known.get(fingerprint(paths_of_record(record)))
+def _number(value: object) -> int | None:
+    """A whole number of 64 bits, also one in digits; None for anything else."""
+    if isinstance(value, str) and re.fullmatch(r"-?[0-9]{1,19}", value):
+        value = int(value)
+    whole = isinstance(value, int) and not isinstance(value, bool)
+    return value if whole and -(1 << 63) <= value < 1 << 63 else None
 
 
-def _turns(record: dict, layout: Layout) -> list[tuple[int, str, str | None]]:
+def _is_text(value: object) -> bool:
+    """Null, or a string that UTF-8 can hold: half of a surrogate pair is none."""
+    if isinstance(value, str):
+        return not re.search("[\ud800-\udfff]", value)
+    return value is None
+
+
+def _told(value: str | None, known: Layouts) -> list[tuple[int, int | None, str | None, str | None]]:
+    """The turns of a record (id, number, role, text), or none if it has no fitting layout."""
+    try:
+        record = json.loads(value) if value else None
+        layout = known.of(paths_of_record(record)) if isinstance(record, dict) else None
+    except (ValueError, RecursionError):
+        return []
+    if layout is None:
+        return []
     if layout.each:
-        told = [(turn[layout.role], turn[layout.text]) for turn in record[layout.each]]
+        listed = record.get(layout.each)
+        if not isinstance(listed, list) or not all(isinstance(turn, dict) for turn in listed):
+            return []
+        told = [(k, turn.get(layout.role), turn.get(layout.text)) for k, turn in enumerate(listed)]
     elif layout.parts:
-        told = [(role, record[field]) for role, field in layout.parts]
+        parts = [(role, record[field]) for role, field in layout.parts if field in record]
+        told = [(k, role, text) for k, (role, text) in enumerate(parts)]
     else:
-        return [(record[layout.turn], record[layout.role], record[layout.text])]
-    return [(k, role, text) for k, (role, text) in enumerate(told)]
+        turn = _number(record.get(layout.turn))
+        if turn is None and record.get(layout.turn) is not None:
+            return []
+        told = [(turn, record.get(layout.role), record.get(layout.text))]
+    number = _number(record.get(layout.id))
+    texts = all(_is_text(x) for _, *both in told for x in both)
+    return [(number, *turn) for turn in told] if number is not None and texts else []
 
 
 def _escaped(text: Column) -> Column:

@@ -37,6 +37,55 @@ def test_layouts_of_records(spark, rows):
     assert chat.unmatched(table, "record").count() == 5
 
 
+def test_records_that_differ(spark, rows):
+    good = [
+        # Further fields, missing optional ones, digits as ids, missing keys of one turn.
+        ({"id": 1, "source": "web", "messages": [{"role": "user", "content": "q", "name": "n"}], "score": 2.5},
+         [(1, 0, "user", "q")]),
+        ({"id": "0042", "instruction": "do", "output": "done"}, [(42, 0, "user", "do"), (42, 1, "assistant", "done")]),
+        ({"id": -3, "messages": [{"role": "user"}, {"role": "assistant", "content": "a"}, {"content": "x"}]},
+         [(-3, 0, "user", None), (-3, 1, "assistant", "a"), (-3, 2, None, "x")]),
+        ({"id": 4, "system": "s", "prompt": "p", "response": "r", "tool_calls": [{"id": 1}]},
+         [(4, 0, "system", "s"), (4, 1, "user", "p"), (4, 2, "assistant", "r")]),
+        ({"id": 5, "prompt": "p", "response": None}, [(5, 0, "user", "p"), (5, 1, "assistant", None)]),
+        ({"conv_id": 6, "turn": None, "role": None, "text": "", "lang": "en"}, [(6, None, None, "")]),
+    ]
+    bad = [
+        {"id": 1, "messages": []}, {"id": 1, "messages": [1]}, {"id": 1, "messages": "q"},
+        {"id": "x", "prompt": "p", "response": "r"}, {"id": 1.5, "prompt": "p", "response": "r"},
+        {"id": True, "prompt": "p", "response": "r"}, {"id": 1 << 70, "prompt": "p", "response": "r"},
+        {"id": None, "prompt": "p", "response": "r"}, {"prompt": "p", "response": "r"},
+        {"id": 1, "messages": [{"role": "user", "content": 7}]},
+        {"id": 1, "messages": [{"role": "user", "content": ["q"]}]},
+        {"id": 1, "messages": [{"role": 1, "content": "q"}]},
+        {"id": 1, "prompt": {"text": "p"}, "response": "r"},
+        {"conv_id": 1, "turn": "one", "role": "user", "text": "q"},
+        {"id": 1, "messages[].role": "user", "messages[].content": "q"}, {"": {"id": 1}, "prompt": "p", "response": "r"},
+        {"id": 1, "prompt": "\ud800", "response": "r"}, {},
+    ]
+    table = spark.createDataFrame([(json.dumps(r),) for r in [g for g, _ in good] + bad], "record string")
+    wanted = [turn for _, turns in good for turn in turns]
+    assert rows(chat.turns_of_records(table, "record")) == sorted(wanted, key=repr)
+    assert rows(chat.unmatched(table, "record")) == sorted(((json.dumps(r),) for r in bad), key=repr)
+    deep = spark.createDataFrame([("[" * 100_000,), ('{"id":1,"messages":' + "[" * 5000 + "]" * 5000 + "}",)], "record string")
+    assert chat.unmatched(deep, "record").count() == 2
+
+
+def test_tables_that_differ(spark, rows):
+    plain = "conv_id long, turn int, role string, text string"
+    more = spark.createDataFrame(
+        [(1, 0, "user", "q", "en", 3, "x", [1])],
+        f"{plain}, lang string, id int, segment string, loss_from array<int>",
+    )
+    assert rows(chat.turns_of_table(more)) == [(1, 0, "user", "q")]
+    formatted = chat.format_turns(chat.turns_of_table(more))
+    assert [tuple(r)[:2] for r in chat.read_back(formatted).collect()] == [(1, 1)]
+    odd = spark.createDataFrame([("7", "one", None, "q"), ("x", "2", "bot", None)], plain.replace("long", "string").replace("int", "string"))
+    assert rows(chat.turns_of_table(odd)) == sorted([(7, None, None, "q"), (None, 2, "assistant", None)], key=repr)
+    short = spark.createDataFrame([(1, "do", "done")], "id long, instruction string, output string")
+    assert rows(chat.turns_of_table(short)) == [(1, 0, "user", "do"), (1, 1, "assistant", "done")]
+
+
 def test_layouts_of_tables(spark, rows):
     nested = spark.createDataFrame(
         [(1, [("human", "q"), ("gpt", "a")])], "id long, conversations array<struct<from:string,value:string>>"

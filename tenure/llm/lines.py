@@ -25,9 +25,8 @@ from pyspark.sql import functions as F
 from tenure.llm.common import discard, stage
 from tenure.llm.hashing import BLOCK, NEWLINE, bytes_of, fingerprints, words
 from tenure.llm.pivots import forest
-from tenure.llm.rarity import cell, count
+from tenure.llm.rarity import ONCE, cell, count
 from tenure.llm.setjoin import (
-    KEY_BITS,
     PERCENT,
     TILE,
     clusters,
@@ -38,6 +37,9 @@ from tenure.llm.setjoin import (
 
 # Cells of the rarity table: 2 ** 23 of one byte, 8 MB.
 CELL_BITS = 23
+# Bits of a posting for the place of a word in its line's order; later places count as the
+# last of these, which only admits more candidates. The others are the word's.
+PLACE_BITS = 20
 # Lists of a word up to this length are compared pair by pair, all at once.
 SHORT = 1024
 
@@ -104,12 +106,30 @@ def _sets(column: pa.Array, counts: np.ndarray) -> Iterator[Block]:
 
 
 def describe(docs: DataFrame, shared_counts) -> DataFrame:
-    """Every line with words: ``id``, ``content``, ``line``, ``fp`` and ``n``."""
+    """Every line with words: ``id``, ``content``, ``line``, ``fp`` and ``n``; the parities of all its
+    words in 128 bits, ``low`` and ``high``; and ``prefix``, the words of its prefix that any other
+    line may have, each with its place in the order. A batch gives the prefix of a repeated
+    line once, and words that were counted once have no other line."""
 
     def run(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared_counts.value
         for batch in given:
+            seen = np.zeros(0, np.int64)
             for block in _sets(batch["text"], counts):
+                fp, first = np.unique(block.fp, return_index=True)
+                first = first[~np.isin(fp, seen)]
+                seen = np.union1d(seen, fp)
+                length = np.zeros(len(block.fp), np.int64)
+                length[first] = prefix_length(block.size[first], 1)
+                ends = np.cumsum(length)
+                place = np.arange(length.sum()) - np.repeat(ends - length, length)
+                key = block.members[np.repeat(block.begin, length) + place]
+                known = counts[cell(key, CELL_BITS)] > ONCE
+                kept = np.concatenate([[0], np.cumsum(known)])
+                offsets = kept[np.concatenate([[0], ends])].astype(np.int32)
+                place = np.minimum(place[known], (1 << PLACE_BITS) - 1)
+                packed = (key[known] >> np.uint64(PLACE_BITS) << np.uint64(PLACE_BITS)).view(np.int64) | place
+                low, high = _parities(block)
                 taken = pa.array(block.row)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -118,44 +138,27 @@ def describe(docs: DataFrame, shared_counts) -> DataFrame:
                         pa.array(block.line.astype(np.int32)),
                         pa.array(block.fp),
                         pa.array(block.size.astype(np.int32)),
+                        pa.array(low),
+                        pa.array(high),
+                        pa.ListArray.from_arrays(offsets, pa.array(packed)),
                     ],
-                    names=["id", "content", "line", "fp", "n"],
+                    names=["id", "content", "line", "fp", "n", "low", "high", "prefix"],
                 )
 
-    return docs.mapInArrow(run, "id long, content long, line int, fp long, n int")
-
+    ddl = "id long, content long, line int, fp long, n int, low long, high long, prefix array<long>"
+    return docs.mapInArrow(run, ddl)
 
-def prefixes(docs: DataFrame, shared_counts) -> DataFrame:
-    """The postings of all lines: ``key`` (a word of the prefix), ``fp``, ``n``, its ``place`` in the
-    order, and ``low`` and ``high``, the parities of all words in 128 bits. A batch gives
-    those of a repeated line once."""
 
-    def run(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared_counts.value
-        for batch in given:
-            seen = np.zeros(0, np.int64)
-            for block in _sets(batch["text"], counts):
-                fp, first = np.unique(block.fp, return_index=True)
-                first = first[~np.isin(fp, seen)]
-                seen = np.union1d(seen, fp)
-                low, high = (parity[first] for parity in _parities(block))
-                length = prefix_length(block.size[first], 1)
-                place = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
-                key = block.members[np.repeat(block.begin[first], length) + place]
-                columns = {
-                    "key": (key >> np.uint64(64 - KEY_BITS)).astype(np.int64),
-                    "fp": np.repeat(block.fp[first], length),
-                    "n": np.repeat(block.size[first].astype(np.int32), length),
-                    "place": place.astype(np.int32),
-                    "low": np.repeat(low, length),
-                    "high": np.repeat(high, length),
-                }
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c) for c in columns.values()], names=list(columns)
-                )
-
-    ddl = "key long, fp long, n int, place int, low long, high long"
-    return docs.select("text").mapInArrow(run, ddl)
+def postings(lines: DataFrame) -> DataFrame:
+    """The prefixes of all lines in lists by word: ``key``, ``place``, ``fp``, ``n``, ``low``, ``high``,
+    ordered by key, size and line."""
+    key, place = F.shiftright("word", PLACE_BITS), F.col("word").bitwiseAND((1 << PLACE_BITS) - 1)
+    return (
+        lines.select("fp", "n", "low", "high", F.explode("prefix").alias("word"))
+        .repartition(key)
+        .select(key.alias("key"), "fp", "n", place.cast("int").alias("place"), "low", "high")
+        .sortWithinPartitions("key", "n", "fp")
+    )
 
 
 def _parities(block: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -319,12 +322,7 @@ def kept_lines(
     )
     counts = own.sparkSession.sparkContext.broadcast(count(own.select("text"), _words_of, CELL_BITS))
     lines, folder = stage(describe(own.select("id", "content", "text"), counts))
-    links = (
-        prefixes(own, counts)
-        .repartition("key")
-        .sortWithinPartitions("key", "n", "fp")
-        .mapInArrow(_alike, "a long, b long")
-    )
+    links = postings(lines).mapInArrow(_alike, "a long, b long")
     members = clusters(links, lines.groupBy("fp").agg(F.first("n").alias("n")))
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "content", "line")
     first = lines.groupBy("fp").agg(F.min(place).alias("at"))

@@ -38,10 +38,13 @@ def only_accounts_to_fix(df: DataFrame, relation: DataFrame) -> DataFrame:
     """``df`` without the accounts that have nothing to fix.
 
     The log outgrows the relations, and the repair concerns part of the accounts. Where
-    those are few Spark broadcasts them and the rest of the log ends at its scan;
-    where they are many it joins by account, which later steps group by as well.
+    those are few Spark broadcasts them and the rest of the log ends at its scan. Where
+    they are many it joins by account; a Bloom filter of them then goes to the scan of the
+    log, if that is large (``spark.sql.optimizer.runtime.bloomFilter``). An account may
+    come several times: taking those out would hide the filter on the relations, without
+    which Spark makes no Bloom filter.
     """
-    accounts = relation.where(is_to_fix()).select("account_id").distinct()
+    accounts = relation.where(is_to_fix()).select("account_id")
     return df.join(accounts, "account_id", "left_semi")
 
 

@@ -8,7 +8,9 @@ it is handed their result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tenure.functions.predicates import (
@@ -120,6 +122,21 @@ def first_recorded_owner(
     return _with_user(found, users)
 
 
+@dataclass(frozen=True)
+class Watch:
+    """What a repair sees of its input while it runs; read it after the query has run.
+
+    ``status`` counts the relations to fix: those without an account, with a period that ends
+    before it starts, with several changes, and rows that agree with another in account, id
+    and period. ``relations`` and ``repaired`` count the rows that go into and come out of
+    ``mark_lost``: where ids are repeated, more come out.
+    """
+
+    status: Observation = field(default_factory=Observation)
+    relations: Observation = field(default_factory=Observation)
+    repaired: Observation = field(default_factory=Observation)
+
+
 def repair_status(
     relation: DataFrame,
     history: DataFrame,
@@ -127,13 +144,25 @@ def repair_status(
     rules: LogRules = RULES,
     repair_ends: bool = True,
     end_of_day: bool = False,
+    watch: Watch | None = None,
 ) -> DataFrame:
     """What becomes of each relation to fix.
 
     ``has_history`` tells whether the account has a real change at all,
-    ``new_owner`` is the owner found, ``status`` the rule that found it.
+    ``new_owner`` is the owner found, ``status`` the rule that found it. ``watch`` counts
+    along, without a job of its own.
     """
     found = _account_line(relation, history, rules, repair_ends, end_of_day)
+    if watch is not None:
+        found = found.observe(
+            watch.status,
+            F.count(F.lit(1)).alias("n_to_fix"),
+            F.count_if(F.col("account_id").isNull()).alias("n_without_account"),
+            F.count_if(F.col("ended_at") < F.col("assigned_at")).alias("n_inverted"),
+            F.count_if(F.col("n_changes") > 1).alias("n_ambiguous"),
+            F.sum(F.col("copies") - 1).alias("n_repeated"),
+        )
+    found = repeated(found, "copies")
     may_change = F.lit(True)
     if excluded is not None:
         # A missing id is not known to be outside the list.
@@ -168,7 +197,7 @@ def _account_line(
 
     ``n_changes`` and ``last_value``: the changes in its period and the last of them.
     ``n_account`` and ``first_owner``: those of the account, and its oldest first owner, ties by
-    name. One row per relation, whatever the ids.
+    name. ``copies`` says how many relations agree in account, id and period.
     """
     live = relation.where(not_deleted() & is_assigned()).select(
         "id", "account_id", "is_deleted", "assigned_at", "ended_at", "owner"
@@ -213,7 +242,7 @@ def _account_line(
         return F.max(F.when(F.col("kind") == kind, F.col(column)))
 
     is_open = F.col("ended_at").isNull()
-    found = (
+    return (
         ends.groupBy("account_id", "id", "assigned_at", "ended_at")
         .agg(
             at(START, "run").alias("before"),
@@ -231,25 +260,32 @@ def _account_line(
             "first_owner",
             (F.when(is_open, F.col("n_account")).otherwise(F.col("upto")) - F.col("before")).alias("n_changes"),
             F.when(is_open, F.col("at_last")).otherwise(F.col("at_end")).alias("last_value"),
+            "assigned_at",
+            "ended_at",
             "copies",
         )
     )
-    return repeated(found, "copies")
 
 
-def mark_lost(relation: DataFrame, status: DataFrame) -> DataFrame:
+def mark_lost(relation: DataFrame, status: DataFrame, watch: Watch | None = None) -> DataFrame:
     """All relations with their repaired owner; to fix and not found: ``LOST``.
 
     ``status`` is the result of ``repair_status``. ``status`` is null for the
     relations that needed no repair, which are passed on as they are.
     """
+    columns = relation.columns
+    if watch is not None:
+        relation = relation.observe(watch.relations, F.count(F.lit(1)).alias("n"))
     needs = _holds(is_to_fix())
     found = status.select(
         F.col("id").alias("_id"), "status", F.coalesce("new_owner", F.lit(LOST)).alias("_found")
     )
     joined = lookup_join(relation.withColumn("_id", F.when(needs, F.col("id"))), found, "_id", "left")
     owner = F.when(needs, F.col("_found")).otherwise(F.col("owner"))
-    return joined.withColumn("owner", owner).select(*relation.columns, "status")
+    repaired = joined.withColumn("owner", owner).select(*columns, "status")
+    if watch is not None:
+        repaired = repaired.observe(watch.repaired, F.count(F.lit(1)).alias("n"))
+    return repaired
 
 
 def repair_funnel(status: DataFrame) -> DataFrame:

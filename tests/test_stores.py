@@ -1,0 +1,179 @@
+"""Layouts for lookups and joins, output that can be written again, stored totals."""
+
+import glob
+import re
+
+import pyarrow.parquet as pq
+import pytest
+from conftest import day
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry
+from tenure.plans import counts, log, repair
+from tenure.sources import stores
+
+FOLDER = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def given(spark):
+    return entry.inputs(spark, FOLDER)
+
+
+def groups_of(path, column, value):
+    """Row groups, and those whose least and greatest value admit ``value``."""
+    total = open_ones = 0
+    for name in glob.glob(f"{path}/*.parquet"):
+        meta = pq.read_metadata(name)
+        at = meta.schema.names.index(column)
+        for g in range(meta.num_row_groups):
+            stats = meta.row_group(g).column(at).statistics
+            total += 1
+            open_ones += stats.min <= value <= stats.max
+    return total, open_ones
+
+
+def test_one_account_is_read_from_few_row_groups(spark, given, tmp_path, rows):
+    path = str(tmp_path / "relation")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 16)
+    stores.write_for_lookups(given.relation, path, group_bytes=1 << 14)
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    total, read = groups_of(path, "account_id", 700)
+    assert total >= 16 and read <= 2
+    found = spark.read.parquet(path).where("account_id = 700")
+    assert rows(found) == rows(given.relation.where("account_id = 700")) != []
+    # The Bloom filters add to the size; the same rows without them are smaller.
+    plain = str(tmp_path / "plain")
+    spark.read.parquet(path).write.option("parquet.block.size", str(1 << 14)).parquet(plain)
+
+    def size(folder):
+        return sum(len(open(name, "rb").read()) for name in glob.glob(f"{folder}/*.parquet"))
+
+    assert size(path) > size(plain) + 1000
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bucketed_tables_are_not_shuffled_by_account(spark, given, tmp_path, rows):
+    kept = stores.bucketed(given, ("kept_relation", "kept_log"), 4, str(tmp_path))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for query in (
+            lambda t: log.to_fix_with_history(t.relation, t.owner_history),
+            lambda t: log.first_owner_recoverable(t.relation, t.owner_history),
+            lambda t: log.account_log(t.owner_history).agg(F.sum("n_changes")),
+        ):
+            text = plan(query(kept))
+            assert not re.search(r"Exchange hashpartitioning\(account_id#\d+L?, \d+\)", text)
+            assert "Bucketed: true" in text
+            assert rows(query(kept)) == rows(query(given))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("drop table kept_relation")
+        spark.sql("drop table kept_log")
+
+
+def test_accounts_to_fix_reach_the_scan_of_the_log(spark, given, rows):
+    wanted = rows(log.to_fix_with_history(given.relation, given.owner_history))
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+    }
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        found = log.to_fix_with_history(given.relation, given.owner_history)
+        assert "might_contain" in plan(found) or "bloom_filter" in plan(found).lower()
+        assert rows(found) == wanted
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+
+
+def test_parts_are_replaced_and_counted(spark, tmp_path, rows, monkeypatch):
+    path = str(tmp_path / "out")
+    status = "id string, status string"
+    first = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "y"), ("d", None)], status)
+    assert stores.replace_parts(first, path, "status") == 4
+    assert stores.replace_parts(first, path, "status") == 4
+    assert rows(spark.read.parquet(path)) == rows(first)
+    again = spark.createDataFrame([("e", "x"), ("f", None)], status)
+    assert stores.replace_parts(again, path, "status") == 2
+    assert rows(spark.read.parquet(path)) == sorted([("e", "x"), ("c", "y"), ("f", None)], key=repr)
+    assert stores.replace_parts(again.limit(0), path, "status") == 0
+    # A run that fails leaves what was there.
+    broken = again.withColumn("id", F.when(F.col("id") == "f", F.raise_error(F.lit("lost"))).otherwise("g"))
+    with pytest.raises(Exception, match="lost"):
+        stores.replace_parts(broken, path, "status")
+    assert spark.read.parquet(path).count() == 3
+
+
+def test_a_repair_can_be_written_again(spark, given, tmp_path, rows):
+    path = str(tmp_path / "repaired")
+    done = repair.mark_lost(
+        given.relation, repair.repair_status(given.relation, given.owner_history, given.excluded)
+    )
+    n = stores.replace_parts(done, path, "status")
+    assert n == given.relation.count() == stores.replace_parts(done, path, "status")
+    columns = ["id", "owner", "status"]
+    assert rows(spark.read.parquet(path), *columns) == rows(done, *columns)
+
+
+def test_totals_follow_the_log(spark, make, tmp_path, rows):
+    log_path, totals_path = str(tmp_path / "log"), str(tmp_path / "totals")
+    old = make.history(
+        (1, day("01-05"), "A", "B"), (1, day("02-01"), "B", "C"), (2, day("01-31 23:59"), "A", "B"),
+        (2, day("02-02"), "A", "A"), (None, day("01-01"), "A", "B"), (3, day("03-01"), "A", "B"),
+    )
+    assert stores.add_to_log(old, log_path, totals_path) == 4
+    untouched = sorted(glob.glob(f"{totals_path}/period=202101/*") + glob.glob(f"{totals_path}/period=202103/*"))
+    new = make.history((1, day("02-03"), "C", "D"), (4, day("02-28"), "A", "B"), (4, None, "A", "B"))
+    assert stores.add_to_log(new, log_path, totals_path) == 3
+    still = sorted(glob.glob(f"{totals_path}/period=202101/*") + glob.glob(f"{totals_path}/period=202103/*"))
+    assert untouched == still
+    whole = (
+        counts.owner_changes(old.unionByName(new))
+        .where("account_id is not null")
+        .groupBy("account_id")
+        .agg(F.count(F.lit(1)), F.min("changed_at"), F.max("changed_at"))
+    )
+    assert rows(stores.account_totals(spark, totals_path)) == rows(whole)
+
+
+def test_only_touched_periods_are_read(spark, given, tmp_path, monkeypatch):
+    log_path, totals_path = str(tmp_path / "log"), str(tmp_path / "totals")
+    stores.append_log(given.owner_history, log_path)
+    seen = []
+    kept = stores.replace_parts
+
+    def watched(df, path, part):
+        seen.append(plan(df))
+        return kept(df, path, part)
+
+    monkeypatch.setattr(stores, "replace_parts", watched)
+    stores.refresh_totals(spark, [199501, 199502], log_path, totals_path)
+    assert "PartitionFilters: [period" in seen[0] and "199501" in seen[0]
+    assert {r.period for r in spark.read.parquet(totals_path).select("period").distinct().collect()} == {199501, 199502}
+
+
+def test_a_repair_counts_what_it_sees(spark, make):
+    rows = [
+        {"id": "a", "start": day("01-01"), "end": day("02-01")},
+        {"id": "b", "start": day("03-01"), "end": day("02-01")},
+        {"id": "c", "account": None, "start": day("01-01")},
+        {"id": "d", "account": 2, "start": day("01-01"), "end": day("05-01")},
+        {"id": "d", "account": 2, "start": day("01-01"), "end": day("05-01")},
+        {"id": "e", "account": 3, "start": day("01-01"), "owner": "O"},
+    ]
+    relation = make.relations(*rows)
+    history = make.history((2, day("02-01"), "A", "B"), (2, day("03-01"), "B", "C"))
+    watch = repair.Watch()
+    done = repair.mark_lost(relation, repair.repair_status(relation, history, watch=watch), watch)
+    assert done.count() == 8
+    assert watch.status.get == {
+        "n_to_fix": 4, "n_without_account": 1, "n_inverted": 1, "n_ambiguous": 1, "n_repeated": 1,
+    }
+    assert (watch.relations.get["n"], watch.repaired.get["n"]) == (6, 8)

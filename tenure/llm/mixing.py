@@ -15,10 +15,13 @@ the order is by MD5, whose first digits are the buckets, so no task holds a sour
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenure.llm.common import cut, n_words
+from tenure.llm.hashing import SPACE
 
 # Words of a block.
 BLOCK = 32
@@ -136,6 +139,28 @@ def mix(
     )
 
 
+def word_range(text: Column, begin: Column, end: Column) -> Column:
+    """The part of a text from its word ``begin`` up to word ``end`` (not with it), as it
+    stands there with all white space between; null where the text is."""
+
+    @F.arrow_udf("string")
+    def part(texts: pa.Array, begins: pa.Array, ends: pa.Array) -> pa.Array:
+        out = []
+        for own, low, high in zip(texts, begins.to_pylist(), ends.to_pylist(), strict=True):
+            if not own.is_valid:
+                out.append(None)
+                continue
+            raw = own.as_buffer().to_pybytes()
+            solid = ~SPACE[np.frombuffer(raw, np.uint8)]
+            edges = np.flatnonzero(np.diff(np.concatenate([[False], solid, [False]]).view(np.int8)))
+            first, last = edges[::2], edges[1::2]
+            high = min(high, len(first))
+            out.append(raw[first[low] : last[high - 1]] if low < high else b"")
+        return pa.array(out, pa.binary()).view(pa.string())
+
+    return part(text, begin.cast("long"), end.cast("long"))
+
+
 def _spans(turn: int, shard: int, block: int) -> Column:
     """What the shard takes of a document in one round, in an array of one or none."""
     at = F.col("start") + F.col("source_size") * turn

@@ -14,13 +14,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenure.llm import bpe, langid, lines, mixing, ngrams, registry
-from tenure.llm.common import WORD, cut, read, stage
+from tenure.llm.common import cut, read, stage
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the fused evidence tells with enough probability."""
+    """Documents whose language the fused evidence tells with enough probability.
+
+    Null and empty texts have no evidence of their own and go, as do texts without a
+    trigram. Every row is judged by itself, so repeated rows share their fate. An empty
+    table gives none.
+    """
     docs = docs.select(*COLUMNS)
     pages = read(spark, sf_dir, "pages")
     model = langid.train(docs)
@@ -33,7 +38,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that repeat an earlier one."""
+    """Documents without the lines that repeat an earlier one.
+
+    Earlier is what has the smaller id; rows without one come last. Rows that agree in id
+    and text keep the same lines. Null and empty texts stay as they are; documents that are
+    left without any line go. An empty table gives none.
+    """
     return _counted(lines.without_repeats(docs.select(*COLUMNS)))
 
 
@@ -69,8 +79,10 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: a row for each run of words that it takes of a document in one round.
 
-    A document taken whole keeps its text as it is; of one taken in part, the words are
-    joined by single spaces.
+    A document taken whole keeps its text as it is; one taken in part keeps the part from
+    its first to its last word taken, with all line breaks and spaces between. Null and
+    empty texts have no words and are not taken. Rows that agree in id and size may stand
+    for each other; an empty table gives none.
     """
     docs = docs.select(*COLUMNS)
     carried = tuple(c for c in docs.columns if c not in ("doc_id", "source"))
@@ -79,13 +91,10 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     )
     rounds = F.array(*(_round(turn) for turn in range(2)))
     taken = mixed.withColumn("run", F.explode(rounds)).where("run.to > run.from")
-    words = F.slice(
-        F.regexp_extract_all("text", F.lit(WORD), F.lit(0)),
-        F.col("run.from").cast("int") + 1,
-        (F.col("run.to") - F.col("run.from")).cast("int"),
-    )
     whole = (F.col("run.from") == 0) & (F.col("run.to") == F.col("size"))
-    text = F.when(whole, F.col("text")).otherwise(F.array_join(words, " "))
+    # Only texts that are cut go to the function.
+    part = mixing.word_range(F.when(~whole, F.col("text")), F.col("run.from"), F.col("run.to"))
+    text = F.when(whole, F.col("text")).otherwise(part)
     return _counted(
         taken.select("doc_id", *carried, F.col("origin").alias("source"), text.alias("run_text"))
         .withColumn("text", F.col("run_text"))
@@ -103,7 +112,11 @@ def _round(turn: int):
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id`` with the ids of each row, checked by decoding them again."""
+    """``doc_id`` with the ids of each row, checked by decoding them again.
+
+    A null text counts as empty. Every row is encoded, repeated ones and those without an id
+    too. An empty table gives none.
+    """
     pattern = registry.public_tokenizers.PATTERN
     ids = bpe.encode(docs, registry.VOCABULARY, pattern)
     return bpe.digests(bpe.decode(ids, registry.VOCABULARY))

@@ -84,6 +84,21 @@ def test_more_cuts_change_nothing(spark, given, results, monkeypatch):
     spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_generated_code_gives_the_same(spark, given, results):
+    """One sweep with code generation, which the other tests leave out for speed."""
+    off = {"spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN"}
+    on = {"spark.sql.codegen.wholeStage": "true", "spark.sql.codegen.factoryMode": "FALLBACK"}
+    for key, value in on.items():
+        spark.conf.set(key, value)
+    try:
+        for name in oracle_queries.oracle_sql():
+            df = entry.queries()[name](spark, FOLDER)
+            assert by_name(df.columns, [tuple(r) for r in df.collect()]) == by_name(*results[name]), name
+    finally:
+        for key, value in off.items():
+            spark.conf.set(key, value)
+
+
 def test_known_figures(given, results):
     def size(name):
         return len(results[name][1])

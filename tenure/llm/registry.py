@@ -23,14 +23,17 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def op1_pivot_near_dup(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and components of all embeddings at a cosine of 0.9."""
     return pivots.near_duplicates(read(spark, folder, "embeddings"))
 
 
 def op2_one_bit_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest of every 20th embedding among all others."""
     return onebit.search(read(spark, folder, "embeddings"), F.col("id") % 20 == 0)
 
 
 def op3_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in eight shards along a curve over language, source, size and id."""
     rows = read(spark, folder, "documents").select(
         "doc_id",
         (n_bytes(F.col("text")) + 1).alias("size"),
@@ -56,6 +59,7 @@ def op3_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document the numbers of the lines that no earlier line is similar to."""
     docs = read(spark, folder, "documents")
     kept = lines.kept_lines(docs)
     own = docs.select("doc_id", F.xxhash64("text").alias("hash"))
@@ -71,6 +75,7 @@ def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document its shingles and the group of near-duplicates that it is in."""
     return ngrams.near_duplicates(read(spark, folder, "documents"))
 
 
@@ -81,6 +86,7 @@ def shown_document(url: Column) -> Column:
 
 
 def op6_url_templates(spark: SparkSession, folder: str) -> DataFrame:
+    """A verdict for every page's address, by rules and by the labels of like addresses."""
     pages = read(spark, folder, "pages")
     labels = read(spark, folder, "labels").select(
         "doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad")
@@ -90,11 +96,13 @@ def op6_url_templates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document a digest of its token ids, and of what they decode to."""
     ids = bpe.encode(read(spark, folder, "documents"), VOCABULARY, public_tokenizers.PATTERN)
     return bpe.digests(bpe.decode(ids, VOCABULARY))
 
 
 def op8_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """How many words the mix takes of every document."""
     return mixing.mix(read(spark, folder, "documents")).drop("spans")
 
 
@@ -123,6 +131,7 @@ def with_page(docs: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def op9_language(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document by text, page and host together."""
     docs = read(spark, folder, "documents")
     model = langid.train(docs)
     slim = docs.select("doc_id", "source", langid.text_scores(F.col("text"), model).alias("scores"))
@@ -137,6 +146,7 @@ MARKED = r"\### Assistant: </turn> ok"
 
 
 def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation, and one of our own, as read back from its formatted turns."""
     record = {"id": -7, "messages": [{"role": r, "content": MARKED} for r in ("user", "assistant")]}
     one = spark.range(1).select(F.lit(json.dumps(record)).alias("record"))
     turns = chat.turns_of_table(read(spark, folder, "conversations")).unionByName(

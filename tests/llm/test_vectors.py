@@ -87,6 +87,38 @@ def test_links_of_a_large_dense_group(spark, cosine):
     assert {found[i].component_id for i in range(800)} == {0}
 
 
+def test_dimensions_and_repeated_ids(spark):
+    # Vectors link within their dimension, whichever is the most frequent one, and an id that
+    # several vectors share adds nothing to the links of any of them.
+    given = [
+        (1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [0.0, 1.0]),
+        (11, [1.0, 0.0, 0.0]), (12, [1.0, 0.0, 0.0]),
+        (21, [1.0]), (22, [2.0]), (23, [-1.0]),
+        (31, [0.0, 0.0, 0.0, 1.0]), (31, [1.0, 0.0, 0.0, 0.0]), (32, [1.0, 0.1, 0.0, 0.0]),
+        (33, [1.0, 0.0, 0.1, 0.0]),
+    ]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in pivots.near_duplicates(table(spark, given)).collect())
+    assert got == [
+        (1, 1, 1), (2, 1, 1), (3, 0, 3), (11, 1, 11), (12, 1, 11), (21, 1, 21), (22, 1, 21), (23, 0, 23),
+        (31, 0, 31), (31, 2, 31), (32, 2, 31), (33, 2, 31),
+    ]
+
+
+def test_lengths_that_overflow(spark):
+    given = [(1, [1e300, 1e299]), (2, [1e-300, 1e-301]), (3, [-1e300, 1.0]), (4, [3.0, 0.0])]
+    docs = spark.createDataFrame(given, "vec_id long, embedding array<double>")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in pivots.near_duplicates(docs).collect())
+    assert got == [(1, 2, 1), (2, 2, 1), (3, 0, 3), (4, 2, 1)]
+
+
+def test_links_in_parts_equal_links_in_whole_lists(spark, cloud):
+    whole, parts = (
+        sorted(tuple(r) for r in pivots.near_duplicates(table(spark, cloud), tile=size).collect())
+        for size in (10_000, 8)
+    )
+    assert whole == parts
+
+
 def test_nearest(spark, cloud):
     # Repeated rows are candidates as often as they occur.
     given = cloud + ODD + [cloud[1], cloud[1]]

@@ -2,18 +2,20 @@
 
 The paths of a host form a tree of segments. Level by level, a segment stays a branch
 of its own only if it is frequent and its labelled pages differ from those of all its
-siblings; variable segments (numbers and the like, rare ones) and branches that are
-statistically like the rest are merged into the wildcard ``*``. What is left are the
-templates of the host. A template is judged by the share of bad ones among its labelled
-pages, smoothed towards its host, which is smoothed towards all pages.
-
-DataFrame functions only. All counting is over distinct (host, path shape) pairs, which
-are counted first, so a large host or a popular path is one row per task.
+siblings; variable segments (those that are rare or statistically like the rest) are merged,
+first by their extension and then, unless that tells them apart, into the wildcard ``*``.
+The tree is followed as deep as any of its branches can still be told apart. What is left
+are the templates of the host. A template is judged by the share of bad ones among its
+labelled pages, smoothed towards its host, which is smoothed towards all pages.
+
+DataFrame functions only. All counting is over distinct (host, path) pairs, which are
+counted first, so a popular path is one row; sums are added up before they are shuffled.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,8 +23,6 @@ from pyspark.sql import functions as F
 from tenure.llm.common import cut
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-# Levels of a template; what lies deeper is one wildcard of its own.
-LEVELS = 4
 # Pages that a branch must have to be told apart, and the difference of bad shares, in
 # standard errors, that tells it.
 MIN_PAGES, Z = 20, 3.0
@@ -67,58 +67,82 @@ def matching_rule(rules: tuple[Rule, ...], host: Column, path: Column) -> Column
     return found
 
 
-def shape(path: Column) -> Column:
-    """The segments of a path with the obviously variable ones as ``*``: those with a digit
-    and long ones. An extension stays."""
-    segments = F.filter(F.split(path, "/"), lambda s: s != "")
-    return F.transform(
-        segments,
-        lambda s: F.when(
-            s.rlike(r"\d") | (F.length(s) > 40),
-            F.concat(F.lit("*"), F.regexp_extract(s, r"(\.[a-zA-Z]{1,5})$", 1)),
-        ).otherwise(s),
-    )
+def segments_of(path: Column) -> Column:
+    """The segments of a path, without empty ones."""
+    return F.filter(F.split(path, "/"), lambda s: s != "")
+
+
+def _apart(n: str, labelled: str, bad: str) -> Column:
+    """Whether a branch with these sums is frequent, and its share of bad pages further from
+    that of its siblings than chance explains. The node has ``all_labelled`` and ``all_bad``."""
+    pooled = F.col("all_bad") / F.col("all_labelled")
+    others = F.col("all_labelled") - F.col(labelled)
+    gap = F.abs(F.try_divide(bad, labelled) - F.try_divide(F.col("all_bad") - F.col(bad), others))
+    error = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1), labelled) + F.try_divide(F.lit(1), others)))
+    return (F.col(n) >= MIN_PAGES) & F.coalesce(gap > Z * error, F.lit(False))
 
 
-def templates(shapes: DataFrame, levels: int = LEVELS) -> DataFrame:
-    """``shapes`` (``host``, ``segments``, ``n`` pages, ``labelled``, ``bad``) with ``template``."""
-    tree = cut(shapes.withColumn("template", F.lit("")))
-    for level in range(levels):
+def templates(paths: DataFrame) -> DataFrame:
+    """``paths`` (``host``, ``segments``, ``n`` pages, ``labelled``, ``bad``) with ``template``.
+
+    A node with few pages, or whose labelled pages are all good or all bad, has no branch to
+    be told apart: what lies below it are wildcards, and only the others are followed. So
+    the number of levels is that of the deepest node with a choice, and each level has the
+    paths below such nodes only.
+    """
+    sums = ("n", "labelled", "bad")
+    tree = cut(paths.withColumn("template", F.lit("")))
+    done: list[DataFrame] = []
+    level = 0
+    while not tree.isEmpty():
+        nodes = (
+            tree.groupBy("host", "template")
+            .agg(F.sum("n").alias("all_n"), F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
+            .where((F.col("all_n") >= MIN_PAGES) & (F.col("all_bad") > 0) & (F.col("all_bad") < F.col("all_labelled")))
+        )
         segment = F.coalesce(F.try_element_at("segments", F.lit(level + 1)), F.lit(""))
-        branches = (
-            tree.withColumn("segment", segment)
-            .groupBy("host", "template", "segment")
-            .agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "bad")))
+        rest = F.repeat(F.lit("/*"), F.size("segments") - level)
+        # Written at every level: what follows reads it several times.
+        followed = cut(
+            tree.join(nodes, ["host", "template"], "left")
+            .withColumn("segment", segment)
+            .withColumn("open", F.col("all_n").isNotNull() & (F.col("segment") != ""))
         )
-        nodes = branches.groupBy("host", "template").agg(
-            F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad")
+        done.append(
+            followed.where("not open").select(
+                "host", "segments", *sums,
+                # Open nodes end here with the paths that do.
+                F.when(F.col("all_n").isNull(), F.concat("template", rest)).otherwise(F.col("template")).alias("template"),
+            )
         )
-        pooled = F.col("all_bad") / F.greatest("all_labelled", F.lit(1))
-        others = F.col("all_labelled") - F.col("labelled")
-        gap = F.abs(
-            F.try_divide("bad", "labelled")
-            - F.try_divide(F.col("all_bad") - F.col("bad"), others)
+        branches = (
+            followed.where("open")
+            .groupBy("host", "template", "segment")
+            .agg(*(F.sum(c).alias(c) for c in sums), *(F.first(c).alias(c) for c in ("all_labelled", "all_bad")))
+            .withColumn("own", _apart(*sums))
+            .withColumn("extension", F.regexp_extract("segment", r"(\.[a-zA-Z]{1,5})$", 1))
         )
-        error = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1), "labelled") + F.try_divide(F.lit(1), others)))
-        apart = (F.col("n") >= MIN_PAGES) & F.coalesce(gap > Z * error, F.lit(False))
-        told = branches.join(nodes, ["host", "template"]).select(
-            "host",
-            "template",
-            "segment",
-            F.when(F.col("segment") == "", F.lit(""))
-            .when(apart, F.concat(F.lit("/"), "segment"))
-            .otherwise(F.lit("/*"))
-            .alias("step"),
+        # Variable segments with the same extension, as one branch.
+        alike = (
+            branches.where(~F.col("own") & (F.col("extension") != ""))
+            .groupBy("host", "template", "extension")
+            .agg(*(F.sum(c).alias(c) for c in sums), *(F.first(c).alias(c) for c in ("all_labelled", "all_bad")))
+            .where(_apart(*sums))
+            .select("host", "template", "extension", F.lit(True).alias("kind"))
         )
-        # Written at every level: a level reads the one above twice.
+        own = branches.where("own").select("host", "template", "segment", "own")
+        variable = F.when(F.col("kind"), F.concat(F.lit("/*"), "extension")).otherwise(F.lit("/*"))
+        step = F.when(F.col("own"), F.concat(F.lit("/"), "segment")).otherwise(variable)
         tree = cut(
-            tree.withColumn("segment", segment)
-            .join(told, ["host", "template", "segment"])
-            .withColumn("template", F.concat("template", "step"))
-            .drop("segment", "step")
+            followed.where("open")
+            .select("host", "segments", *sums, "template", "segment")
+            .withColumn("extension", F.regexp_extract("segment", r"(\.[a-zA-Z]{1,5})$", 1))
+            .join(own, ["host", "template", "segment"], "left")
+            .join(alike, ["host", "template", "extension"], "left")
+            .select("host", "segments", *sums, F.concat("template", step).alias("template"))
         )
-    deeper = F.when(F.size("segments") > levels, F.lit("/**")).otherwise(F.lit(""))
-    return tree.withColumn("template", F.concat("template", deeper))
+        level += 1
+    return reduce(DataFrame.unionByName, done) if done else tree
 
 
 def judge(
@@ -141,19 +165,18 @@ def judge(
     host, path = host_and_path(F.col(url_col))
     marked = labels.groupBy(F.col(id_col).alias("id")).agg(F.bool_or("bad").alias("bad"))
     own = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path")).withColumn(
-        "segments", shape(F.col("path"))
+        "segments", segments_of(F.col("path"))
     )
     known = own.join(marked, "id", "left")
-    shapes = known.groupBy("host", "segments").agg(
+    paths = known.groupBy("host", "segments").agg(
         F.count(F.lit(1)).alias("n"),
         F.count("bad").alias("labelled"),
         F.count_if("bad").alias("bad"),
     )
-    found = templates(shapes)
-    shapes = found.select(*shapes.columns)
+    found = cut(templates(paths))
     sums = [F.sum(c).alias(c) for c in ("labelled", "bad")]
     whole = (
-        shapes.agg(*sums)
+        found.agg(*sums)
         .select(
             (F.coalesce("bad", F.lit(0)) + 0.5 * prior)
             / (F.coalesce("labelled", F.lit(0)) + prior)
@@ -161,7 +184,7 @@ def judge(
         .scalar()
     )
     hosts = (
-        shapes.groupBy("host")
+        found.groupBy("host")
         .agg(*sums)
         .select(
             "host",

@@ -24,10 +24,26 @@ BITS = 5
 ROW_BITS = 33
 
 
-def prefix_number(text: Column) -> Column:
-    """A string's first seven bytes as a number that sorts as they do."""
-    head = F.substring(F.encode(text, "UTF-8"), 1, 7)
-    return F.conv(F.rpad(F.hex(head), 14, "0"), 16, 10).cast("long")
+def rank_strings(rows: DataFrame, column: str) -> DataFrame:
+    """``rows`` with the strings of ``column`` as numbers in the order of their bytes.
+
+    The distinct values are sorted by range and numbered in their partitions, so only the
+    order of two numbers means anything. Nulls stay. A value that a third of the rows
+    have is one row of the joined side.
+    """
+    ranked = cut(
+        rows.select(F.col(column).alias("__value"))
+        .where("__value is not null")
+        .distinct()
+        .repartitionByRange("__value")
+        .sortWithinPartitions("__value")
+        .withColumn("__number", F.monotonically_increasing_id())
+    )
+    return (
+        rows.join(ranked, F.col(column) == F.col("__value"), "left")
+        .drop("__value", column)
+        .withColumnRenamed("__number", column)
+    )
 
 
 def curve_index(cells: Sequence[np.ndarray], bits: int) -> np.ndarray:
@@ -89,14 +105,19 @@ def shards(
 
     Shards are runs along the curve whose numbers of rows differ by one at most, so a
     group of equal rows is cut only where a shard is full. ``dims`` are numeric
-    expressions over ``rows``; ``tie`` are the columns that order rows of one cell. Nulls
-    have a cell of their own; equal rows are interchangeable. Columns named like those
-    added, or ``__dim_0`` and so on, must be left out of ``rows``. Only quantiles and one
-    count per partition are gathered, the latter in a window over those counts.
+    or string expressions over ``rows``, strings in the order of their bytes; ``tie`` are
+    the columns that order rows of one cell. Nulls have a cell of their own; equal rows are interchangeable; no rows give no rows. Columns
+    named like those added, or ``__dim_0`` and so on, must be left out of ``rows``. Only
+    quantiles and one count per partition are gathered, the latter in a window over those
+    counts.
     """
     names = [f"__dim_{i}" for i in range(len(dims))]
     own = rows.columns
-    placed = cut(rows.select(*own, *(d.cast("long").alias(n) for n, d in zip(names, dims.values(), strict=True))))
+    placed = rows.select(*own, *(d.alias(n) for n, d in zip(names, dims.values(), strict=True)))
+    for name, kind in placed.select(*names).dtypes:
+        if kind == "string":
+            placed = rank_strings(placed, name)
+    placed = cut(placed.select(*own, *(F.col(n).cast("long").alias(n) for n in names)))
     index = _curve_column(_cells(placed, names, bits), bits)
     order = ["curve", *tie, *(c for c in own if c not in tie)]
     ranged = (

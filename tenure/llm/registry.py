@@ -42,8 +42,8 @@ def op3_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
         "source",
     )
     dims = {
-        "lang": hilbert.prefix_number(F.col("lang")),
-        "source": hilbert.prefix_number(F.col("source")),
+        "lang": F.col("lang"),
+        "source": F.col("source"),
         "size": F.col("size"),
         "doc_id": F.col("doc_id"),
     }

@@ -1,7 +1,10 @@
 """Hilbert shards and source mixes on small tables and against SQL."""
 
 import itertools
+import math
 import os
+import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -51,6 +54,51 @@ def test_shards_of_documents(spark):
     assert (got[key].sort_values("doc_id").values == again[key].sort_values("doc_id").values).all()
 
 
+def brute_force_shards(rows, dims, tie, n_shards=8):
+    """(shard, slot) of every row by sorting cells of exact quantiles in plain Python."""
+    steps = (1 << hilbert.BITS) - 1
+    cells = []
+    for dim in dims:
+        values = sorted(dim(r) for r in rows if dim(r) is not None)
+        edges = [values[math.ceil(i / steps * len(values)) - 1] for i in range(1, steps)]
+        cells.append([0 if dim(r) is None else 1 + sum(dim(r) > e for e in edges) for r in rows])
+    curve = hilbert.curve_index([np.array(c) for c in cells], hilbert.BITS)
+    order = sorted(range(len(rows)), key=lambda i: (curve[i], *tie(rows[i])))
+    n, placed, used = len(rows), {}, Counter()
+    for rank, i in enumerate(order):
+        shard = rank * n_shards // n
+        placed[i] = (shard, used[shard])
+        used[shard] += 1
+    return placed
+
+
+def test_shards_against_sorted_cells(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang", "source").collect()
+    rows = [
+        (r.doc_id, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode()), r.lang, r.source)
+        for r in docs
+    ]
+    text = lambda at: lambda r: None if r[at] is None else r[at].encode()
+    right = brute_force_shards(
+        rows, [text(3), text(4), lambda r: r[1], lambda r: r[0]], lambda r: (r[2], r[0])
+    )
+    got = {r.doc_id: (r.shard, r.slot) for r in registry.op3_hilbert_shards(spark, SMALL).collect()}
+    assert got == {rows[i][0]: place for i, place in right.items()}
+
+
+def test_strings_that_begin_alike(spark):
+    # Long common beginnings, bytes above 127, empty and null strings.
+    names = [None, "", "common_crawl_2020", "common_crawl_2021", "common_crawl_2022", "é", "z"]
+    rows = [(i, names[i * 5 % 7]) for i in range(140)]
+    table = spark.createDataFrame(rows, "doc_id long, source string")
+    got = hilbert.shards(table, {"source": F.col("source")}, n_shards=7, tie=["doc_id"]).collect()
+    right = brute_force_shards(
+        rows, [lambda r: None if r[1] is None else r[1].encode()], lambda r: (r[0],), 7
+    )
+    assert {r.doc_id: (r.shard, r.slot) for r in got} == {rows[i][0]: p for i, p in right.items()}
+    assert len({(r.source, r.shard) for r in got}) == 7
+
+
 def test_manifest_and_files(spark, tmp_path):
     table = spark.createDataFrame([(i, i * i) for i in range(40)], "doc_id long, a long")
     got = hilbert.shards(table, {"a": F.col("a")}, n_shards=4)

@@ -155,9 +155,10 @@ def manifest(sharded: DataFrame, dims: Sequence[str]) -> DataFrame:
 
 
 def write(sharded: DataFrame, folder: str) -> None:
-    """One folder a shard, its rows in the order of the curve."""
+    """One folder a shard, its rows in the order of the curve, in as many files as ranges of
+    rows meet the shard."""
     (
-        sharded.repartition("shard")
+        sharded.repartitionByRange("shard", "slot")
         .sortWithinPartitions("shard", "slot")
         .write.partitionBy("shard")
         .parquet(folder)

@@ -29,6 +29,9 @@ PERCENT = 80
 TILE = 256
 # Sets of one size in a cluster are numbered in as many parts as this many bits tell apart.
 HEAD_BITS = 8
+# Widest bitmap of a set, in bits. Longer sets are told apart less well by it and are
+# intersected all the same.
+MOST_BITS = 1 << 16
 # Prefix members are known by this many bits of their hash; a clash only adds candidates.
 KEY_BITS = 48
 
@@ -201,7 +204,7 @@ def compare(
     """
     sizes = np.array([len(s) for s in sets], np.int64)
     longest = int(sizes.max(initial=1))
-    bits = max(64, 1 << (longest - 1).bit_length())
+    bits = min(max(64, 1 << (longest - 1).bit_length()), MOST_BITS)
     bitmap = np.zeros((len(sets), bits // 64), np.uint64)
     for i, members in enumerate(sets):
         odd = np.bincount((members.view(np.uint64) >> np.uint64(7)).astype(np.int64) % bits, minlength=bits) & 1

@@ -221,3 +221,14 @@ def test_words_over_block_borders(monkeypatch):
     assert [h.tolist() for h in hashing.shingle_sets(pa.array(texts), 1)] == whole
     assert [len(h) for h in whole] == [2, 0, 3, 0, 1, 1]
     assert [h.tolist() for h in hashing.shingle_sets(pa.array(["pad", *texts]).slice(1), 1)] == whole
+
+
+def test_texts_of_more_shingles_than_a_bitmap_has_bits(spark):
+    rng = random.Random(9)
+    long = [str(rng.randrange(10**6)) for _ in range(150_000)]
+    near = [w if k % 40 else "x" for k, w in enumerate(long)]
+    far = [w if k % 15 else "x" for k, w in enumerate(long)]
+    rows = [(3, " ".join(long)), (2, " ".join(near)), (1, " ".join(far)), (4, "a b c d e f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngrams.near_duplicates(docs).collect()}
+    assert got == {1: 1, 2: 2, 3: 2, 4: 4}

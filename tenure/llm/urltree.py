@@ -28,6 +28,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 MIN_PAGES, Z = 20, 3.0
 # Labelled pages that the prior of a template and of a host counts for.
 PRIOR = 10.0
+# Parts that the paths of a node are dealt into where they join what is known of it.
+SALTS = 32
 # Smoothed share of bad pages that blocks a template.
 BLOCK_AT = 0.5
 
@@ -82,6 +84,14 @@ def _apart(n: str, labelled: str, bad: str) -> Column:
     return (F.col(n) >= MIN_PAGES) & F.coalesce(gap > Z * error, F.lit(False))
 
 
+def _told(paths: DataFrame, known: DataFrame, on: list[str]) -> DataFrame:
+    """``paths`` with the one row of ``known`` for their ``on``, if there is one. A node may have
+    a third of all paths; ``known`` has far fewer rows, which are copied for each part."""
+    copies = known.withColumn("salt", F.explode(F.lit(list(range(SALTS))).cast("array<long>")))
+    salt = F.pmod(F.xxhash64("segments"), F.lit(SALTS))
+    return paths.withColumn("salt", salt).join(copies, [*on, "salt"], "left").drop("salt")
+
+
 def templates(paths: DataFrame) -> DataFrame:
     """``paths`` (``host``, ``segments``, ``n`` pages, ``labelled``, ``bad``) with ``template``.
 
@@ -104,7 +114,7 @@ def templates(paths: DataFrame) -> DataFrame:
         rest = F.repeat(F.lit("/*"), F.size("segments") - level)
         # Written at every level: what follows reads it several times.
         followed = cut(
-            tree.join(nodes, ["host", "template"], "left")
+            _told(tree, nodes, ["host", "template"])
             .withColumn("segment", segment)
             .withColumn("open", F.col("all_n").isNotNull() & (F.col("segment") != ""))
         )
@@ -133,14 +143,13 @@ def templates(paths: DataFrame) -> DataFrame:
         own = branches.where("own").select("host", "template", "segment", "own")
         variable = F.when(F.col("kind"), F.concat(F.lit("/*"), "extension")).otherwise(F.lit("/*"))
         step = F.when(F.col("own"), F.concat(F.lit("/"), "segment")).otherwise(variable)
-        tree = cut(
-            followed.where("open")
-            .select("host", "segments", *sums, "template", "segment")
-            .withColumn("extension", F.regexp_extract("segment", r"(\.[a-zA-Z]{1,5})$", 1))
-            .join(own, ["host", "template", "segment"], "left")
-            .join(alike, ["host", "template", "extension"], "left")
-            .select("host", "segments", *sums, F.concat("template", step).alias("template"))
+        stepping = followed.where("open").select(
+            "host", "segments", *sums, "template", "segment",
+            F.regexp_extract("segment", r"(\.[a-zA-Z]{1,5})$", 1).alias("extension"),
         )
+        stepping = _told(stepping, own, ["host", "template", "segment"])
+        stepping = _told(stepping, alike, ["host", "template", "extension"])
+        tree = cut(stepping.select("host", "segments", *sums, F.concat("template", step).alias("template")))
         level += 1
     return reduce(DataFrame.unionByName, done) if done else tree
 
@@ -196,7 +205,7 @@ def judge(
         .select("host", "template", ((F.col("bad") + prior * F.col("host_share"))
                                      / (F.col("labelled") + prior)).alias("bad_share"))
     )
-    judged = found.select("host", "segments", "template").join(shares, ["host", "template"])
+    judged = _told(found.select("host", "segments", "template"), shares, ["host", "template"])
     rule = matching_rule(rules, F.col("host"), F.col("path"))
     allowed = F.coalesce(F.col("match.allow"), F.col("bad_share") <= block_at)
     return (

@@ -226,7 +226,8 @@ def test_words_over_block_borders(monkeypatch):
 def test_texts_of_more_shingles_than_a_bitmap_has_bits(spark):
     rng = random.Random(9)
     long = [str(rng.randrange(10**6)) for _ in range(150_000)]
-    near = [w if k % 40 else "x" for k, w in enumerate(long)]
+    # Every changed word changes five shingles: similarities of 0.85 and 0.5.
+    near = [w if k % 60 else "x" for k, w in enumerate(long)]
     far = [w if k % 15 else "x" for k, w in enumerate(long)]
     rows = [(3, " ".join(long)), (2, " ".join(near)), (1, " ".join(far)), (4, "a b c d e f")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

@@ -25,13 +25,14 @@ from tenure.llm.hashing import SPACE
 
 # Words of a block.
 BLOCK = 32
-# Hexadecimal digits of the bucket: 4 096 buckets a source.
-BUCKET_DIGITS = 3
+# Hexadecimal digits of the draw that are counted, and bits that a bucket has at most.
+DIGITS = 5
+MOST_BITS = 4 * DIGITS
 WEIGHTS = (5, 2, 1)
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...], share: float, repeats: int) -> DataFrame:
-    """``sources`` (``source``, ``source_size``) with ``target``.
+    """``sources`` (``source``, ``source_size`` and others) with ``target``.
 
     Sources are weighed in the order of their code points, null last, by ``weights`` in
     turn. The table has a row per source, so its windows hold no more than that.
@@ -59,14 +60,56 @@ def targets(sources: DataFrame, weights: tuple[int, ...], share: float, repeats:
             "target",
             F.least("most", F.coalesce(F.col("level") * F.col("weight"), F.col("most"))),
         )
-        .select("source", "source_size", "target")
+        .select(*sources.columns, "target")
     )
 
 
-def quotas(target: Column, n_shards: int, block: int) -> Column:
-    """Blocks of a source that the first 0, 1, ... ``n_shards`` shards take together."""
-    return F.array(
-        *(F.floor(target * j / (n_shards * block) + 0.5).cast("long") for j in range(n_shards + 1))
+def quotas(sources: DataFrame, share: float, n_shards: int, block: int) -> DataFrame:
+    """``source`` and ``seats``: the blocks that the first 0, 1, ... ``n_shards`` shards take
+    together of it, from ``source``, ``source_size`` and ``target``.
+
+    With n sources and a house of H, rounding shares of H - n/2 gives no more than H seats,
+    all among the highest quotients, and rounding shares of H + n/2 no fewer than H. Only the
+    seats between, at most 2n and two more a source for rounding errors, are compared.
+    """
+    everything = Window.partitionBy(F.lit(0))
+    whole = F.lit(float(share)) * F.sum("source_size").over(everything)
+    houses = (
+        sources.select(
+            "source",
+            "target",
+            whole.alias("whole"),
+            F.count(F.lit(1)).over(everything).alias("n"),
+        )
+        .withColumn("shard", F.explode(F.sequence(F.lit(1), F.lit(n_shards))))
+        .withColumn(
+            "house", F.floor(F.floor(F.col("whole") / block + 0.5) * F.col("shard") / n_shards)
+        )
+        .withColumn("part", F.coalesce(F.try_divide("target", "whole"), F.lit(0.0)))
+    )
+
+    def rounded(house: Column) -> Column:
+        return F.floor(F.col("part") * house + 0.5)
+
+    of_house = Window.partitionBy("shard")
+    open_seats = (
+        houses.withColumn("sure", F.greatest(rounded(F.col("house") - F.col("n") / 2) - 1, F.lit(0)))
+        .withColumn("left", F.col("house") - F.sum("sure").over(of_house))
+        .withColumn("seat", F.explode(F.sequence(
+            F.col("sure") + 1, F.greatest(F.col("sure"), rounded(F.col("house") + F.col("n") / 2)) + 1
+        )))
+        .withColumn("quotient", F.col("target") / (2 * F.col("seat") - 1))
+    )
+    place = F.row_number().over(of_house.orderBy(F.desc("quotient"), F.asc_nulls_last("source")))
+    given = (
+        open_seats.withColumn("won", (place <= F.col("left")) & (F.col("quotient") > 0))
+        .groupBy("source", "shard")
+        .agg((F.max("sure") + F.count_if("won")).alias("seats"))
+    )
+    # A row per shard, so the list has no more.
+    by_shard = F.sort_array(F.collect_list(F.struct("shard", "seats")))
+    return given.groupBy("source").agg(
+        F.concat(F.array(F.lit(0).cast("long")), F.transform(by_shard, lambda s: s["seats"])).alias("seats")
     )
 
 
@@ -89,38 +132,59 @@ def mix(
     ``spans`` are (shard, pass, from, to): words ``from`` up to ``to`` of the text go into
     the shard; ``pass`` counts the rounds through the source. ``taken`` adds them up. A
     null text has no words, and a source without words a target of 0; a null source is a
-    source of its own, and so are empty ones. Rows with the same id and size are
-    interchangeable. Each source's words come within half a block of its target, unless
-    that is all it has. Carried columns must not have the names of those added.
+    source of its own, and so are empty ones. Rows are drawn by id, those without one by
+    text; rows that agree in it and in size are interchangeable, and one task orders them.
+    Each source's words come near its target, unless that is all it has: within a block,
+    but for the blocks by which all roundings together miss the house. Carried columns must
+    not have the names of those added. An empty table gives none.
     """
     key = F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), "source"))
+    told = F.when(F.col(id_col).isNull(), F.concat(F.lit("|"), F.col(text_col)))
+    draw = F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string"), told)
     sized = docs.select(
         F.col(id_col).alias("id"),
         F.col(source_col).alias("source"),
         n_words(F.col(text_col)).alias("size"),
-        F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string"))).alias("draw"),
+        F.md5(draw).alias("draw"),
         F.struct(*(F.col(c) for c in carry), F.lit(0).alias("__")).alias("carried"),
-    ).withColumns({"key": key, "bucket": F.substring("draw", 1, BUCKET_DIGITS)})
-    buckets = cut(
-        sized.groupBy("key", "source", "bucket").agg(F.sum("size").alias("bucket_size"))
+    ).withColumns({"key": key, "beginning": F.conv(F.substring("draw", 1, DIGITS), 16, 10).cast("int")})
+    counted = cut(
+        sized.groupBy("key", "source", "beginning").agg(
+            F.sum("size").alias("bucket_size"), F.count(F.lit(1)).alias("n_rows")
+        )
     )
-    sources = targets(
-        buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")),
+    weighed = targets(
+        counted.groupBy("key", "source").agg(
+            F.sum("bucket_size").alias("source_size"), F.sum("n_rows").alias("n_rows")
+        ),
         weights, share, repeats,
-    ).withColumns({"key": key, "seats": quotas(F.col("target"), n_shards, block)})
+    )
+    bits = F.least(F.ceil(F.log2("n_rows") / 2), F.lit(MOST_BITS)).cast("int")
+    seats = quotas(weighed, min(share, repeats), n_shards, block).withColumn("key", key)
+    sources = cut(
+        weighed.withColumn("bits", bits)
+        .join(seats.drop("source"), "key")
+        .select("key", "source_size", "target", "seats", "bits")
+    )
+    bucket = F.expr(f"shiftright(beginning, {MOST_BITS} - bits)")
     line = Window.partitionBy("key").orderBy("bucket")
     starts = (
-        buckets.withColumn("start", F.sum("bucket_size").over(line) - F.col("bucket_size"))
+        counted.join(sources.select("key", "bits"), "key")
+        .groupBy("key", bucket.alias("bucket"))
+        .agg(F.sum("bucket_size").alias("bucket_size"))
+        .withColumn("start", F.sum("bucket_size").over(line) - F.col("bucket_size"))
         .select("key", "bucket", "start")
-        .join(sources.drop("source"), "key")
     )
     in_bucket = (
         Window.partitionBy("key", "bucket")
         .orderBy("draw", "size")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    placed = sized.join(starts, ["key", "bucket"]).withColumn(
-        "start", F.col("start") + F.sum("size").over(in_bucket) - F.col("size")
+    placed = (
+        sized.join(sources, "key")
+        .withColumn("bucket", bucket)
+        .join(starts, ["key", "bucket"])
+        .withColumn("start", F.col("start") + F.sum("size").over(in_bucket) - F.col("size"))
     )
     spans = F.flatten(
         F.array(*(_spans(turn, shard, block) for shard in range(n_shards) for turn in range(repeats)))

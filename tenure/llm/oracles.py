@@ -6,7 +6,8 @@ MIX = r"""
 WITH sized AS (
   SELECT doc_id, source,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
-         md5(concat_ws('|', '7', doc_id::VARCHAR)) AS draw
+         md5(concat_ws('|', '7', doc_id::VARCHAR,
+                       CASE WHEN doc_id IS NULL THEN '|' || text END)) AS draw
   FROM documents
 ), sources AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
@@ -27,12 +28,27 @@ WITH sized AS (
   SELECT source, source_size,
          least(most, max(CASE WHEN level <= full_at THEN level END) OVER () * weight) AS target
   FROM levels
+), quotients AS (
+  -- More seats than a source can get; every one has a quotient.
+  SELECT source, house, target / (2 * k - 1) AS quotient
+  FROM (SELECT source, target, unnest(range(1, (target / 32)::BIGINT + n + 3)) AS k, house
+        FROM (SELECT *, count(*) OVER () AS n,
+                     floor(1.5::DOUBLE * sum(source_size) OVER () / 32 + 0.5) AS house
+              FROM targets))
+  WHERE target > 0
+), seated AS (
+  SELECT source, count(*) * 32 AS seats
+  FROM (SELECT *, row_number() OVER (ORDER BY quotient DESC, source NULLS LAST) AS place
+        FROM quotients)
+  WHERE place <= house
+  GROUP BY source
 ), placed AS (
   SELECT s.doc_id, s.size, t.source_size, t.target,
          sum(s.size) OVER (PARTITION BY s.source ORDER BY s.draw, s.size
                            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - s.size AS start,
-         floor(t.target / 32 + 0.5) * 32 AS seats
+         coalesce(q.seats, 0) AS seats
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+  LEFT JOIN seated q ON s.source IS NOT DISTINCT FROM q.source
 )
 SELECT doc_id, size, source_size, target,
        (greatest(least(seats - start, size), 0)

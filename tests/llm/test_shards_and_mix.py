@@ -128,6 +128,53 @@ def waterfill(sizes, weights, share=1.5, repeats=2):
     return target
 
 
+def sainte_lague(target, house):
+    """Seat by seat, each to the highest quotient."""
+    seats = dict.fromkeys(target, 0)
+    order = sorted(target, key=lambda s: (s is None, s or ""))
+    for _ in range(house):
+        best = max(order, key=lambda s: (target[s] / (2 * seats[s] + 1), -order.index(s)))
+        seats[best] += 1
+    return seats
+
+
+@pytest.mark.parametrize("block", [1, 7, 32])
+def test_quotas_are_seats_of_the_highest_quotients(spark, block):
+    rng = np.random.default_rng(block)
+    # Many equal small sources, whose roundings all miss the house the same way, a large one,
+    # ties, sources without words and a null one.
+    sizes = {None: 900, "big": 20_000, "none": 0, "empty": 0}
+    sizes |= {f"even{i:02}": 48 for i in range(40)} | {f"r{i:02}": int(rng.integers(0, 400)) for i in range(20)}
+    table = spark.createDataFrame(
+        [(s, n, float(n) * 1.5) for s, n in sizes.items()], "source string, source_size long, target double"
+    )
+    got = {r.source: r.seats for r in mixing.quotas(table, 1.5, 5, block).collect()}
+    assert set(got) == set(sizes)
+    house = math.floor(1.5 * sum(sizes.values()) / block + 0.5)
+    for j in range(6):
+        right = sainte_lague({s: 1.5 * n for s, n in sizes.items()}, house * j // 5)
+        assert {s: v[j] for s, v in got.items()} == right
+    assert all(a <= b for v in got.values() for a, b in itertools.pairwise(v))
+
+
+def test_quotas_without_words(spark):
+    table = spark.createDataFrame([("a", 0, 0.0), (None, 0, 0.0)], "source string, source_size long, target double")
+    assert [r.seats for r in mixing.quotas(table, 1.5, 2, 32).collect()] == [[0, 0, 0]] * 2
+
+
+def test_rows_without_an_id_are_spread_by_text(spark):
+    rows = [(None, f"w{i} x y z", "a") for i in range(400)] + [(None, "same words", "a")] * 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs, carry=("text",)).collect()
+    size = 4 * 400 + 2 * 20
+    assert len(got) == 420 and sum(r.taken for r in got) == math.floor(1.5 * size / 32 + 0.5) * 32
+    again = mixing.mix(docs.repartition(5), carry=("text",)).collect()
+    assert Counter((r.text, r.taken) for r in again) == Counter((r.text, r.taken) for r in got)
+    # Drawn by text, the rows taken twice are not those that come first.
+    twice = [r.text for r in got if r.taken == 2 * r.size and r.size == 4]
+    assert 0 < len(twice) < 400 and sorted(twice) != sorted(t for _, t, _ in rows[: len(twice)])
+
+
 def test_mix_by_hand(spark):
     rng = np.random.default_rng(1)
     names = ["b", "a", None, "", "é", "Z"]
@@ -153,7 +200,10 @@ def test_mix_by_hand(spark):
         assert r.taken == sum(s["to"] - s["from"] for s in r.spans)
         taken[source] = taken.get(source, 0) + r.taken
         target[source] = r.target
-    assert all(abs(taken[s] - target[s]) <= mixing.BLOCK / 2 for s in taken)
+    house = math.floor(1.5 * sum(sizes.values()) / mixing.BLOCK + 0.5)
+    seats = sainte_lague({s: expected[s] for s in sizes}, house)
+    assert taken == {s: min(seats[s] * mixing.BLOCK, 2 * sizes[s]) for s in sizes}
+    assert all(abs(taken[s] - target[s]) <= mixing.BLOCK for s in taken)
     again = {(r.doc_id, r.size, r.taken) for r in mixing.mix(docs.repartition(7)).collect()}
     assert again == {(r.doc_id, r.size, r.taken) for r in got}
 

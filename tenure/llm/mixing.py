@@ -28,6 +28,8 @@ BLOCK = 32
 # Hexadecimal digits of the draw that are counted, and bits that a bucket has at most.
 DIGITS = 5
 MOST_BITS = 4 * DIGITS
+# Parts into which the rows of a source are dealt where they meet what is known of it.
+PARTS = 64
 WEIGHTS = (5, 2, 1)
 
 
@@ -148,6 +150,7 @@ def mix(
         F.md5(draw).alias("draw"),
         F.struct(*(F.col(c) for c in carry), F.lit(0).alias("__")).alias("carried"),
     ).withColumns({"key": key, "beginning": F.conv(F.substring("draw", 1, DIGITS), 16, 10).cast("int")})
+    dealt = F.pmod("beginning", F.lit(PARTS))
     counted = cut(
         sized.groupBy("key", "source", "beginning").agg(
             F.sum("size").alias("bucket_size"), F.count(F.lit(1)).alias("n_rows")
@@ -165,11 +168,12 @@ def mix(
         weighed.withColumn("bits", bits)
         .join(seats.drop("source"), "key")
         .select("key", "source_size", "target", "seats", "bits")
-    )
+    ).withColumn("dealt", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
     bucket = F.expr(f"shiftright(beginning, {MOST_BITS} - bits)")
     line = Window.partitionBy("key").orderBy("bucket")
     starts = (
-        counted.join(sources.select("key", "bits"), "key")
+        counted.withColumn("dealt", dealt)
+        .join(sources.select("key", "dealt", "bits"), ["key", "dealt"])
         .groupBy("key", bucket.alias("bucket"))
         .agg(F.sum("bucket_size").alias("bucket_size"))
         .withColumn("start", F.sum("bucket_size").over(line) - F.col("bucket_size"))
@@ -181,7 +185,8 @@ def mix(
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     placed = (
-        sized.join(sources, "key")
+        sized.withColumn("dealt", dealt)
+        .join(sources, ["key", "dealt"])
         .withColumn("bucket", bucket)
         .join(starts, ["key", "bucket"])
         .withColumn("start", F.col("start") + F.sum("size").over(in_bucket) - F.col("size"))

@@ -70,42 +70,39 @@ def account_lookup(relation: DataFrame, right: DataFrame, how: str) -> DataFrame
 
 
 def expand_join(
-    left: DataFrame, right: DataFrame, on: str | list[str], pairs: int = PAIRS_PER_TASK
+    left: DataFrame,
+    right: DataFrame,
+    on: str | list[str],
+    n_rows: DataFrame,
+    pairs: int = PAIRS_PER_TASK,
 ) -> DataFrame:
     """Inner join where both sides may have many rows per key.
 
-    The work is the output, as nearly every pair is part of the result; what matters
-    is that no task makes all pairs of a large key. A key with more than ``pairs`` of them is
-    cut into a grid: its left rows are dealt into a number of parts and its right rows
-    likewise, each side is copied to the other's parts, and every pair meets in one
-    cell. The part of a row comes from its content, so a recomputed task deals the same
-    way; copies of a row are told apart by their input partition.
+    ``n_rows`` has a row for each key that is joined, with ``n_left`` and ``n_right``, the rows
+    it has on either side; it comes from totals that a query has anyway, and what it leaves
+    out ends at its first join. The work is the output, as nearly every pair is part of the
+    result; what matters is that no task makes all pairs of a large key. A key with more than
+    ``pairs`` of them is cut into a grid: its left rows are dealt into a number of parts and
+    its right rows likewise, each side is copied to the other's parts, and every pair meets
+    in one cell. The part of a row comes from its content, so a recomputed task deals the
+    same way; copies of a row are told apart by their input partition.
     """
     on = _names(on)
-
-    def counted(df: DataFrame, name: str) -> DataFrame:
-        keyed = df.where(all_present(on)).groupBy(*on)
-        return keyed.agg(F.count(F.lit(1)).cast("double").alias(name))
-
-    side = F.ceil(F.sqrt(F.col("_n_left") * F.col("_n_right") / pairs))
-    grid = (
-        counted(left, "_n_left")
-        .join(counted(right, "_n_right"), on)
-        .where(F.col("_n_left") * F.col("_n_right") > pairs)
-        .select(
-            *on,
-            F.least(side, F.col("_n_left")).cast("int").alias("_left"),
-            F.least(side, F.col("_n_right")).cast("int").alias("_right"),
-        )
+    n_left, n_right = F.col("n_left").cast("double"), F.col("n_right").cast("double")
+    side = F.ceil(F.sqrt(n_left * n_right / pairs))
+    grid = n_rows.select(
+        *on,
+        F.greatest(F.least(side, n_left), F.lit(1)).cast("int").alias("_left"),
+        F.greatest(F.least(side, n_right), F.lit(1)).cast("int").alias("_right"),
     )
 
     def deal(df: DataFrame, own: str, other: str) -> DataFrame:
         content = F.xxhash64(*df.columns, F.spark_partition_id())
-        part = F.pmod(content, F.coalesce(own, F.lit(1))).cast("int")
-        copies = F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1)
+        part = F.pmod(content, F.col(own)).cast("int")
+        copies = F.sequence(F.lit(0), F.col(other) - 1)
         return (
             df.where(all_present(on))
-            .join(grid, on, "left")
+            .join(grid, on)
             .select(*df.columns, part.alias(f"{own}_part"), copies.alias("_copies"))
             .withColumn(f"{other}_part", F.explode("_copies"))
             .drop("_copies")

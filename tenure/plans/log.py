@@ -99,17 +99,6 @@ def on_unchanged_accounts(
     return account_lookup(relation, accounts, "left_semi")
 
 
-def _beside_first_owners(
-    relation: DataFrame, chosen: DataFrame, history: DataFrame, rules: LogRules
-) -> DataFrame:
-    """``chosen``, a part of ``relation``, beside each first-owner row of its account.
-
-    Relations are cut down to the accounts in question before they meet the log
-    rows, by a join that needs one row per account only.
-    """
-    return expand_join(chosen, first_owner_rows(history, rules), "account_id")
-
-
 def _owned(relation: DataFrame) -> DataFrame:
     """Live relations with an owner, assigned or not."""
     return relation.where(not_deleted() & has_owner()).select("id", "account_id", "owner")
@@ -118,10 +107,20 @@ def _owned(relation: DataFrame) -> DataFrame:
 def first_owner_evidence(
     relation: DataFrame, history: DataFrame, rules: LogRules = RULES
 ) -> DataFrame:
-    """Owned relations on unchanged accounts beside what the log says of them."""
+    """Owned relations on unchanged accounts beside what the log says of them.
+
+    The totals of the accounts in question cut both tables down to them and say how many
+    pairs there will be.
+    """
     owned = _owned(relation)
-    chosen = on_unchanged_accounts(owned, history, rules)
-    return _beside_first_owners(owned, chosen, history, rules).select(
+    n_rows = (
+        owned.where(F.col("account_id").isNotNull())
+        .groupBy("account_id")
+        .agg(F.count(F.lit(1)).alias("n_left"))
+        .join(unchanged_accounts(history, rules), "account_id")
+        .select("account_id", "n_left", F.col("n_first").alias("n_right"))
+    )
+    return expand_join(owned, first_owner_rows(history, rules), "account_id", n_rows).select(
         "id", "account_id", "owner", "changed_at", "old_value", "new_value"
     )
 

@@ -309,7 +309,12 @@ def test_large_keys_are_dealt_into_parts(spark, rows):
         spark.sql("select cast(null as long), 1L")
     )
     right = spark.range(40).selectExpr("id % 3 as k", "id as b")
-    dealt = expand_join(left, right, "k", pairs=50)
+    n_rows = left.groupBy("k").count().withColumnRenamed("count", "n_left").join(
+        right.groupBy("k").count().withColumnRenamed("count", "n_right"), "k"
+    )
+    dealt = expand_join(left, right, "k", n_rows, pairs=50)
     assert rows(dealt) == rows(left.join(right, "k"))
+    some = expand_join(left, right, "k", n_rows.where("k = 1"), pairs=50)
+    assert rows(some) == rows(left.join(right, "k").where("k = 1"))
     tasks = dealt.where("k = 0").selectExpr("spark_partition_id() p").distinct().count()
     assert tasks > 1

@@ -78,6 +78,8 @@ def moved(rows, kind=r"hash|range|Single"):
         ("resolve_single_change", 2, 1, 5),
         ("first_owner_candidates", 2, 1, 5),
         ("first_recorded_owner", 2, 1, 4),
+        ("first_owner_evidence", 2, 2, 6),
+        ("first_owner_agreement", 1, 2, 4),
     ],
 )
 def test_executed_plans_read_little_and_move_little(spark, name, relations, logs, shuffles):

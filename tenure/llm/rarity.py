@@ -16,8 +16,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SLICES = 64
-# Hashes that a task counts at a time.
-AT_ONCE = 1 << 21
 # What a cell that was hit once holds.
 ONCE = 8
 
@@ -36,16 +34,10 @@ def count(
 
     def tally(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << bits, np.uint32)
-        held: list[np.ndarray] = []
         for batch in given:
             for hashes in hashes_of(batch["text"]):
-                held.append(cell(hashes, bits))
-                if sum(map(len, held)) >= AT_ONCE:
-                    total += np.bincount(np.concatenate(held), minlength=1 << bits).astype(np.uint32)
-                    held = []
-        if held:
-            cells, n = np.unique(np.concatenate(held), return_counts=True)
-            total[cells] += n.astype(np.uint32)
+                # In place: a second table of all cells would be larger than the first.
+                np.add.at(total, cell(hashes, bits), np.uint32(1))
         for number, part in enumerate(total.reshape(SLICES, size)):
             if part.any():
                 arrays = [pa.array([number], pa.int32()), pa.array([part.tobytes()], pa.binary())]

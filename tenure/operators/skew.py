@@ -52,7 +52,9 @@ def lookup_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str
     """Join many ``left`` rows to the one ``right`` row of their key.
 
     Rows without a key match nothing. Where they stay they are dealt out by their content,
-    so that they do not meet in one task; ``left`` is read once.
+    so that they do not meet in one task; ``left`` is read once. The zero of the other side is
+    taken from its key: Spark would move a literal out of the join's keys, and with it the
+    dealing.
     """
     on = _names(on)
     if how not in ("left", "left_anti"):
@@ -60,7 +62,7 @@ def lookup_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str
     told = [f.name for f in left.schema if "map" not in f.dataType.simpleString()]
     part = 1 + F.pmod(F.xxhash64(*told), F.lit(MISSING_PARTS))
     salted = left.withColumn("_salt", F.when(all_present(on), F.lit(0).cast("long")).otherwise(part))
-    there = right.withColumn("_salt", F.lit(0).cast("long"))
+    there = right.withColumn("_salt", F.pmod(F.xxhash64(*on), F.lit(1)))
     return salted.join(there, [*on, "_salt"], how).drop("_salt")
 
 

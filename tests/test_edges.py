@@ -1,11 +1,14 @@
 """Hand-made rows with literal answers: nulls, pools, ties, names, repairs."""
 
 import datetime as dt
+from collections import Counter
 
+import pytest
 from conftest import day
+from pyspark.sql import functions as F
 
 from tenure.functions.predicates import LogRules
-from tenure.operators.skew import expand_join
+from tenure.operators.skew import expand_join, lookup_join
 from tenure.plans import counts, log, repair, windows
 
 JAN, FEB = day("01-01"), day("02-01")
@@ -318,3 +321,28 @@ def test_large_keys_are_dealt_into_parts(spark, rows):
     assert rows(some) == rows(left.join(right, "k").where("k = 1"))
     tasks = dealt.where("k = 0").selectExpr("spark_partition_id() p").distinct().count()
     assert tasks > 1
+
+
+@pytest.mark.parametrize(("how", "expected"), [("left", 2000), ("left_anti", 1800)])
+def test_rows_without_a_key_are_dealt_out(spark, how, expected):
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.shuffle.partitions": "8",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        left = spark.range(2000).selectExpr("if(id % 10 = 0, id, null) AS k", "id")
+        right = spark.range(2000).selectExpr("id AS k", "2 * id AS v")
+        joined = lookup_join(left, right, "k", how).withColumn("part", F.spark_partition_id())
+        found = joined.collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len({r.id for r in found}) == len(found) == expected
+    if how == "left":
+        assert all(r.v == (None if r.k is None else 2 * r.k) for r in found)
+    sizes = Counter(r.part for r in found if r.k is None)
+    assert len(sizes) == 8 and max(sizes.values()) < 600

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenure.llm.common import cut
+from tenure.llm.common import cut, release
 
 
 def _stars(edges: DataFrame) -> DataFrame:
@@ -47,5 +47,8 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = (sums["n"], sums["s"])
         current = cut(_stars(current))
+    # What the edges were made from may be far larger than they are. Asked for here and not
+    # at once, as listeners still hold a plan that has just run.
+    release(current.sparkSession)
     ends = F.array("u", "v")
     return current.select(F.explode(ends).alias("id"), F.col("v").alias("component")).distinct()

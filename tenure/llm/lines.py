@@ -27,6 +27,7 @@ from tenure.llm.hashing import BLOCK, NEWLINE, bytes_of, fingerprints, words
 from tenure.llm.pivots import forest
 from tenure.llm.rarity import ONCE, cell, count
 from tenure.llm.setjoin import (
+    MOST_BITS,
     PERCENT,
     TILE,
     clusters,
@@ -106,10 +107,10 @@ def _sets(column: pa.Array, counts: np.ndarray) -> Iterator[Block]:
 
 
 def describe(docs: DataFrame, shared_counts) -> DataFrame:
-    """Every line with words: ``id``, ``content``, ``line``, ``fp`` and ``n``; the parities of all its
-    words in 128 bits, ``low`` and ``high``; and ``prefix``, the words of its prefix that any other
-    line may have, each with its place in the order. A batch gives the prefix of a repeated
-    line once, and words that were counted once have no other line."""
+    """Every line with words: ``id``, ``content``, ``line``, ``n_lines`` of its text, ``fp`` and ``n``; the
+    parities of all its words in 128 bits, ``low`` and ``high``; and ``prefix``, the words of its
+    prefix that any other line may have, each with its place in the order. A batch gives the
+    prefix of a repeated line once, and words that were counted once have no other line."""
 
     def run(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared_counts.value
@@ -131,33 +132,37 @@ def describe(docs: DataFrame, shared_counts) -> DataFrame:
                 packed = (key[known] >> np.uint64(PLACE_BITS) << np.uint64(PLACE_BITS)).view(np.int64) | place
                 low, high = _parities(block)
                 taken = pa.array(block.row)
+                # A block holds whole texts.
+                n_lines = np.bincount(block.row - block.row[0])[block.row - block.row[0]]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch["id"].take(taken),
                         batch["content"].take(taken),
                         pa.array(block.line.astype(np.int32)),
+                        pa.array(n_lines),
                         pa.array(block.fp),
                         pa.array(block.size.astype(np.int32)),
                         pa.array(low),
                         pa.array(high),
                         pa.ListArray.from_arrays(offsets, pa.array(packed)),
                     ],
-                    names=["id", "content", "line", "fp", "n", "low", "high", "prefix"],
+                    names=["id", "content", "line", "n_lines", "fp", "n", "low", "high", "prefix"],
                 )
 
-    ddl = "id long, content long, line int, fp long, n int, low long, high long, prefix array<long>"
+    ddl = (
+        "id long, content long, line int, n_lines long, fp long, n int, low long, high long, "
+        "prefix array<long>"
+    )
     return docs.mapInArrow(run, ddl)
 
 
 def postings(lines: DataFrame) -> DataFrame:
-    """The prefixes of all lines in lists by word: ``key``, ``place``, ``fp``, ``n``, ``low``, ``high``,
-    ordered by key, size and line."""
-    key, place = F.shiftright("word", PLACE_BITS), F.col("word").bitwiseAND((1 << PLACE_BITS) - 1)
+    """The prefixes of all lines in lists by word: ``word`` with its place, ``fp``, ``n``, ``low``,
+    ``high``, ordered by word: Spark sorts by the digits of a single number, without comparing."""
     return (
         lines.select("fp", "n", "low", "high", F.explode("prefix").alias("word"))
-        .repartition(key)
-        .select(key.alias("key"), "fp", "n", place.cast("int").alias("place"), "low", "high")
-        .sortWithinPartitions("key", "n", "fp")
+        .repartition(F.shiftright("word", PLACE_BITS))
+        .sortWithinPartitions("word")
     )
 
 
@@ -173,9 +178,9 @@ def _parities(block: Block) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _alike(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of postings ordered by key, size and line, a forest of the pairs in each list that
-    sizes, places and parities allow to be similar."""
-    names = ["key", "fp", "n", "place", "low", "high"]
+    """Of postings ordered by word, a forest of the pairs in each list that sizes, places and
+    parities allow to be similar."""
+    names = ["word", "fp", "n", "low", "high"]
     held: list[np.ndarray] | None = None
     for batch in given:
         rows = [batch[name].to_numpy(zero_copy_only=False) for name in names]
@@ -184,12 +189,23 @@ def _alike(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(rows[0]):
             continue
         # The last list may go on in the next batch.
-        begin = int(np.searchsorted(rows[0], rows[0][-1]))
+        begin = int(np.searchsorted(rows[0], rows[0][-1] >> PLACE_BITS << PLACE_BITS))
         held = [r[begin:] for r in rows]
         if begin:
-            yield _forest([r[:begin] for r in rows])
+            yield _forest(_by_size([r[:begin] for r in rows]))
     if held is not None:
-        yield _forest(held)
+        yield _forest(_by_size(held))
+
+
+def _by_size(postings: list[np.ndarray]) -> list[np.ndarray]:
+    """Key, line, size, place and parities of postings, in the order of key and size."""
+    word, fp, n, low, high = postings
+    key = word >> PLACE_BITS
+    number = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]]))
+    # Sizes have 31 bits.
+    order = np.argsort((number << 32) | n)
+    place = word & ((1 << PLACE_BITS) - 1)
+    return [r[order] for r in (key, fp, n.astype(np.int64), place, low, high)]
 
 
 def _may_match(rows: list[np.ndarray], i: np.ndarray | int, j: np.ndarray) -> np.ndarray:
@@ -206,7 +222,6 @@ def _may_match(rows: list[np.ndarray], i: np.ndarray | int, j: np.ndarray) -> np
 
 def _forest(rows: list[np.ndarray]) -> pa.RecordBatch:
     key, fp = rows[:2]
-    rows[2], rows[3] = rows[2].astype(np.int64), rows[3].astype(np.int64)
     cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
     lengths = np.diff(cuts)
     a, b = [], []
@@ -228,7 +243,7 @@ def _forest(rows: list[np.ndarray]) -> pa.RecordBatch:
     moved = np.flatnonzero(root != np.arange(len(fp)))
     a, b = [fp[moved]], [fp[root[moved]]]
     for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
-        if end - begin > SHORT and fp[begin] != fp[end - 1]:
+        if end - begin > SHORT and (fp[begin:end] != fp[begin]).any():
             for one, other in _long_list(rows, begin, end):
                 a.append(one)
                 b.append(other)
@@ -256,53 +271,65 @@ def _matched(given_key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     bring a line more than once; it counts once, and never as its own match."""
     _, first, second = (k.as_py() for k in given_key)
     once = np.unique(table["fp"].to_numpy(), return_index=True)[1]
-    table = table.take(pa.array(np.sort(once)))
-    prints, tile = table["fp"].to_numpy(), table["tile"].to_numpy()
-    sets = [np.asarray(s.values) for s in table["members"].combine_chunks()]
+    table = table.take(pa.array(once))
     ids = table["id"].fill_null(np.iinfo(np.int64).max).to_numpy()
     missing = table["id"].is_null().to_numpy()
-    age = np.empty(len(prints), np.int64)
-    by_age = np.lexsort((table["line"].to_numpy(), table["content"].to_numpy(), ids, missing))
-    age[by_age] = np.arange(len(prints))
-    sizes = np.array([len(s) for s in sets], np.int64)
-    lengths = prefix_length(sizes, 1)
-    prefix = [set(s[:k].tolist()) for s, k in zip(sets, lengths, strict=True)]
-    # Which lines have a word in their prefix: only those are candidates of a line.
-    holders: dict[int, list[int]] = {}
-    for j in range(len(sets)):
-        for word in prefix[j]:
-            holders.setdefault(word, []).append(j)
-    place = [dict(zip(s[:k].tolist(), range(k), strict=True)) for s, k in zip(sets, lengths, strict=True)]
-    whole = [None] * len(sets)
+    cluster = table["cluster"].to_numpy()
+    # Similar lines are in one cluster: each stands behind those that are before it.
+    order = np.lexsort((table["line"].to_numpy(), table["content"].to_numpy(), ids, missing, cluster))
+    table = table.take(pa.array(order))
+    cluster, tile, prints = cluster[order], table["tile"].to_numpy(), table["fp"].to_numpy()
+    members = table["members"].combine_chunks()
+    at = members.offsets.to_numpy().astype(np.int64)
+    flat = members.values.to_numpy().view(np.uint64)
+    cuts = np.flatnonzero(np.concatenate([[True], cluster[1:] != cluster[:-1], [True]]))
     found = []
-    for i in by_age:
-        candidates_of: dict[int, int] = {}
-        for word in prefix[i]:
-            for j in holders[word]:
-                if age[j] < age[i] and (first == second or tile[i] != tile[j]):
-                    candidates_of[j] = candidates_of.get(j, 0) + 1
-        # Those with most words in common first: one match is enough.
-        for j in sorted(candidates_of, key=candidates_of.get, reverse=True):
-            a, b = int(sizes[i]), int(sizes[j])
-            if 100 * min(a, b) < PERCENT * max(a, b):
-                continue
-            least = int(least_overlap(a, b))
-            # Words after the last common one of the prefixes are all that can be added.
-            last = max((w for w in prefix[i] & prefix[j]), key=place[i].get)
-            rest = min(a - place[i][last], b - place[j][last]) - 1
-            if candidates_of[j] + rest < least:
-                continue
-            if whole[i] is None:
-                whole[i] = set(sets[i].tolist())
-            if whole[j] is None:
-                whole[j] = set(sets[j].tolist())
-            common = len(whole[i] & whole[j])
-            if 100 * common >= PERCENT * (a + b - common):
-                found.append(prints[i])
-                break
+    for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+        if end - begin > 1:
+            own = at[begin : end + 1]
+            tiles = None if first == second else tile[begin:end]
+            later = _with_earlier(flat[own[0] : own[-1]], own - own[0], tiles)
+            found += prints[begin:end][later].tolist()
     return pa.table({"fp": pa.array(found, pa.int64())})
 
 
+def _with_earlier(flat: np.ndarray, at: np.ndarray, tile: np.ndarray | None) -> list[int]:
+    """Which sets, that lie end to end in ``flat``, have a similar one before them, of another
+    ``tile`` if those are given. A bitmap of the parities of the words bounds what two sets
+    have in common; those that may be similar are compared, the likeliest first."""
+    size = np.diff(at)
+    width = min(max(256, 1 << int(size.max() - 1).bit_length()), MOST_BITS) // 64
+    bit = flat >> np.uint64(7)
+    slot = ((bit >> np.uint64(6)) % np.uint64(width)).astype(np.int64)
+    slot += np.repeat(np.arange(len(size)) * width, size)
+    bitmap = np.zeros(len(size) * width, np.uint64)
+    np.bitwise_xor.at(bitmap, slot, np.uint64(1) << (bit & np.uint64(63)))
+    bitmap = bitmap.reshape(-1, width)
+    whole: dict[int, set[int]] = {}
+
+    def members(i: int) -> set[int]:
+        if i not in whole:
+            whole[i] = set(flat[at[i] : at[i + 1]].tolist())
+        return whole[i]
+
+    found = []
+    for i in range(1, len(size)):
+        n = int(size[i])
+        differ = np.bitwise_count(bitmap[:i] ^ bitmap[i]).sum(axis=1, dtype=np.int64)
+        least = least_overlap(size[:i], n)
+        # The least overlap is more than the smaller set has where sizes are too far apart.
+        may = (size[:i] + n - differ >= 2 * least) & (np.minimum(size[:i], n) >= least)
+        if tile is not None:
+            may &= tile[:i] != tile[i]
+        js = np.flatnonzero(may)
+        for j in js[np.argsort(differ[js])].tolist():
+            common = len(members(i) & members(j))
+            if 100 * common >= PERCENT * (n + int(size[j]) - common):
+                found.append(i)
+                break
+    return found
+
+
 def kept_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE
 ) -> DataFrame:
@@ -325,7 +352,8 @@ def kept_lines(
     links = postings(lines).mapInArrow(_alike, "a long, b long")
     members = clusters(links, lines.groupBy("fp").agg(F.first("n").alias("n")))
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "content", "line")
-    first = lines.groupBy("fp").agg(F.min(place).alias("at"))
+    # No print is null; said here, as a join says it, so that both joins read one shuffle.
+    first = lines.where(F.col("fp").isNotNull()).groupBy("fp").agg(F.min(place).alias("at"))
     wanted = (
         meetings(members, tile)
         .join(first, "fp")
@@ -359,7 +387,7 @@ def kept_lines(
     stays = first.join(matched, "fp", "left_anti").select("at.*")
     result, _ = stage(
         lines.groupBy("id", "content")
-        .agg(F.countDistinct("line").alias("n_lines"))
+        .agg(F.max("n_lines").alias("n_lines"))
         .join(
             stays.groupBy(F.col("id").alias("i"), F.col("content").alias("c")).agg(
                 F.sort_array(F.collect_list("line")).alias("kept")
@@ -370,7 +398,7 @@ def kept_lines(
         .select(
             "id",
             "content",
-            F.col("n_lines").cast("long").alias("n_lines"),
+            "n_lines",
             F.coalesce("kept", F.array().cast("array<int>")).alias("kept"),
         )
     )

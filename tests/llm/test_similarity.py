@@ -3,6 +3,8 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline as pipeline
@@ -233,3 +235,67 @@ def test_texts_of_more_shingles_than_a_bitmap_has_bits(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in ngrams.near_duplicates(docs).collect()}
     assert got == {1: 1, 2: 2, 3: 2, 4: 4}
+
+
+def test_postings_are_sorted_by_one_number(spark):
+    kinds = "fp long, n int, low long, high long, prefix array<long>"
+    plan = lines.postings(spark.createDataFrame([], kinds))._jdf.queryExecution().sparkPlan().toString()
+    assert re.findall(r"Sort \[(.*?)\], false", plan) == [re.search(r"word#\d+L", plan)[0] + " ASC NULLS FIRST"]
+
+
+def groups(links, nodes):
+    root = {i: i for i in nodes}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in nodes}
+
+
+@pytest.mark.parametrize("short", [2, 1024])
+def test_lists_are_whole_wherever_batches_end(monkeypatch, short):
+    monkeypatch.setattr(lines, "SHORT", short)
+    rng = random.Random(11)
+    rows = sorted(
+        (rng.randint(-3, 3) << lines.PLACE_BITS | rng.randint(0, 4), fp, 5 + fp % 40, rng.getrandbits(9), 0)
+        for fp in range(150)
+    )
+    kinds = [("word", pa.int64()), ("fp", pa.int64()), ("n", pa.int32()), ("low", pa.int64()), ("high", pa.int64())]
+    table = pa.table([pa.array(c, t) for c, (_, t) in zip(zip(*rows), kinds)], names=[k for k, _ in kinds])
+    made = lines._alike(iter(table.to_batches(max_chunksize=7)))
+    got = [pair for batch in made for pair in zip(batch["a"].to_pylist(), batch["b"].to_pylist())]
+    wanted = []
+    for x, (u, i, n, low, _) in enumerate(rows):
+        for v, j, m, other, _ in rows[:x]:
+            least = lines.least_overlap(n, m)
+            rest = min(n - u % (1 << lines.PLACE_BITS), m - v % (1 << lines.PLACE_BITS))
+            same = u >> lines.PLACE_BITS == v >> lines.PLACE_BITS and 100 * min(n, m) >= 80 * max(n, m)
+            if same and rest >= least and n + m - (low ^ other).bit_count() >= 2 * least:
+                wanted.append((i, j))
+    assert wanted and groups(got, range(150)) == groups(wanted, range(150))
+
+
+@pytest.mark.parametrize("tiles", [False, True])
+def test_sets_with_a_similar_one_before_them(tiles):
+    rng = np.random.default_rng(12)
+    sets = []
+    for size in [1, 2, 5, 40, 41, 50, 300, 5000] * 3:
+        base = rng.integers(0, 1 << 63, size, np.uint64)
+        for share in (0, 0.05, 0.12, 0.3):
+            fresh = rng.random(size) < share
+            sets.append(np.where(fresh, rng.integers(0, 1 << 63, size, np.uint64), base))
+    sets = [sets[i] for i in rng.permutation(len(sets))]
+    tile = rng.integers(0, 2, len(sets))
+    at = np.cumsum([0, *(len(x) for x in sets)])
+    plain = [set(x.tolist()) for x in sets]
+    wanted = [
+        i for i in range(len(sets))
+        if any(similar(plain[i], plain[j]) and (not tiles or tile[i] != tile[j]) for j in range(i))
+    ]
+    assert lines._with_earlier(np.concatenate(sets), at, tile if tiles else None) == wanted
+    assert 10 < len(wanted) < 80
